@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_digest
 from .common import table
 from .decontaminate import contaminated
+from .embedding import near_vectors
+from .kneser import quality_by_perplexity
 from .langid import language_digest
 from .minhash import minhash_components
 from .mixing import entropy_balance
 from .secrets import secrets_digest
+from .toxicity import toxicity_digest
+from .wrapper import main_text
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +40,30 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("items"), F.max("overlap").alias("overlap"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the documents that labels marks as of good quality."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_by_perplexity(table(spark, sf_dir, "documents"), trusted)
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_digest(table(spark, sf_dir, "conversations"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_balance(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = (op2_secrets, op3_language, op4_near_dedup, op5_decontamination, op10_mixing)
+    found = (op1_toxicity, op2_secrets, op3_language, op4_near_dedup, op5_decontamination, op6_quality, op7_chat, op8_embedding_dedup, op9_html, op10_mixing)
     return {f.__name__: f for f in found}
 
 

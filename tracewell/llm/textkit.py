@@ -23,6 +23,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 NONSPACE = np.ones(256, dtype=bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
+#: ASCII letters and digits, and all bytes of other characters.
+WORDCHAR = np.zeros(256, dtype=bool)
+WORDCHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -67,9 +70,9 @@ def slices(data: np.ndarray, off: np.ndarray, size: int = SLICE) -> Iterator[tup
         row = end
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word [^\\x20\\x09-\\x0D]+; words end where their row ends."""
-    ns = NONSPACE[data]
+def word_bounds(data: np.ndarray, off: np.ndarray, chars: np.ndarray = NONSPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of bytes in chars (non-space by default); words end where their row ends."""
+    ns = chars[data]
     before = np.empty(len(data), bool)
     after = np.empty(len(data), bool)
     if len(data):
