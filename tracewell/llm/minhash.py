@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from . import textkit as tk
 from .common import materialise
 from .components import connected_components
 
+#: A task that compares members of one bucket takes about so many of them, and of their shingles, twice at most.
+BLOCK_DOCS, BLOCK_SHINGLES = 3000, 2_000_000
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(1, 1 << 63, 512, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, 512, dtype=np.uint64)
@@ -93,6 +96,55 @@ def _confirmer(percent: int):
     return confirm
 
 
+def linked_matrix(rows: list[np.ndarray], cols: list[np.ndarray], percent: int, width: int = 4096) -> np.ndarray:
+    """(len(rows), len(cols)) booleans: sets that reach percent of Jaccard similarity, by products of 0/1 matrices."""
+    flat = np.concatenate([*rows, *cols])
+    owner = np.repeat(np.arange(len(rows) + len(cols)), [len(x) for x in (*rows, *cols)])
+    _, code, n = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = n[code] > 1
+    owner, code = owner[shared], code[shared]
+    code = np.unique(code, return_inverse=True)[1]
+    common = np.zeros((len(rows), len(cols)), np.float32)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        a, b = np.searchsorted(code, (first, first + width))
+        m = np.zeros((len(rows) + len(cols), width), np.float32)
+        m[owner[a:b], code[a:b] - first] = 1
+        common += m[: len(rows)] @ m[len(rows) :].T
+    sizes = np.array([[len(x)] for x in rows]) + np.array([len(x) for x in cols])
+    return 100 * common >= percent * (sizes - common)
+
+
+def _closer(percent: int):
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Members of one bucket, or of two of its blocks: (document, smallest document it reaches) of joined ones."""
+        pdf = pdf.sort_values("doc_id").drop_duplicates("doc_id")
+        ids, comp = pdf["doc_id"].to_numpy(), pd.factorize(pdf["component"])[0]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        large = np.bincount(comp).argmax()
+        out = np.flatnonzero(comp != large)
+        root = np.arange(comp.max() + 1)
+        for a in range(0, len(out), 512):
+            some = out[a : a + 512]
+            for b in range(0, len(sets), 2048):
+                i, j = np.nonzero(linked_matrix([sets[x] for x in some], sets[b : b + 2048], percent))
+                x, y = comp[some[i]], comp[j + b]
+                for u, v in np.unique(np.stack([x, y], 1)[x != y], axis=0).tolist():
+                    while root[u] != u:
+                        u = root[u]
+                    while root[v] != v:
+                        v = root[v]
+                    root[max(u, v)] = min(u, v)
+        for c in range(len(root)):
+            root[c] = root[root[c]]
+        first = pd.Series(ids).groupby(comp).min().to_numpy()
+        lead = pd.Series(first).groupby(root).transform("min").to_numpy()
+        return pd.DataFrame({"a": first, "b": lead})[first != lead]
+
+    return close
+
+
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 0.25) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
@@ -100,11 +152,13 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (its whole sequence when it has fewer words; nothing without words). Two documents are linked when their sets
     reach percent of Jaccard similarity; component_id is the smallest id that links reach.
 
-    Documents of one set are one node. bands x rows minima are banded; in each bucket members are compared with a
+    Documents of one set are one node. bands x rows minima are banded; in each bucket members are paired with a
     pivot, not with each other. Pairs whose signatures agree in less than percent - slack are left out (six
-    standard deviations), the others are confirmed on full sets. Buckets whose members are still in several
-    components get further pivots, twice as many each round, until every pair of components in every bucket was
-    compared; thus copies are never expanded into all pairs and yet no link of a bucket is lost. A pair at just
+    standard deviations), the others are confirmed on full sets, first the likeliest pivot of each document, then
+    the pivots in other components. A bucket whose members are still in several components is a task (or one per
+    pair of its blocks, where it is large): members outside its largest component are held against all others on
+    full sets, and only who reaches whom comes out. So copies never become all pairs, and no link of a bucket is
+    lost. A pair at just
     the threshold shares no bucket with probability (1 - 0.75^rows)^bands = 5e-6.
 
     Null, empty or blank text: no shingles, own component. Null id: no component, kept. Rows with the same id
@@ -152,28 +206,26 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     best = star.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
-    tested = confirmed(best)
-    links = tested.where("linked").select("a", "b")
+    links = confirmed(best).where("linked").select("a", "b")
     comps = connected_components(links)
     rest = across(star.join(best, ["a", "b"], "left_anti"), comps)
-    more = confirmed(rest)
-    tested, found, pivot_from = tested.unionByName(more), more.where("linked").select("a", "b"), 1
-    while True:
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = connected_components(links)
-        open_buckets = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        split = open_buckets.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where((F.col("c0") < F.col("c1")) & (F.col("n") > pivot_from + 1)).select("key")
-        ranked = materialise(open_buckets.join(split, "key").withColumn("place", F.expr("row_number() over (partition by key order by doc_id)") - 1).select("key", "doc_id", "component", "place"))
-        if ranked.isEmpty():
-            break
-        lead = ranked.where(F.col("place").between(pivot_from, 2 * pivot_from - 1)).select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("place").alias("pa"))
-        pairs = ranked.join(lead, "key").where("place > pa and component != ca").select("a", F.col("doc_id").alias("b")).distinct()
-        more = confirmed(likely(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b"))
-        tested, found = materialise(tested.unionByName(more)), more.where("linked").select("a", "b")
-        pivot_from *= 2
+    links = materialise(links.unionByName(confirmed(rest).where("linked").select("a", "b")))
+    comps = connected_components(links)
+
+    # Buckets whose members are still in several components: all that is left to compare meets in tasks of their own.
+    own = members.select("key", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = real.select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
+    split = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("key")
+    open_rows = materialise(own.join(split, "key").join(sizes, "doc_id"))
+    blocks = open_rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    dealt = open_rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    closing = dealt.join(full, "doc_id").groupBy("key", "low", "high").applyInPandas(_closer(percent), f"a {id_type}, b {id_type}")
+    found = materialise(closing.distinct())
+    if not found.isEmpty():
+        comps = connected_components(links.unionByName(found))
 
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("component", "rep").alias("group_id"))
     one = sig.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.least("group_id", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.least("group_id", "doc_id")).otherwise(F.col("doc_id"))
     return one.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
