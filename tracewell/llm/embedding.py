@@ -45,7 +45,7 @@ class CoverTree:
         """Cover the node's points with balls of radius level around points of it. Where balls of that size would
         hold hardly more than their centres, the nearest of a few far-apart centres takes each point instead."""
         a, b = self.begin[node], self.end[node]
-        own = self.order[a:b]
+        own = self.order[a:b].copy()
         pts = self.x[own]
         picks, most = [0], max(2, int(np.sqrt(b - a)))
         best = np.linalg.norm(pts - pts[0], axis=1)
