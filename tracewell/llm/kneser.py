@@ -120,12 +120,12 @@ def _scorer(shared, kind: str):
     return score
 
 
-def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99) -> DataFrame:
-    """(doc_id, lang, perplexity, threshold, kept), a row for each row of docs.
+def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, low_quantile: float = 0.003) -> DataFrame:
+    """(doc_id, lang, perplexity, low, threshold, kept), a row for each row of docs.
 
     trusted: a table of ids (column id_col) whose texts train the model, all of them. perplexity is per byte of the
-    lower-cased whole text. threshold is the quantile of the trusted documents of the language (of all its documents
-    where none is trusted), and documents up to it are kept. Null, or empty, text: no perplexity, not kept. A null
+    lower-cased whole text. low and threshold are the two quantiles of the trusted documents of the language (of all
+    its documents where none is trusted); what lies between is kept (text that repeats itself is too predictable). Null, or empty, text: no perplexity, not kept. A null
     language is a language of its own. Null ids are scored but never trusted.
 
     What the corpus holds of n-grams is counted by tasks and summed by key. The finished table is cut by hash into
@@ -151,8 +151,9 @@ def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "do
     if shards > 1:
         scored = scored.groupBy("doc_id", "lang").agg(F.sum("nats").alias("nats"), F.max("n").alias("n"))
     scored = materialise(scored.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("nats") / F.col("n"))).alias("perplexity")))
-    by_lang = scored.join(ids, "doc_id", "left").groupBy(F.col("lang").alias("l")).agg(
-        F.coalesce(F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), quantile, 10000), F.percentile_approx("perplexity", quantile, 10000)).alias("threshold")
-    )
+    both = [low_quantile, quantile]
+    cuts = F.coalesce(F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), both, 10000), F.percentile_approx("perplexity", both, 10000))
+    by_lang = scored.join(ids, "doc_id", "left").groupBy(F.col("lang").alias("l")).agg(cuts.alias("cuts"))
     out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    return out.select("doc_id", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+    low, high = F.get("cuts", F.lit(0)), F.get("cuts", F.lit(1))
+    return out.select("doc_id", "lang", "perplexity", low.alias("low"), high.alias("threshold"), F.coalesce(F.col("perplexity").between(low, high), F.lit(False)).alias("kept"))
