@@ -91,7 +91,7 @@ class _Matrix:
         return np.bincount(self.ids, self.values * r[self.rows], 1 << BITS)
 
 
-def fit_weights(y: np.ndarray, x: _Matrix, swap: _Matrix, has_swap: np.ndarray, l2: float = 2e-4, fairness: float = 1.0, rounds: int = 120) -> np.ndarray:
+def fit_weights(y: np.ndarray, x: _Matrix, swap: _Matrix, has_swap: np.ndarray, l2: float = 2e-4, fairness: float = 10.0, rounds: int = 120) -> np.ndarray:
     """Weights and, last, the bias. Minimises class-balanced log loss + l2 |w|^2 + fairness * mean((score change of
     the swapped text)^2), so that a group's name by itself moves no score. Adam on the full sample."""
     size = (1 << BITS) + 1
