@@ -26,7 +26,8 @@ IDENTITY_TERMS = (
     ("christ", "muslim", "jude", "hindu", "buddhist"), ("mann", "frau"), ("männer", "frauen"), ("schwarze", "weiße"),
     ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"), ("hombre", "mujer"), ("hombres", "mujeres"), ("negro", "blanco", "árabe"),
 )
-_NEXT = {t: row[(i + 1) % len(row)] for row in IDENTITY_TERMS for i, t in enumerate(row)}
+# A term of several rows belongs to the first.
+_NEXT = {t: row[(i + 1) % len(row)] for row in reversed(IDENTITY_TERMS) for i, t in enumerate(row)}
 _TERM = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, _NEXT), key=len, reverse=True)) + r")(?!\w)", re.I)
 BITS = 18
 #: A word counts as a whole and by its first so many bytes.
