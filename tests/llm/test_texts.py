@@ -15,6 +15,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 
 
 def _base(text):
+    """Base spans by plain search over the whole text."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text or "") if len(m[2]) >= 12]
     found += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 18]
     found += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 16]
