@@ -13,8 +13,43 @@ from . import textkit as tk
 from .common import materialise
 
 ORDER = 5
-#: A shard of the model that is sent to tasks holds about so many n-grams at most (12 bytes each).
-SHARD = 4_000_000
+#: A shard of the model that is sent to tasks holds about so many n-grams at most (12 bytes each, and as a table in
+#: the task 12 bytes for each of two to four places per n-gram).
+SHARD = 3_000_000
+
+
+class Table:
+    """Numbers by key in open addressing, filled and read by whole arrays; keys are not negative, absent ones give 0."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits, np.float32)
+        place = self._place(keys)
+        while len(keys):
+            free = self.keys[place] < 0
+            self.keys[place[free]] = keys[free]  # of several for one place the last stays
+            done = self.keys[place] == keys
+            self.values[place[done]] = values[done]
+            keys, values, place = keys[~done], values[~done], (place[~done] + 1) & (len(self.keys) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * tk.BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        place = self._place(keys)
+        found = self.keys[place]
+        out = np.where(found == keys, self.values[place], np.float32(0))
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        at = place[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            found = self.keys[at]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            more = ~hit & (found >= 0)
+            left, at = left[more], at[more]
+        return out
 
 
 def codes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -44,11 +79,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trusted = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
         for first, end, part, own in tk.slices(data, off):
             c = codes(part, own)
-            weight = np.repeat(trusted[first:end], np.diff(own)).astype(np.float64)
-            k, at = np.unique(c, return_inverse=True)
-            keys.append(k)
-            counts.append(np.bincount(at, weight, len(k)))
-            held += len(k)
+            good = np.repeat(trusted[first:end], np.diff(own))
+            for some, known in ((c[good], 1.0), (c[~good], 0.0)):
+                k, n = np.unique(some, return_counts=True)
+                keys.append(k)
+                counts.append(n * known)
+                held += len(k)
             if held > 2_000_000:
                 k, n = _merge(keys, counts)
                 if len(k) > 1_000_000:
@@ -101,19 +137,16 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
     return below.select(F.col("g").alias("gram"), F.log("p").alias("logp"))
 
 
-def _scorer(shared, kind: str):
+def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw_keys, raw_values = shared.value
-        keys, values = np.frombuffer(raw_keys, np.int64), np.frombuffer(raw_values, np.float32)
+        model = Table(np.frombuffer(raw_keys, np.int64), np.frombuffer(raw_values, np.float32))
         for batch in batches:
             data, off = tk.utf8(batch.column(batch.num_columns - 1))
             sums, sizes = [], []
             for _, _, part, own in tk.slices(data, off):
-                u, at = np.unique(codes(part, own), return_inverse=True)
-                place = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
-                logp = np.where(keys[place] == u, values[place], 0.0) if len(keys) else np.zeros(len(u))
                 n = np.diff(own)
-                sums.append(np.bincount(np.repeat(np.arange(len(n)), n), logp[at], len(n)))
+                sums.append(np.bincount(np.repeat(np.arange(len(n)), n), model.get(codes(part, own)), len(n)))
                 sizes.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([*sums, np.zeros(0)])), pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]))], names=[*batch.schema.names[:-1], "nats", "n"])
 
@@ -144,7 +177,7 @@ def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "do
         pdf = model.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == s).select("gram", F.col("logp").cast("float").alias("logp")).toPandas().sort_values("gram")
         shared = spark.sparkContext.broadcast((pdf["gram"].to_numpy(np.int64).tobytes(), pdf["logp"].to_numpy(np.float32).tobytes()))
         id_type = base.schema["doc_id"].dataType.simpleString()
-        parts.append(base.mapInArrow(_scorer(shared, id_type), f"doc_id {id_type}, lang string, nats double, n long"))
+        parts.append(base.mapInArrow(_scorer(shared), f"doc_id {id_type}, lang string, nats double, n long"))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
