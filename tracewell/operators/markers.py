@@ -53,25 +53,23 @@ def markers(events: DataFrame, rules: MarkerRules = RULES_V2) -> DataFrame:
     return rows.where("(is_onset or is_offset) and t is not null").select("base", "row_idx", "t", "trial_type", "is_onset", "is_offset")
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """rows with idx, their place in time within base from 0; file order decides ties."""
-    return rows.withColumn("idx", F.row_number().over(W.partitionBy("base").orderBy("t", "row_idx")) - 1)
-
-
 def pair_intervals(found: DataFrame) -> DataFrame:
     """(base, onset_s, offset_s, duration_s, onset_trial_type, offset_trial_type).
 
     Each onset in order takes the first offset that is strictly later and not yet taken. With f(i) the number of
-    offsets not later than onset i, the offset's place is i + max over k <= i of (f(k) - k): running sums and a
-    join on (base, place), no loop.
+    offsets not later than onset i, the offset's place is i + max over k <= i of (f(k) - k). Onsets get that place,
+    offsets their own, and rows of a run that share a place are a pair: running sums and a grouping over one
+    shuffle by base, no loop and no join. File order decides ties.
     """
-    by_time = W.partitionBy("base").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
-    seen = found.withColumn("f", F.sum(F.col("is_offset").cast("long")).over(by_time))
-    on = ranked(seen.where("is_onset"))
-    so_far = W.partitionBy("base").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    on = on.select("base", F.col("t").alias("onset_s"), F.col("trial_type").alias("onset_trial_type"), (F.col("idx") + F.max(F.col("f") - F.col("idx")).over(so_far)).alias("place"))
-    off = ranked(found.where("is_offset")).select("base", F.col("idx").cast("long").alias("place"), F.col("t").alias("offset_s"), F.col("trial_type").alias("offset_trial_type"))
-    return on.join(off, ["base", "place"]).select("base", "onset_s", "offset_s", (F.col("offset_s") - F.col("onset_s")).alias("duration_s"), "onset_trial_type", "offset_trial_type")
+    order = W.partitionBy("base").orderBy("t", "row_idx").rowsBetween(W.unboundedPreceding, 0)
+    not_later = W.partitionBy("base").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
+    on, off = F.col("is_onset").cast("long"), F.col("is_offset").cast("long")
+    s = found.withColumn("i", F.sum(on).over(order) - 1).withColumn("j", F.sum(off).over(order) - 1).withColumn("f", F.sum(off).over(not_later))
+    place = F.when(F.col("is_onset"), F.col("i") + F.max(F.when(F.col("is_onset"), F.col("f") - F.col("i"))).over(order)).otherwise(F.col("j"))
+    of = lambda kind, c: F.max(F.when(F.col(f"is_{kind}"), F.col(c)))
+    slots = s.withColumn("place", place).groupBy("base", "place").agg(of("onset", "t").alias("onset_s"), of("offset", "t").alias("offset_s"), of("onset", "trial_type").alias("onset_trial_type"), of("offset", "trial_type").alias("offset_trial_type"))
+    pairs = slots.where("onset_s is not null and offset_s is not null")
+    return pairs.select("base", "onset_s", "offset_s", (F.col("offset_s") - F.col("onset_s")).alias("duration_s"), "onset_trial_type", "offset_trial_type")
 
 
 def first_onset_offset(found: DataFrame) -> DataFrame:

@@ -49,6 +49,11 @@ def r6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def doubles(df: DataFrame, *names: str) -> DataFrame:
+    """Counts that can be null as double, the type in which every client reads them alike."""
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
 # --- adapters -------------------------------------------------------------------------------------------------------
 def events(spark, d) -> DataFrame:
     return t(spark, d, "events").select(F.col("user_id").alias("base"), F.col("event_id").alias("row_idx"), (seconds(F.col("ts")) - EPOCH).alias("onset"), F.col("event_type").alias("trial_type"))
@@ -154,7 +159,7 @@ QC_SQL = (
   LEFT JOIN (SELECT base, count(*) FILTER (is_onset) AS n_on, count(*) FILTER (is_offset) AS n_off, min(t) FILTER (is_onset) AS min_onset_s FROM mk GROUP BY 1) m ON m.base = c.base
   LEFT JOIN (SELECT base, count(*) AS n_int, max(offset_s) AS max_offset_s FROM pairs GROUP BY 1) p ON p.base = c.base)"""
 )
-QC_COLS = "base, events_exists, n_trial_rows, n_unique_trial_type, n_onset_markers, n_offset_markers, n_intervals_paired, multi_seizure_candidate, has_unpaired_onset, has_orphan_offset, round(min_onset_s, 6) AS min_onset_s, round(max_offset_s, 6) AS max_offset_s"
+QC_COLS = "base, events_exists, n_trial_rows::DOUBLE AS n_trial_rows, n_unique_trial_type::DOUBLE AS n_unique_trial_type, n_onset_markers::DOUBLE AS n_onset_markers, n_offset_markers::DOUBLE AS n_offset_markers, n_intervals_paired::DOUBLE AS n_intervals_paired, multi_seizure_candidate, has_unpaired_onset, has_orphan_offset, round(min_onset_s, 6) AS min_onset_s, round(max_offset_s, 6) AS max_offset_s"
 FIRST_SQL = MARK_SQL + ", f1 AS (SELECT base, min(t) FILTER (is_onset) AS first_onset FROM mk GROUP BY 1), first AS (SELECT f1.base, first_onset, (SELECT min(t) FROM mk WHERE mk.base = f1.base AND is_offset AND t > first_onset) AS first_offset FROM f1)"
 _ONSET2 = mk.RULES_V2.onset.replace("'", "''")
 
@@ -187,7 +192,8 @@ def first_onset_offset(spark, d):
 
 @query(f"WITH {QC_SQL} SELECT {QC_COLS} FROM qc")
 def marker_qc_by_run(spark, d):
-    return mk.marker_qc(user_runs(spark, d), events(spark, d), RULES).withColumns({n: F.round(n, 6) for n in ("min_onset_s", "max_offset_s")})
+    qc = mk.marker_qc(user_runs(spark, d), events(spark, d), RULES).withColumns({n: F.round(n, 6) for n in ("min_onset_s", "max_offset_s")})
+    return doubles(qc, "n_trial_rows", "n_unique_trial_type", "n_onset_markers", "n_offset_markers", "n_intervals_paired")
 
 
 @query(f"WITH {QC_SQL} SELECT count(*) AS runs, count(*) FILTER (n_onset_markers > 0) AS with_onset, count(*) FILTER (n_offset_markers > 0) AS with_offset, count(*) FILTER (n_intervals_paired > 0) AS with_interval, count(*) FILTER (multi_seizure_candidate) AS multi, count(*) FILTER (has_unpaired_onset) AS unpaired, count(*) FILTER (has_orphan_offset) AS orphan FROM qc WHERE events_exists")
@@ -244,10 +250,10 @@ def entity_parse(spark, d):
     return inv.parse_entities(names(spark, d)).drop("stem")
 
 
-@query(f"WITH {NAMES_SQL}, n AS (SELECT base, CASE WHEN base % 11 = 0 THEN 'x' || name ELSE name END AS name FROM names), p AS (SELECT base, name, regexp_extract(regexp_replace(name, '\\.[A-Za-z0-9]+$', ''), '{inv.STRICT}', ['subject', 'session', 'task', 'acq', 'run']) AS m FROM n) SELECT base, name, nullif(m.subject, '') AS subject, nullif(m.session, '') AS session, nullif(m.task, '') AS task, nullif(m.acq, '') AS acq, nullif(m.run, '')::INT AS run_no FROM p")
+@query(f"WITH {NAMES_SQL}, n AS (SELECT base, CASE WHEN base % 11 = 0 THEN 'x' || name ELSE name END AS name FROM names), p AS (SELECT base, name, regexp_extract(regexp_replace(name, '\\.[A-Za-z0-9]+$', ''), '{inv.STRICT}', ['subject', 'session', 'task', 'acq', 'run']) AS m FROM n) SELECT base, name, nullif(m.subject, '') AS subject, nullif(m.session, '') AS session, nullif(m.task, '') AS task, nullif(m.acq, '') AS acq, nullif(m.run, '')::DOUBLE AS run_no FROM p")
 def entity_parse_strict(spark, d):
     n = names(spark, d).select("base", F.when(F.col("base") % 11 == 0, F.concat(F.lit("x"), F.col("name"))).otherwise(F.col("name")).alias("name"))
-    return inv.parse_entities_strict(n)
+    return doubles(inv.parse_entities_strict(n), "run_no")
 
 
 @query("SELECT event_id, CASE WHEN v > 0 AND isfinite(v) THEN v ELSE CASE WHEN w > 0 THEN w END END AS first_number FROM (SELECT event_id, try_cast(json_extract_string(props, '$.missing') AS DOUBLE) AS v, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS w FROM events)")
@@ -270,9 +276,9 @@ def good_channels(spark, d):
     return inv.good_channels(channels(spark, d), types=("ECOG",), most=3).select("base", "ch_idx", "good", "rank")
 
 
-@query(f"WITH {SUMMARY_SQL} SELECT base, subject, acq, eeg_present, n_channels, n_bad, n_good, first_onset, first_offset, has_onset, has_offset FROM summary")
+@query(f"WITH {SUMMARY_SQL} SELECT base, subject, acq, eeg_present, n_channels::DOUBLE AS n_channels, n_bad::DOUBLE AS n_bad, n_good::DOUBLE AS n_good, first_onset, first_offset, has_onset, has_offset FROM summary")
 def run_inventory(spark, d):
-    return summary(spark, d)
+    return doubles(summary(spark, d), "n_channels", "n_bad", "n_good")
 
 
 @query(f"WITH {SUMMARY_SQL} SELECT count(*) AS runs, count(DISTINCT subject) AS subjects, count(*) FILTER (has_onset) AS onset_runs, count(*) FILTER (has_offset) AS offset_runs, count(*) FILTER (has_onset AND has_offset) AS both_runs, count(*) FILTER (eeg_present) AS present_runs, count(*) FILTER (has_onset AND has_offset AND eeg_present) AS ready_runs, round(count(*) FILTER (has_onset) * 100.0 / count(*), 6)::DOUBLE AS onset_pct, round(count(*) FILTER (has_onset AND has_offset) * 100.0 / count(*), 6)::DOUBLE AS both_pct, round(count(*) FILTER (eeg_present) * 100.0 / count(*), 6)::DOUBLE AS present_pct FROM summary")
