@@ -274,8 +274,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 
 def test_pages(spark):
     rows = [(i, f"http://h.example/{i}", PAGE.format(i)) for i in range(6)] + [(10, None, None), (11, "http://o.example", ""), (12, "http://o.example/x", "<p>alone &#233;"), (13, "bad", "plain  text\n here")]
+    rows += [(20 + i, "http://copies.example/", PAGE.format(7)) for i in range(9)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in wrapper.main_text(df).collect()}
+    assert got[25].text.count("\n\n") == 5 and "Same everywhere" in got[25].text
     for i in range(6):
         assert got[i].text == f"Title\u00a0{i} & more\n\nFirst {i}.\n\nSecond part <{i}>\n\nx{i}", got[i].text
     assert [got[i].text for i in (10, 11, 12, 13)] == ["", "", "alone é", "plain text here"]
