@@ -69,3 +69,13 @@ def test_streaming_features(spark, tmp_path):
     q.stop()
     got = spark.table("features").where("n = 2").collect()
     assert got and all(r.ptp in (1.0, 3.0) for r in got)
+
+
+def test_event_paths_and_columns(spark):
+    summary = spark.createDataFrame([("a", "x.tsv"), ("b", ""), ("c", None)], "base string, events_tsv string")
+    found = spark.createDataFrame([("b", "events", "y.tsv"), ("b", "json", "z.json"), ("d", "events", "w.tsv")], "base string, kind string, path string")
+    assert {tuple(r) for r in inv.events_paths(summary, found).collect()} == {("a", "x.tsv"), ("b", "y.tsv"), ("d", "w.tsv")}
+    assert inv.first_existing(summary, ["path", "events_tsv", "base"]) == "events_tsv" and inv.first_existing(summary, ["q"]) is None
+    assert [tuple(r) for r in inv.missing_columns(summary, ["base", "q"]).collect()] == [("base", True), ("q", False)]
+    named = inv.directory_fallback(inv.parse_entities(spark.createDataFrame([("x.vhdr", "/d/sub-q/ses-r/x.vhdr")], "name string, path string"))).first()
+    assert (named.subject, named.session) == ("q", "r")

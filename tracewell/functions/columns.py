@@ -32,10 +32,6 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
-def round6(c: Column) -> Column:
-    return F.round(c, 6)
-
-
 def entity(name: Column, key: str) -> Column:
     """Value of key- in a name of underscore-separated parts; null where the part is missing."""
     return F.nullif(F.regexp_extract(name, rf"(?:^|_){key}-([^_]+)", 1), F.lit(""))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .windows import first_channel, framed
+
 EPS = 1e-12
 #: The frequency bands in Hz.
 BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 80), "high_gamma": (80, 150)}
@@ -123,6 +125,16 @@ def heavy_summary(long: DataFrame, psd: DataFrame, bands: dict[str, tuple[float,
     return a.join(e, "base", "left").join(b.select("base", *(F.col(n).alias(f"bp_mean_{n}") for n in sorted(bands))), "base", "left")
 
 
+def window_table(long: DataFrame, w: int, step: int, sfreq: float, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
+    """(base, k, mean channel features, spectral_entropy, bp_<band>): spectra are those of the first channel's windows."""
+    f = framed(long, w, step)
+    one = first_channel(f).select("base", F.col("k").alias("ch"), (F.col("i") - F.col("k") * step).alias("i"), "x")
+    psd = welch(one, sfreq, min(w, int(2 * sfreq)))
+    power = band_power(psd, bands).groupBy("base", "ch").pivot("band", sorted(bands)).agg(F.first("power"))
+    spectral = spectral_entropy(psd).join(power, ["base", "ch"], "left").select("base", F.col("ch").alias("k"), F.col("entropy").alias("spectral_entropy"), *(F.col(n).alias(f"bp_{n}") for n in sorted(bands)))
+    return mean_over_channels(channel_features(f)).join(spectral, ["base", "k"], "left")
+
+
 def with_robust_z(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
     """df with z_<col> = 0.6745 (x - median) / (MAD + 1e-12) within keys (a run by default); medians are exact."""
     keys = keys or ["base"]

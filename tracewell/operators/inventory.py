@@ -111,3 +111,15 @@ def first_sampling_rate(channels: DataFrame) -> DataFrame:
     """(base, sfreq): the first known sampling frequency in file order, the lowest of equal places."""
     v = F.when(null_tokens(F.col("sampling_frequency").cast("string")).isNotNull(), F.col("sampling_frequency").try_cast("double"))
     return channels.groupBy("base").agg(F.min(F.when(v.isNotNull(), F.struct(F.col("ch_idx"), v.alias("v"))))["v"].alias("sfreq"))
+
+
+def first_existing(df: DataFrame, names) -> str | None:
+    """The first of the names that is a column of df."""
+    return next((n for n in names if n in df.columns), None)
+
+
+def events_paths(summary: DataFrame, discovered: DataFrame) -> DataFrame:
+    """(base, events_tsv): the path that the summary names, else the one found among the files."""
+    found = discovered.where("kind = 'events'").groupBy("base").agg(F.max("path").alias("found"))
+    named = summary.select("base", F.nullif("events_tsv", F.lit("")).alias("named"))
+    return named.join(found, "base", "full").select("base", F.coalesce("named", "found").alias("events_tsv")).where("events_tsv is not null")

@@ -66,3 +66,33 @@ def framed(long: DataFrame, w: int, step: int) -> DataFrame:
     s = s.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
     inside = F.col("i") - F.col("k") * step
     return s.select("base", "ch", "k", "i", "x", F.when(inside >= 1, F.col("d1")).alias("d1"), F.when(inside >= 2, F.col("d2")).alias("d2"))
+
+
+def first_channel(long: DataFrame) -> DataFrame:
+    """The samples of each run's first channel."""
+    return long.withColumn("c0", F.min("ch").over(W.partitionBy("base"))).where("ch = c0").drop("c0")
+
+
+def first_channels(channels: DataFrame, n: int = 16) -> DataFrame:
+    """The first n channels in file order, whatever their status."""
+    return channels.where(F.col("ch_idx") < n)
+
+
+def crop_samples(long: DataFrame, bounds: DataFrame, sfreq: float) -> DataFrame:
+    """Samples between t_min and t_max of their run, counted anew from 0; bounds: base, t_min, t_max."""
+    first = F.ceil(F.col("t_min") * sfreq)
+    j = long.join(bounds.select("base", "t_min", "t_max"), "base").where((F.col("i") >= first) & (F.col("i") <= F.col("t_max") * sfreq))
+    return j.select("base", "ch", (F.col("i") - first).alias("i"), "x")
+
+
+def excerpt(long: DataFrame, sfreq: float, seconds: float = 10.0, onsets: DataFrame | None = None) -> DataFrame:
+    """So many seconds from the middle of each run, or from its onset where onsets (base, onset_s) has one; counted anew
+    from 0. A shorter run is taken whole."""
+    size = int(seconds * sfreq)
+    ends = long.groupBy("base").agg((F.max("i") + 1).alias("n"))
+    begin = F.greatest(F.floor((F.col("n") - size) / 2), F.lit(0))
+    if onsets is not None:
+        ends = ends.join(onsets.select("base", "onset_s"), "base", "left")
+        begin = F.coalesce(F.greatest(F.least(F.floor(F.col("onset_s") * sfreq), F.col("n") - size), F.lit(0)), begin)
+    j = long.join(ends.select("base", begin.alias("begin")), "base").where((F.col("i") >= F.col("begin")) & (F.col("i") < F.col("begin") + size))
+    return j.select("base", "ch", (F.col("i") - F.col("begin")).alias("i"), "x")

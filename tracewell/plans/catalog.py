@@ -418,6 +418,34 @@ def window_features_full(spark, d):
     return fe.mean_over_channels(fe.channel_features(framed(spark, d))).select("base", "k", *r6("rms", "ptp", "line_length", "activity", "mobility", "complexity"))
 
 
+WT_SQL = FRAMED_SQL + f""", w0 AS (SELECT base, k, i - k * {STEP} AS j, x FROM framed WHERE (base, ch) IN (SELECT base, min(ch) FROM framed GROUP BY 1)),
+wt AS (SELECT base, k, j, (x - avg(x) OVER (PARTITION BY base, k)) * (0.5 - 0.5 * cos(2 * pi() * j / {W})) AS y FROM w0),
+wq AS (SELECT base, k, bin, sum(y * cos(2 * pi() * ((bin * j) % {W}) / {W})) ^ 2 + sum(y * sin(2 * pi() * ((bin * j) % {W}) / {W})) ^ 2 AS q FROM wt, (SELECT unnest(range(0, 9)) AS bin) GROUP BY ALL),
+wp AS (SELECT base, k, bin * {FS} / {W} AS f, q * (CASE WHEN bin IN (0, 8) THEN 1.0 ELSE 2.0 END) / ({FS} * 6.0) AS p FROM wq),
+wb AS (SELECT base, k, b, sum(area) AS power FROM (SELECT base, k, b, (p + lead(p) OVER w) / 2 * (lead(f) OVER w - f) AS area FROM wp, (VALUES ('low', 1.0, 4.0), ('high', 4.0, 8.0)) v(b, lo, hi) WHERE f >= lo AND f <= hi WINDOW w AS (PARTITION BY base, k, b ORDER BY f)) GROUP BY ALL),
+we AS (SELECT base, k, -sum(s * ln(s + 1e-12)) AS spectral_entropy FROM (SELECT base, k, p / (sum(p) OVER (PARTITION BY base, k) + 1e-12) AS s FROM wp) GROUP BY ALL),
+wm AS (SELECT base, k, {', '.join(f'avg({n}) AS {n}' for n in 'rms ptp line_length activity mobility complexity'.split())} FROM chan GROUP BY base, k)"""
+
+
+@query(f"WITH {WT_SQL} SELECT base, k, {_r('rms ptp line_length activity mobility complexity spectral_entropy')}, round(lo.power, 9) AS bp_low, round(hi.power, 9) AS bp_high FROM wm JOIN we USING (base, k) JOIN (SELECT * FROM wb WHERE b = 'low') lo USING (base, k) JOIN (SELECT * FROM wb WHERE b = 'high') hi USING (base, k)")
+def window_features_table(spark, d):
+    out = fe.window_table(long(spark, d), W, STEP, FS, SMALL_BANDS)
+    return out.select("base", "k", *r6("rms", "ptp", "line_length", "activity", "mobility", "complexity", "spectral_entropy"), *(F.round(c, 9).alias(c) for c in ("bp_low", "bp_high")))
+
+
+@query(f"WITH {LONG_SQL}, e AS (SELECT base, ch, i - 24 AS i, x FROM long WHERE i >= 24 AND i < 40) SELECT base, ch, round(sqrt(avg(x * x)), 6) AS rms, min(i) AS first_i, max(i) AS last_i FROM e GROUP BY ALL")
+def excerpt_rms(spark, d):
+    e = wi.excerpt(long(spark, d), FS, 1.0)
+    return e.groupBy("base", "ch").agg(F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 6).alias("rms"), F.min("i").alias("first_i"), F.max("i").alias("last_i"))
+
+
+@query(f"WITH {LONG_SQL}, b AS (SELECT label AS base, 0.25 * (label % 4) AS t_min, 2.0 + 0.25 * (label % 4) AS t_max FROM embeddings GROUP BY ALL), c AS (SELECT base, ch, i - ceil(t_min * {FS})::BIGINT AS i, x FROM long JOIN b USING (base) WHERE i >= ceil(t_min * {FS}) AND i <= t_max * {FS}) SELECT base, count(*) AS n, min(i) AS first_i, max(i) AS last_i, round(sum(x), 6) + 0.0 AS total FROM c GROUP BY 1")
+def crop_samples(spark, d):
+    lo = F.lit(0.25) * (F.col("base") % 4)
+    b = signal(spark, d).select("base").distinct().select("base", lo.alias("t_min"), (lo + 2.0).alias("t_max"))
+    return wi.crop_samples(long(spark, d), b, FS).groupBy("base").agg(F.count("*").alias("n"), F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.round(F.sum("x"), 6).alias("total"))
+
+
 Z_SQL = FRAMED_SQL + """, med AS (SELECT base, median(rms) AS m1, median(ptp) AS m2, median(line_length) AS m3 FROM pooled GROUP BY 1),
 mad AS (SELECT p.base, median(abs(rms - m1)) AS a1, median(abs(ptp - m2)) AS a2, median(abs(line_length - m3)) AS a3 FROM pooled p JOIN med USING (base) GROUP BY 1),
 outl AS (SELECT base, k, rms, ptp, line_length, greatest(abs(0.6745 * (rms - m1) / (a1 + 1e-12)), abs(0.6745 * (ptp - m2) / (a2 + 1e-12)), abs(0.6745 * (line_length - m3) / (a3 + 1e-12))) AS outlier_score FROM pooled JOIN med USING (base) JOIN mad USING (base))"""
