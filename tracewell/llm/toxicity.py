@@ -125,7 +125,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    got = texts.join(known, "doc_id").select("y", "text").mapInArrow(_rows, "y double, ids binary, values binary, swap_ids binary, swap_values binary").toPandas()
+    # known holds about sample rows by construction
+    got = texts.join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(_rows, "y double, ids binary, values binary, swap_ids binary, swap_values binary").toPandas()
     got = got.assign(k=got["ids"].map(len)).sort_values(["y", "k", "ids"])
     y = (got["y"].to_numpy() > 0.5).astype(float)
     if len(set(y)) < 2:
