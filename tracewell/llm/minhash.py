@@ -178,7 +178,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     real = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = materialise(real.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep")))
     nodes = real.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keyed = nodes.select("doc_id", F.explode("keys").alias("key"))
+    keyed = nodes.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot < top").select("key", "pivot")
     members = materialise(keyed.join(pivots, "key"))
     signatures = real.select("doc_id", "sig").dropDuplicates(["doc_id"])
@@ -213,12 +213,10 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = connected_components(links)
 
     # Buckets whose members are still in several components: all that is left to compare meets in tasks of their own.
-    own = members.select("key", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = real.select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
-    split = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1 and n > 2").select("key")
-    open_rows = materialise(own.join(split, "key").join(sizes, "doc_id"))
-    blocks = open_rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    dealt = open_rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    own = members.select("key", "doc_id", "n_shingles").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("c0 < c1 and n > 2")
+    split = split.select("key", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_DOCS)), F.ceil(F.col("weight") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    dealt = own.join(split, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     closing = dealt.join(full, "doc_id").groupBy("key", "low", "high").applyInPandas(_closer(percent), f"a {id_type}, b {id_type}")
     found = materialise(closing.distinct())
