@@ -83,8 +83,11 @@ def entropy_balance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rate = F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("size") == 0, F.lit(1.0)).when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.exp(F.col("size") / F.col("mean") * F.col("x")), F.lit(float(cap))))
         return rows.withColumnRenamed("source", "r").join(plan, F.col("r").eqNullSafe(F.col("source"))).drop("r").withColumn("rate", rate).withColumn("part", F.col("rate") - F.floor("rate"))
 
-    start = W.partitionBy("source").orderBy("size", "salt")
-    begun = rated(cells).withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("part")).over(start.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("k"), "source_size", "target", "rate", "part", "before")
+    # The running sum goes over the distinct sizes of a source, then over the salts of a size.
+    until = lambda *keys: W.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(W.unboundedPreceding, -1)
+    by_size = rated(cells.groupBy("source", "size").agg(F.sum("n").alias("n"))).withColumn("lower", F.coalesce(F.sum(F.col("n") * F.col("part")).over(until("source", "size")), F.lit(0.0)))
+    by_salt = cells.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("k"), F.coalesce(F.sum("n").over(until("source", "size", "salt")), F.lit(0)).alias("rank"))
+    begun = by_salt.join(by_size, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))).select("s", "z", "k", "source_size", "target", "rate", "part", (F.col("lower") + F.col("rank") * F.col("part")).alias("before"))
     placed = base.withColumn("place", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("doc_id")))
     out = placed.join(begun, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("k")))
     passed = F.floor(F.col("before") + F.col("place") * F.col("part") + F.lit(0.5)) - F.floor(F.col("before") + (F.col("place") - 1) * F.col("part") + F.lit(0.5))
