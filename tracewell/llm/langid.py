@@ -63,15 +63,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 200) -> np.ndarray:
     """Weights and bias of a linear SVM (squared hinge) by Newton-free gradient descent with momentum; y is +1 or -1."""
-    scale = 1.0 / max(np.sqrt((x * x).sum(axis=1).mean()), 1e-12)
-    z = np.hstack([x * scale, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    norms = np.einsum("ij,ij->i", x, x)
+    scale = np.float32(1.0 / max(np.sqrt(norms.mean()), 1e-12))
+    z = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.multiply(x, scale, out=z[:, :-1])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost * 100
-    w = v = np.zeros(z.shape[1])
-    step = 1.0 / (1.0 + 2 * (share[:, None] * z * z).sum(axis=1).sum())
+    y, w = y.astype(np.float32), np.zeros(z.shape[1], np.float32)
+    v = w
+    step = np.float32(1.0 / (1.0 + 2 * (share * (norms * scale**2 + 1)).sum()))
+    share = share.astype(np.float32)
     for t in range(rounds):
-        ahead = w + (t / (t + 3)) * (w - v)
+        ahead = w + np.float32(t / (t + 3)) * (w - v)
         lack = np.maximum(0, 1 - y * (z @ ahead))
-        grad = ahead - 2 * z.T @ (share * y * lack)
+        grad = ahead - 2 * ((share * y * lack) @ z)
         w, v = ahead - step * grad, w
     out = w.copy()
     out[:-1] *= scale
@@ -127,7 +131,7 @@ class LanguageModel:
         return best, score
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> LanguageModel | None:
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200) -> LanguageModel | None:
     """Learn from text and non-null lang of the documents that are not held out: a sample of about per_language texts
     of each language, chosen by a hash of the id (at most 2 * per_language). Whole texts are reduced to trigram
     shares by tasks; what reaches the driver is bounded by 2 * per_language * languages * 16 KiB. None without any row."""
