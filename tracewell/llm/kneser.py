@@ -168,7 +168,8 @@ def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "do
     spark = docs.sparkSession
     ids = trusted.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    marked = base.join(ids, "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    # A merge join at every size: whether ids would fit a broadcast depends on the corpus.
+    marked = base.join(ids.hint("merge"), "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
     grams = materialise(marked.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     model = materialise(log_probabilities(grams))
     shards = max(1, -(-model.count() // SHARD))
