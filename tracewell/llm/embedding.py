@@ -13,7 +13,7 @@ from .common import materialise
 from .components import connected_components
 
 #: Nodes with no more points than this are compared point by point.
-LEAF = 48
+LEAF = 128
 
 
 class CoverTree:
