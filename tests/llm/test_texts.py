@@ -157,6 +157,21 @@ def test_quality_in_several_shards(spark, monkeypatch):
     assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 for k in one)
 
 
+def test_quality_keeps_repeated_and_null_ids_in_several_shards(spark, monkeypatch):
+    rows = [(1, "the of and", "en"), (1, "the of and", "en"), (1, "of the", "en"), (1, "of the", "de"), (2, "in the of", "en"), (2, None, "en"), (2, "", "en")]
+    rows += [(None, t, lang) for t in ("the of and", "zz", "zz", None) for lang in ("en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    alone = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    figures = lambda r: tuple(None if x is None else round(x, 6) for x in (r.perplexity, r.low, r.threshold))
+    by_row = {r.doc_id: r for r in kneser.quality_by_perplexity(alone, spark.createDataFrame([(i,) for i in range(7)], "doc_id long")).collect()}
+    want = sorted(((rows[i][0], r.lang, *figures(r), r.kept) for i, r in by_row.items()), key=str)
+    for shard in (3_000_000, 7):
+        monkeypatch.setattr(kneser, "SHARD", shard)
+        got = sorted(((r.doc_id, r.lang, *figures(r), r.kept) for r in kneser.quality_by_perplexity(docs, trusted).collect()), key=str)
+        assert got == want and len(got) == len(rows), shard
+
+
 def _overlaps(text, item, window=13, share=0.7):
     cut = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
     a, b = cut(text), cut(item)

@@ -163,7 +163,8 @@ def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "do
 
     What the corpus holds of n-grams is counted by tasks and summed by key. The finished table is cut by hash into
     shards of about SHARD n-grams, each small enough to send to all tasks, and every text is scored once against
-    each shard; with several shards the parts are summed by id (rows of one id and language then come out once).
+    each shard. The parts are summed by id, language and digest of the text at every size, one shard included; rows
+    that agree in all three share a sum, are counted, and come out as often as they came in.
     """
     spark = docs.sparkSession
     ids = trusted.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
@@ -173,18 +174,20 @@ def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "do
     grams = materialise(marked.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     model = materialise(log_probabilities(grams))
     shards = max(1, -(-model.count() // SHARD))
+    keyed = base.select("doc_id", "lang", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+    id_type = base.schema["doc_id"].dataType.simpleString()
     parts = []
     for s in range(shards):
         pdf = model.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == s).select("gram", F.col("logp").cast("float").alias("logp")).toPandas().sort_values("gram")
         shared = spark.sparkContext.broadcast((pdf["gram"].to_numpy(np.int64).tobytes(), pdf["logp"].to_numpy(np.float32).tobytes()))
-        id_type = base.schema["doc_id"].dataType.simpleString()
-        parts.append(base.mapInArrow(_scorer(shared), f"doc_id {id_type}, lang string, nats double, n long"))
+        parts.append(keyed.mapInArrow(_scorer(shared), f"doc_id {id_type}, lang string, digest binary, nats double, n long"))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    if shards > 1:
-        scored = scored.groupBy("doc_id", "lang").agg(F.sum("nats").alias("nats"), F.max("n").alias("n"))
-    scored = materialise(scored.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("nats") / F.col("n"))).alias("perplexity")))
+    copies = (F.count("*") / shards).cast("int")
+    scored = scored.groupBy("doc_id", "lang", "digest").agg(F.sum("nats").alias("nats"), F.max("n").alias("n"), copies.alias("copies"))
+    perplexity = F.when(F.col("n") > 0, F.exp(-F.col("nats") / (F.col("copies") * F.col("n"))))
+    scored = materialise(scored.select("doc_id", "lang", perplexity.alias("perplexity"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy"))
     both = [low_quantile, quantile]
     cuts = F.coalesce(F.percentile_approx(F.when(F.col("trusted"), F.col("perplexity")), both, 10000), F.percentile_approx("perplexity", both, 10000))
     by_lang = scored.join(ids, "doc_id", "left").groupBy(F.col("lang").alias("l")).agg(cuts.alias("cuts"))
