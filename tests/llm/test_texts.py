@@ -300,6 +300,18 @@ def test_pages(spark):
     assert wrapper.main_text(df.limit(0)).count() == 0
 
 
+def test_text_outside_the_only_article_stays(spark):
+    whole = "<body><h1>Headline {0}</h1><p>Lead {0}</p><article><p>Body {0}</p></article><footer>f</footer></body>"
+    card = "<body><div><p>Body {0}</p></div><article><h2>Teaser {0}</h2></article></body>"
+    apart = "<body><div><p>Body {0}</p></div><aside><article><p>See also</p></article></aside><div hidden><main>m</main></div></body>"
+    rows = [(10 * k + i, f"http://h{k}.example/{i}", page.format(i)) for k, page in enumerate((whole, card, apart)) for i in range(5)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == f"Headline {i}\n\nLead {i}\n\nBody {i}"
+        assert got[10 + i] == f"Body {i}\n\nTeaser {i}"
+        assert got[20 + i] == f"Body {i}"
+
+
 def test_tree_match_aligns_shifted_lists():
     a = wrapper.parse("<div><h1>t</h1><p>1</p><p>2</p></div>")
     b = wrapper.parse("<div><p>0</p><h1>t</h1><p>1</p><ul><li>x</ul><p>2</p></div>")

@@ -140,21 +140,6 @@ def parse(html: str | None) -> Node:
     return b.root
 
 
-def content_root(root: Node) -> Node:
-    """The only article or main element, if there is just one such; else the whole page."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            n = todo.pop()
-            if n.tag == tag and not n.apart:
-                found.append(n)
-            else:
-                todo += n.children
-        if len(found) == 1:
-            return found[0]
-    return root
-
-
 def _order(root: Node) -> list[Node]:
     out, todo = [], [root]
     while todo:
@@ -240,7 +225,7 @@ def blocks(page: Node, wrapper: Node, constant: set[int]) -> list[str]:
     """Texts of the page's varying slots in order, without what is apart from the article."""
     place = {id(n): i for i, n in enumerate(_order(wrapper))}
     template = {id(x) for x, y in tree_match(page, wrapper) if place[id(y)] in constant and x.text == y.text} if constant else set()
-    out, todo = [], [content_root(page)]
+    out, todo = [], [page]
     while todo:
         n = todo.pop()
         if n.apart or id(n) in template:
