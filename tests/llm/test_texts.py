@@ -312,6 +312,16 @@ def test_text_outside_the_only_article_stays(spark):
         assert got[20 + i] == f"Body {i}"
 
 
+def test_template_is_found_whichever_page_is_shortest(spark):
+    notice = "<div><p>Our offices move in May.</p></div>"
+    page = "<body>{1}<h1>Title {0}</h1><p>Body {0}</p><p>Read more on this site.</p></body>"
+    rows = [(i, "http://a.example/", page.format(i, notice if i else "")) for i in range(20)] + [(20, "http://a.example/", "<p>moved</p>")]
+    rows += [(30 + i, "http://b.example/", page.format(i, notice)) for i in range(3)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nBody {i}" for i in range(20)) and got[20] == "moved"
+    assert got[30].startswith("Our offices") and got[30].endswith("this site.")  # three pages are too few
+
+
 def test_tree_match_aligns_shifted_lists():
     a = wrapper.parse("<div><h1>t</h1><p>1</p><p>2</p></div>")
     b = wrapper.parse("<div><p>0</p><h1>t</h1><p>1</p><ul><li>x</ul><p>2</p></div>")

@@ -1,4 +1,4 @@
-"""Main text of web pages by wrapper induction: pages of a host are aligned by simple tree matching."""
+"""Main text of web pages by wrapper induction: what many of a host's pages repeat in the same place is template."""
 
 from __future__ import annotations
 
@@ -197,60 +197,61 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return found
 
 
-def _pages(frames: Iterator[pd.DataFrame]):
-    """(row, page tree, wrapper tree); the wrapper of a host is parsed once for all its rows in a frame."""
-    for pdf in frames:
-        last = None
-        for row in pdf.itertuples(index=False):
-            if last is None or last[0] != row.sample:
-                last = (row.sample, parse(row.sample))
-            yield row, parse(row.html), last[1]
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "big", signed=True)
 
 
-def _flat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, place, article): a row for each page with place -1, and one for each text of the wrapper that stands at
-    the same place of the page; article is a digest of the page's own text, so that copies count once."""
-    for pdf in frames:
-        found = set()
-        for row, page, wrapper in _pages(iter([pdf])):
-            text = "\n".join(blocks(page, wrapper, set())).encode("utf-8", "surrogatepass")
-            article = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
-            found.add((row.host, -1, article))
-            place = {id(n): i for i, n in enumerate(_order(wrapper))}
-            found |= {(row.host, place[id(y)], article) for x, y in tree_match(page, wrapper) if y.tag == "#text" and x.text == y.text}
-        yield pd.DataFrame(sorted(found), columns=["host", "place", "article"]).astype({"place": "int32", "article": "int64"})
-
-
-def blocks(page: Node, wrapper: Node, constant: set[int]) -> list[str]:
-    """Texts of the page's varying slots in order, without what is apart from the article."""
-    place = {id(n): i for i, n in enumerate(_order(wrapper))}
-    template = {id(x) for x, y in tree_match(page, wrapper) if place[id(y)] in constant and x.text == y.text} if constant else set()
-    out, todo = [], [page]
+def blocks(page: Node) -> list[tuple[int, str]]:
+    """(key, text) of the page's texts in order, without what is apart from the article; the key is a digest of the
+    names of the elements that the text stands in, and of the text."""
+    out, todo = [], [(page, 0)]
     while todo:
-        n = todo.pop()
-        if n.apart or id(n) in template:
+        n, path = todo.pop()
+        if n.apart:
             continue
         if n.tag == "header" and n is not page and not any(c.tag == "h1" for c in _order(n)):
             continue
+        above = path.to_bytes(8, "big", signed=True)
         if n.tag == "#text":
-            out.append(n.text)
-        todo += n.children[::-1]
+            out.append((_digest(above, n.text.encode("utf-8", "surrogatepass")), n.text))
+        elif n.children:
+            inner = _digest(above, n.tag.encode("utf-8", "surrogatepass"))
+            todo += [(c, inner) for c in n.children[::-1]]
     return out
 
 
+def _flat(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, place, article): for each page with text a row without place, and one for each key of its texts; article
+    is a digest of the page's own text, so that copies count once."""
+    for pdf in frames:
+        hosts, places, articles = [], [], []
+        for host, html in zip(pdf["host"], pdf["html"], strict=True):
+            found = blocks(parse(html))
+            if found:
+                article = _digest("\n".join(t for _, t in found).encode("utf-8", "surrogatepass"))
+                keys = [None, *{k for k, _ in found}]
+                hosts += [host] * len(keys)
+                places += keys
+                articles += [article] * len(keys)
+        yield pd.DataFrame({"host": pd.Series(hosts, dtype=object), "place": pd.Series(places, dtype="Int64"), "article": pd.Series(articles, dtype="int64")})
+
+
 def _extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        texts = ["\n\n".join(blocks(page, wrapper, set(row.constant if row.constant is not None else ()))) for row, page, wrapper in _pages(iter([pdf]))]
+        texts = []
+        for html, constant in zip(pdf["html"], pdf["constant"], strict=True):
+            template = set(constant if constant is not None else ())
+            texts.append("\n\n".join(t for k, t in blocks(parse(html)) if k not in template))
         yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages.
 
-    A host's wrapper starts from its shortest page. Every page of the host is aligned with it by simple
-    tree matching, and for each text of the wrapper the different articles are counted on whose pages the same text
-    stands in its place; texts that SHARE of the host's articles (LEAST_PAGES at least) repeat are template, slots
-    that vary are content. Copies of a page count once, so a host full of copies keeps its text. Slots in elements, roles or classes for menus, footers, adverts, forms, notices or comments
+    For each text and the element names it stands in, the different articles of the host are counted that hold it
+    there, over all pages; what SHARE of the host's articles (LEAST_PAGES at least) repeat is template, slots that vary
+    are content. Copies of a page count once, so a host full of copies keeps its text, and pages without text do not
+    count. Slots in elements, roles or classes for menus, footers, adverts, forms, notices or comments
     are left out too. Each run of inline text is a block: references decoded, white space made one space, trimmed;
     blocks are joined by a blank line.
 
@@ -258,16 +259,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     src = src.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1), F.lit(""))))
-    shortest = F.min(F.when(F.col("html") != "", F.struct(F.length("html"), F.col("page_id").alias("id"))))["id"]
-    first = src.groupBy("host").agg(shortest.alias("page_id"), F.count("*").alias("n")).where("page_id is not null")
-    sample = materialise(src.select("page_id", "host", F.col("html").alias("sample")).join(first, ["host", "page_id"]).dropDuplicates(["host"]).select("host", "n", "sample"))
-    several = src.join(sample.where(F.col("n") >= LEAST_PAGES), "host").select("host", "html", "sample")
-    seen = several.mapInPandas(_flat, "host string, place int, article long").distinct()
-    counts = materialise(seen.groupBy("host", "place").agg(F.count("*").alias("articles")))
-    of_host = counts.where("place = -1").select("host", F.col("articles").alias("all"))
-    constant = counts.where("place >= 0").join(of_host, "host").where(F.col("articles") >= F.greatest(F.col("all") * SHARE, F.lit(LEAST_PAGES))).groupBy("host").agg(F.collect_list("place").alias("constant"))
-    wrapped = materialise(sample.join(constant, "host", "left").select("host", "sample", "constant"))
+    seen = src.select("host", "html").mapInPandas(_flat, "host string, place long, article long").distinct()
+    counts = materialise(seen.groupBy("host", "place").agg(F.count("*").alias("articles")).where(F.col("articles") >= LEAST_PAGES))
+    of_host = counts.where("place is null").select("host", F.col("articles").alias("all"))
+    often = counts.where("place is not null").join(of_host, "host").where(F.col("articles") >= F.col("all") * SHARE)
+    constant = materialise(often.groupBy("host").agg(F.collect_list("place").alias("constant")))
     page_type, url_type = (src.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    joined = src.join(wrapped, "host", "left").select("page_id", "url", "html", F.coalesce("sample", F.lit("")).alias("sample"), "constant")
+    joined = src.join(constant, "host", "left").select("page_id", "url", "html", "constant")
     out = joined.mapInPandas(_extract, f"page_id {page_type}, url {url_type}, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
