@@ -322,6 +322,26 @@ def test_template_is_found_whichever_page_is_shortest(spark):
     assert got[30].startswith("Our offices") and got[30].endswith("this site.")  # three pages are too few
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<html><head><title>x</title><body><p>text", "text"),
+        ("<html><head><title>x</title><p>text", "text"),
+        ("<title>x<body><p>text</body>", "text"),
+        ("<div><button>Menu</div><p>text", "text"),
+        ("<body><select><option>a<option>b<p>text<p>more</body>", "text|more"),
+        ("<p>a</p><noscript><img src=x><div>b</div><p>c", "a|b|c"),
+        ("<div>one <svg><path d=x></div><p>two", "one|two"),
+        ("<p>a<iframe src=x><p>b</p></p><object data=y><p>c", "a|b|c"),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>", "let x=1 be"),
+        ("<p>one <button>no <div>no</div></button>two <svg><title>t</title><svg><p>no</p></svg></svg>three</p><script>if (a < b) '</p>'</script><p>four", "one two three|four"),
+        ("<noscript><p>no</p></noscript><ul><li>a<template><li>no</template><li>b</ul>", "a|b"),
+    ],
+)
+def test_pages_with_omitted_end_tags(html, want):
+    assert [n.text for n in wrapper._order(wrapper.parse(html)) if n.tag == "#text"] == want.split("|")
+
+
 def test_tree_match_aligns_shifted_lists():
     a = wrapper.parse("<div><h1>t</h1><p>1</p><p>2</p></div>")
     b = wrapper.parse("<div><p>0</p><h1>t</h1><p>1</p><ul><li>x</ul><p>2</p></div>")

@@ -15,7 +15,7 @@ from .common import materialise
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select button textarea".split())
+SILENT = frozenset("script style noscript template title iframe object svg canvas audio video select button textarea".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "html", "body"}
 #: Elements, ARIA roles and words of class and id that mark what is not the article.
@@ -32,19 +32,23 @@ CELLS = 250_000
 
 
 class Node:
-    __slots__ = ("apart", "children", "name", "tag", "text")
+    __slots__ = ("apart", "children", "held", "name", "tag", "text")
 
     def __init__(self, tag: str, name: str, apart: bool):
         self.tag, self.name, self.apart, self.children, self.text = tag, name, apart, [], ""
 
 
 class _Builder(HTMLParser):
-    """A tree of block elements. Each run of inline text between blocks is a leaf of its own, in page order."""
+    """A tree of block elements. Each run of inline text between blocks is a leaf of its own, in page order.
+
+    A silent element is read like others and left out at its end tag, with the run around it going on. One without end
+    tag ends with what encloses it: its text up to the first block is left out, its blocks are not.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", "#root", False)
-        self.path, self.run, self.silent = [self.root], [], 0
+        self.path, self.run = [self.root], []
 
     def flush(self):
         text = _SPACE.sub(" ", "".join(self.run)).strip(" ")
@@ -55,16 +59,21 @@ class _Builder(HTMLParser):
             self.path[-1].children.append(leaf)
 
     def _close(self, at: int):
-        self.flush()
-        del self.path[at:]
+        while len(self.path) > at:
+            self.flush()
+            node = self.path.pop()
+            if node.tag in SILENT:
+                self.run = node.held
+                first = next((i for i, c in enumerate(node.children) if c.tag != "#text"), None)
+                if first is not None:
+                    self.flush()
+                    self.path[-1].children += node.children[first:]
 
     def handle_starttag(self, tag, attrs):
-        if self.silent:
-            self.silent += tag == self.silent_tag and tag not in VOID
-            return
         if tag in SILENT:
-            if tag not in VOID:
-                self.silent, self.silent_tag = 1, tag
+            node = Node(tag, tag, False)
+            node.held, self.run = self.run, []
+            self.path.append(node)
             return
         if tag == "br":
             self.run.append(" ")
@@ -77,7 +86,7 @@ class _Builder(HTMLParser):
                 if self.path[i].tag == "p":
                     self._close(i)
                     break
-                if self.path[i].tag in ("td", "th", "table", "button"):
+                if self.path[i].tag in ("td", "th", "table") or self.path[i].tag in SILENT:
                     break
         closes = {"li": ("li", "ul ol menu dir"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}.get(tag)
         if closes:
@@ -85,7 +94,7 @@ class _Builder(HTMLParser):
                 if self.path[i].tag in closes[0].split():
                     self._close(i)
                     break
-                if self.path[i].tag in closes[1].split():
+                if self.path[i].tag in closes[1].split() or self.path[i].tag in SILENT:
                     break
         self.flush()
         if tag in VOID:
@@ -96,26 +105,26 @@ class _Builder(HTMLParser):
         self.path.append(node)
 
     def handle_endtag(self, tag):
-        if self.silent:
-            self.silent -= tag == self.silent_tag
-            return
         for i in range(len(self.path) - 1, 0, -1):
             if self.path[i].tag == tag:
-                self._close(i)
+                if tag in SILENT:
+                    self.run = self.path[i].held
+                    del self.path[i:]
+                else:
+                    self._close(i)
                 return
             if self.path[i].tag in ("article", "main", "body") and tag not in ("html", "body"):
                 return
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in SILENT:
-            if tag == "br" and not self.silent:
+            if tag == "br":
                 self.run.append(" ")
             return
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data):
-        if not self.silent:
-            self.run.append(data)
+        self.run.append(data)
 
 
 def _apart(tag: str, attrs) -> bool:
@@ -136,6 +145,7 @@ def parse(html: str | None) -> Node:
     b = _Builder()
     b.feed(html or "")
     b.close()
+    b._close(1)
     b.flush()
     return b.root
 
@@ -252,7 +262,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     there, over all pages; what SHARE of the host's articles (LEAST_PAGES at least) repeat is template, slots that vary
     are content. Copies of a page count once, so a host full of copies keeps its text, and pages without text do not
     count. Slots in elements, roles or classes for menus, footers, adverts, forms, notices or comments
-    are left out too. Each run of inline text is a block: references decoded, white space made one space, trimmed;
+    are left out too, and so are elements that show no text of the page (SILENT); where their end tag is missing, only
+    their text up to the first block. Each run of inline text is a block: references decoded, white space made one space, trimmed;
     blocks are joined by a blank line.
 
     What is grouped, (host, place, article) without repeats, is narrow; a hot host is split by the adaptive skew join. Null or empty html: empty text. Null or malformed urls share the empty host. Repeated rows stay.
