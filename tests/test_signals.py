@@ -101,3 +101,14 @@ def test_empty_inputs(spark):
     assert fe.welch(wi.samples(e), 16.0, 32).count() == 0
     s = spark.createDataFrame([], "ts timestamp_ntz")
     assert tl.resample(s, "day").count() == 0 and tl.by_hour(s).count() == 24
+
+
+def test_pacf_query_spans_a_week(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.plans import catalog
+
+    from .conftest import SMALL
+
+    got = catalog.queries()["pacf"](spark, SMALL).groupBy("event_type").agg(F.max("lag").alias("last"), F.count("*").alias("n")).collect()
+    assert got and all(r["last"] == 168 and r["n"] == 169 for r in got)

@@ -612,7 +612,7 @@ def acf(spark, d):
 
 @query()
 def pacf(spark, d):
-    p = tl.partial_autocorrelation(tl.autocorrelation(_typed(spark, d), 48, ("event_type",)), "event_type")
+    p = tl.partial_autocorrelation(tl.autocorrelation(_typed(spark, d), keys=("event_type",)), "event_type")
     return p.withColumn("pacf", F.round("pacf", 6))
 
 
