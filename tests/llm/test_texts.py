@@ -210,6 +210,22 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_short_items_that_end_in_punctuation(spark):
+    items, docs = [], []
+    for n in range(6, 14):
+        for end in (".", " ?!", "..."):
+            item = [f"i{len(items)}w{k}" for k in range(n)]
+            for wrong in range(n - int(np.ceil(n * 0.7 - 1e-9)) + 2):
+                docs.append(" ".join(["before", *(w if k >= wrong else "other" for k, w in enumerate(item)), "after", "that"]))
+            items.append(" ".join(item) + end)
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contaminated(d, b).collect()
+    want = {(i, j) for i, t in enumerate(docs) for j, x in enumerate(items) if _overlaps(t, x)}
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.overlap == 1 for r in got if "other" not in docs[r.doc_id])
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(12)
     rows = [(i, " ".join(["w"] * max(1, int(rng.lognormvariate(3, 1)))), rng.choice(["a", "B", "c", "é", None])) for i in range(1500)] + [(5000, None, "a"), (5001, " ", "empty"), (5002, "one two", "tiny"), (5003, "x", "tiny"), (None, "y z", "c")]

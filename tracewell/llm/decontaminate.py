@@ -19,8 +19,8 @@ BROADCAST_SEEDS = 2_000_000
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    inner = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[^\p{L}\p{N}]+", "")
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[^\p{L}\p{N}]+"))
+    # Separators at either end leave an empty piece each.
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _shifted(values: Column, by: int) -> Column:
