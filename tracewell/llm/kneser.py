@@ -178,8 +178,8 @@ def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "do
     id_type = base.schema["doc_id"].dataType.simpleString()
     parts = []
     for s in range(shards):
-        pdf = model.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == s).select("gram", F.col("logp").cast("float").alias("logp")).toPandas().sort_values("gram")
-        shared = spark.sparkContext.broadcast((pdf["gram"].to_numpy(np.int64).tobytes(), pdf["logp"].to_numpy(np.float32).tobytes()))
+        some = model.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == s).select("gram", F.col("logp").cast("float").alias("logp")).toArrow().sort_by("gram")
+        shared = spark.sparkContext.broadcast((some["gram"].to_numpy().tobytes(), some["logp"].to_numpy().tobytes()))
         parts.append(keyed.mapInArrow(_scorer(shared), f"doc_id {id_type}, lang string, digest binary, nats double, n long"))
     scored = parts[0]
     for p in parts[1:]:
