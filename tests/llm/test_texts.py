@@ -355,14 +355,145 @@ def test_template_is_found_whichever_page_is_shortest(spark):
     ],
 )
 def test_pages_with_omitted_end_tags(html, want):
-    assert [n.text for n in wrapper._order(wrapper.parse(html)) if n.tag == "#text"] == want.split("|")
+    assert wrapper.flatten(wrapper.parse(html))[2] == want.split("|")
 
 
-def test_tree_match_aligns_shifted_lists():
-    a = wrapper.parse("<div><h1>t</h1><p>1</p><p>2</p></div>")
-    b = wrapper.parse("<div><p>0</p><h1>t</h1><p>1</p><ul><li>x</ul><p>2</p></div>")
-    pairs = {(x.text, y.text) for x, y in wrapper.tree_match(a, b) if x.tag == "#text"}
-    assert pairs == {("t", "t"), ("1", "1"), ("2", "2")}
+def _texts(html):
+    return wrapper.flatten(wrapper.parse(html))[2]
+
+
+def test_class_words_within_and_outside_the_article():
+    kept = ["side-note", "tag-line", "legal-analysis", "share-price", "notice-board", "popular", "menu-card"]
+    inside = "<article><p>a</p>" + "".join(f'<div class="{c}">{c}</div>' for c in kept) + '<div class="ad">no</div><section id="comments">no</section></article>'
+    assert _texts(inside) == ["a", *kept]
+    outside = "".join(f'<div class="{c}">{c}</div>' for c in ("side-note", "notice-board", "share-price")) + '<div class="cookie-notice">no</div><div class="site-nav">no</div><div class="ad-slot-3">no</div><p>b</p>'
+    assert _texts(outside) == ["side-note", "notice-board", "share-price", "b"]
+    assert _texts("<form action=x><header><h1>t</h1></header><p>whole page</p></form><form>q</form><header>logo</header>") == ["t", "whole page"]
+    assert _texts("one <span class=ad>no <span>no</span> no</span>two <b hidden>no</b>") == ["one two"]
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [("a <!-- x > y --> b<!-- c > d", "a b d"), ("1 < 2 <3 & 4", "1 < 2 <3 & 4"), ("<p title='a>b' class=it's>x", "x"), ("<p>x</p", "x"), ("<script>var a='<p>b'", "b'"), ("<!doctype html><?x?>t</ >u", "tu"), ("&lt;p&gt; &#x1F600;", "<p> \U0001f600"), ('<a b="<p>c', "c"), ("a<br/>b<hr/>c", "a b|c")],
+)
+def test_odd_markup(html, want):
+    assert _texts(html) == want.split("|")
+
+
+def test_deep_wide_and_long_pages(spark):
+    deep = "<div>" * 5000 + "<h1>Title {0}</h1><p>Body {0}</p>" + "</div>" * 5000
+    wide = "".join(f"<h{i % 5 + 2}>h{i} {{0}}</h{i % 5 + 2}><p>t{i} {{0}}</p>" for i in range(1500))
+    other = "<ul><li>x {0}</ul>" + "".join(f"<h{i * 7 % 5 + 2}>h{i} {{0}}</h{i * 7 % 5 + 2}><p>t{i} {{0}}</p>" for i in range(1500))
+    long = "<p>" + "word {0} " * 200_000 + "</p>"
+    rows = [(10 * k + i, f"http://h{k // 2}.example/", p.format(i)) for k, p in enumerate((deep, deep.replace("<h1>", "<h2>"), wide, other, long)) for i in range(3)]
+    got = {r.page_id: r.n_chars for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "n_chars").collect()}
+    assert len(got) == 15 and got[0] == len("Title 0\n\nBody 0") and got[40] == 200_000 * 7 - 1 and got[20] > 1500 * 10
+
+
+PLAIN = "<body><div><a href=1>Home {1}</a> <a href=2>News {2}</a></div>{3}<div>We use small files, so carry on.</div><div><h1><a href=x>Title {0}</a></h1><p>First {0} of <a href=y>the</a> text {1}.</p><p>Second {2}</p></div><div><a href=3>Next {2}</a> <a href=4>Last {1}</a></div></body>"
+
+
+def _plain_pages():
+    rng = random.Random(4)
+    rows = []
+    for i in range(24):
+        extra = "<div>Only here {0}: a longer remark on the day, in some words.</div>".format(i) if i % 3 == 0 else ""
+        rows.append((i, "http://plain.example/", PLAIN.format(i, rng.randint(0, 999), rng.randint(0, 999), extra)))
+    return [*rows, (50, "http://two.example/", rows[0][2]), (51, "http://two.example/", rows[1][2])]
+
+
+def test_alignment_decides_where_nothing_is_marked(spark):
+    """No article, class or role tells parts from each other: only the host's aligned slots do."""
+    rows = _plain_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(df).collect()}
+    for i in range(24):
+        assert got[i].startswith("Only here" if i % 3 == 0 else "Title") and got[i].count("\n\n") == (3 if i % 3 == 0 else 2), got[i]
+        assert not {"Home", "News", "Next", "files"} & set(re.findall(r"\w+", got[i]))
+    assert "Home" in got[50] and "small files" in got[51]  # two pages are too few
+    off = {r.page_id: r.text for r in wrapper.main_text(df, least=10**6).collect()}
+    assert all(off[i] != got[i] and "Home" in off[i] for i in range(24))
+
+
+def _plain_match(one, two):
+    """Simple tree matching as in the textbook, by recursion: partner in two of each node of one."""
+    trees = []
+    for depths, names in (one, two):
+        kids, up = [[] for _ in names], []
+        for i, d in enumerate(depths):
+            del up[d:]
+            if up:
+                kids[up[-1]].append(i)
+            up.append(i)
+        trees.append((names, kids))
+    (n1, k1), (n2, k2) = trees
+
+    def table(a, b):
+        xs, ys = k1[a], k2[b]
+        w = [[score(x, y) for y in ys] for x in xs]
+        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i in range(len(xs)):
+            for j in range(len(ys)):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + w[i][j])
+        return m, w
+
+    def score(a, b):
+        return 1 + table(a, b)[0][-1][-1] if n1[a] == n2[b] else 0
+
+    return score(0, 0)
+
+
+def test_matching_equals_the_plain_recursion():
+    rng = random.Random(8)
+
+    def tree(depth):
+        return "".join(f"<{t}>{'x' if rng.random() < 0.3 else ''}{tree(depth - 1)}</{t}>" for t in rng.choices(["div", "ul", "section", "p" if depth == 1 else "ol"], k=rng.randint(0, 4))) if depth else "x"
+
+    for _ in range(200):
+        one, two = (wrapper.flatten(wrapper.parse(tree(3)))[:2] for _ in range(2))
+        m = wrapper.Matcher()
+        a, b = m.skeleton(*one), m.skeleton(*two)
+        found = m.match(a, b)
+        assert sum(x is not None for x in found) == _plain_match(one, two)
+        pairs = [(i, j) for i, j in enumerate(found) if j is not None]
+        assert all(a.names[i] == b.names[j] for i, j in pairs) and all(x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+
+
+def test_pages_equal_brute_force(spark):
+    """Slots, counts and menus of the whole operator, recounted in plain loops over all pages."""
+    rows = _plain_pages() + [(100 + i, f"http://h{i % 2}.example/x", PAGE.format(i)) for i in range(14)] + [(200 + i, "http://plain.example/", PLAIN.format(99, 1, 2, "")) for i in range(3)]
+    got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    hosts = {}
+    for i, url, page in rows:
+        hosts.setdefault(url.split("/")[2], []).append((i, wrapper.flatten(wrapper.parse(page))))
+    for pages in hosts.values():
+        shapes = {}
+        for _, p in pages:
+            shapes.setdefault((tuple(p[0]), tuple(p[1])), []).append(p)
+        most = max(len(v) for v in shapes.values())
+        chosen = [s for s, v in shapes.items() if len(v) == most]
+        assert len(chosen) == 1
+        seen = {}
+        for _, (depths, names, texts, nodes, linked) in pages:
+            m = wrapper.Matcher()
+            found = m.match(m.skeleton(depths, names), m.skeleton(*chosen[0]))
+            for t, n, k in zip(texts, nodes, linked, strict=True):
+                slot = found[n] if found[n] is not None else ("own", depths[n], names[n])
+                seen.setdefault(slot, {}).setdefault(tuple(texts), {})[t] = k
+        articles = {tuple(p[2]) for _, p in pages}
+        for i, (depths, names, texts, nodes, _) in pages:
+            m = wrapper.Matcher()
+            found = m.match(m.skeleton(depths, names), m.skeleton(*chosen[0]))
+            want = []
+            for t, n in zip(texts, nodes, strict=True):
+                by_article = seen[found[n] if found[n] is not None else ("own", depths[n], names[n])]
+                holding = sum(t in x for x in by_article.values())
+                leaves = [(len(u), k) for x in by_article.values() for u, k in x.items()]
+                chars = sum(c for c, _ in leaves)
+                menu = len(by_article) * 2 >= len(articles) and sum(k for _, k in leaves) >= chars * 0.5 and chars <= 60 * len(leaves)
+                if len(articles) < 4 or not (menu or holding >= max(4, 0.8 * len(articles))):
+                    want.append(t)
+            assert got[i] == "\n\n".join(want), i
 
 
 def test_word_count(spark):
