@@ -131,17 +131,26 @@ def _kneser_ney(train, order):
     return p
 
 
-def test_quality_equals_plain_model(spark):
+def _folds(spark, ids, folds):
+    """Fold of each id, as the operator deals them."""
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    return {r.doc_id: r.f for r in df.select("doc_id", (F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id").cast("string")), F.lit(folds)) + 1).alias("f")).collect()}
+
+
+@pytest.mark.parametrize("common", [0, 60, 1 << 20])
+def test_quality_equals_plain_model(spark, common):
     rng = random.Random(9)
     texts = [" ".join(rng.choice(WORDS["en"].split()) for _ in range(rng.randint(3, 30))) for _ in range(40)] + ["%%& &&% zzz qqq", "é", None, ""]
     docs = spark.createDataFrame([(i, t, "en" if i % 2 else None, 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, kept int").repartition(3)
     trusted = spark.createDataFrame([(i,) for i in range(30)] + [(3,), (None,)], "doc_id long")
-    got = {r.doc_id: r for r in kneser.quality_by_perplexity(docs, trusted).collect()}
-    p = _kneser_ney(texts[:30], kneser.ORDER)
+    got = {r.doc_id: r for r in kneser.quality_by_perplexity(docs, trusted, folds=3, common=common).collect()}
+    fold = _folds(spark, range(30), 3)
+    models = [_kneser_ney([texts[i] for i in range(30) if fold[i] != f], kneser.ORDER) for f in range(4)]
     for i, t in enumerate(texts):
         if not t:
             assert got[i].perplexity is None and not got[i].kept
             continue
+        p = models[fold[i] if i < 30 else 0]
         b = bytes(kneser.ORDER - 1) + t.lower().encode()
         nats = -np.mean([np.log(p(b[j : j + kneser.ORDER])) for j in range(len(b) - kneser.ORDER + 1)])
         assert abs(np.log(got[i].perplexity) - nats) < 1e-5, t
@@ -149,27 +158,37 @@ def test_quality_equals_plain_model(spark):
     assert kneser.quality_by_perplexity(docs.limit(0), trusted).count() == 0
 
 
-def test_quality_in_several_shards(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["the of and", "of the", "zz"])], "doc_id long, text string, lang string")
-    one = {r.doc_id: r.perplexity for r in kneser.quality_by_perplexity(docs, docs).collect()}
-    monkeypatch.setattr(kneser, "SHARD", 7)
-    many = {r.doc_id: r.perplexity for r in kneser.quality_by_perplexity(docs, docs).collect()}
-    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 for k in one)
-
-
-def test_quality_keeps_repeated_and_null_ids_in_several_shards(spark, monkeypatch):
-    rows = [(1, "the of and", "en"), (1, "the of and", "en"), (1, "of the", "en"), (1, "of the", "de"), (2, "in the of", "en"), (2, None, "en"), (2, "", "en")]
+@pytest.mark.parametrize("common", [0, 7, 1 << 20])
+def test_quality_keeps_repeated_and_null_ids(spark, common):
+    rows = [(1, "the of and", "en"), (1, "the of and", "en"), (1, "of the", "en"), (1, "of the", "de"), (2, "in the of", "en"), (2, None, "en"), (2, "en", None), (2, "", "en")]
     rows += [(None, t, lang) for t in ("the of and", "zz", "zz", None) for lang in ("en", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    alone = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
     trusted = spark.createDataFrame([(1,), (2,)], "doc_id long")
-    figures = lambda r: tuple(None if x is None else round(x, 6) for x in (r.perplexity, r.low, r.threshold))
-    by_row = {r.doc_id: r for r in kneser.quality_by_perplexity(alone, spark.createDataFrame([(i,) for i in range(7)], "doc_id long")).collect()}
-    want = sorted(((rows[i][0], r.lang, *figures(r), r.kept) for i, r in by_row.items()), key=str)
-    for shard in (3_000_000, 7):
-        monkeypatch.setattr(kneser, "SHARD", shard)
-        got = sorted(((r.doc_id, r.lang, *figures(r), r.kept) for r in kneser.quality_by_perplexity(docs, trusted).collect()), key=str)
-        assert got == want and len(got) == len(rows), shard
+    got = sorted(((r.doc_id, r.lang, r.perplexity and round(r.perplexity, 5)) for r in kneser.quality_by_perplexity(docs, trusted, folds=2, common=common).collect()), key=str)
+    fold = _folds(spark, (1, 2), 2)
+    taught = [(i, t) for i, t, _ in rows if i is not None and t]
+    models = [_kneser_ney([t for i, t in taught if fold[i] != f], kneser.ORDER) for f in range(3)]
+    want = []
+    for i, t, lang in rows:
+        b = bytes(kneser.ORDER - 1) + (t or "").encode()
+        nats = [np.log(models[fold.get(i, 0)](b[j : j + kneser.ORDER])) for j in range(len(b) - kneser.ORDER + 1)]
+        want.append((i, lang, round(float(np.exp(-np.mean(nats))), 5) if t else None))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want, key=str)]
+    assert all(x[2] == y[2] or abs(x[2] - y[2]) < 1e-4 for x, y in zip(got, sorted(want, key=str), strict=True))
+
+
+def test_quality_of_documents_never_seen(spark):
+    """Half of the good documents train; the other half is kept as often. Junk goes, as labels has it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    good = labels.where("quality = 1").select("doc_id")
+    taught = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    got = kneser.quality_by_perplexity(docs, taught).join(labels, "doc_id").join(taught.withColumn("taught", F.lit(True)), "doc_id", "left").toPandas()
+    fine = got[got.quality == 1]
+    seen, new = fine[fine.taught == True].kept.mean(), fine[fine.taught.isna()].kept.mean()  # noqa: E712
+    assert seen > 0.9 and new > seen - 0.05, (seen, new)
+    whole = kneser.quality_by_perplexity(docs, good).join(labels, "doc_id").toPandas()
+    print("kept", seen, new, whole.groupby("quality").kept.mean().to_dict())
+    assert whole[whole.quality == 1].kept.mean() > 0.9 and whole[whole.quality == 0].kept.mean() < 0.6
 
 
 def _overlaps(text, item, window=13, share=0.7):
