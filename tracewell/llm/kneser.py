@@ -16,6 +16,8 @@ ORDER = 5
 #: So many of the commonest n-grams, however large the corpus, are sent to all tasks with their probabilities (8 bytes
 #: and 4 for each fold); all others are joined by key.
 COMMON = 1 << 20
+#: Bits of the bitmap of trusted ids (8 MB): where there are many more of them, it only spares less.
+BITMAP = 1 << 26
 
 
 class Table:
@@ -68,16 +70,20 @@ def codes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, at = np.unique(np.concatenate(keys), return_inverse=True)
-    both = np.concatenate(counts)
-    return k, np.stack([np.bincount(at, both[:, f], len(k)).astype(np.int64) for f in range(both.shape[1])], 1)
+    return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
 
 
 def _counter(folds: int):
-    names = ["gram", "seen", *(f"n{f}" for f in range(1, folds + 1))]
+    names, width = ["gram", "seen", *(f"n{f}" for f in range(1, folds + 1))], folds + 1
 
     def made(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000]), *(pa.array(n[a : a + 100_000, f]) for f in range(folds + 1))], names=names)
+        g = k // width
+        first = np.flatnonzero(np.diff(g, prepend=-1))
+        wide = np.zeros((len(first), width), np.int64)
+        wide[np.cumsum(np.diff(g, prepend=-1) != 0) - 1, k % width] = n
+        wide[:, 0] = wide.sum(axis=1)
+        for a in range(0, len(first), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(g[first[a : a + 100_000]]), *(pa.array(wide[a : a + 100_000, f]) for f in range(width))], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(gram, seen, n1, ...): distinct n-grams of all texts, with their count in all and in the trusted ones of
@@ -87,11 +93,7 @@ def _counter(folds: int):
             data, off = tk.utf8(batch.column(1))
             fold = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, end, part, own in tk.slices(data, off):
-                c = codes(part, own)
-                k, at = np.unique(c, return_inverse=True)
-                of = np.repeat(fold[first:end], np.diff(own))
-                n = np.bincount(at * (folds + 1) + of, minlength=len(k) * (folds + 1)).reshape(-1, folds + 1)
-                n[:, 0] = n.sum(axis=1)
+                k, n = np.unique(codes(part, own) * width + np.repeat(fold[first:end], np.diff(own)), return_counts=True)
                 keys.append(k)
                 counts.append(n)
                 held += len(k)
@@ -196,6 +198,20 @@ def _scorer(shared):
     return score
 
 
+def _with_fold(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """(fold, text) of all rows of base, fold 0 where ids has not their doc_id. A bitmap of the hashed ids, of fixed
+    size, is sent to the tasks first, so that only texts whose bit is set are moved to be joined with ids."""
+    place = (F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1).alias("place")
+    bits = ids.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    looked = base.select("doc_id", "fold", "text", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(bits), "bucket", "left")
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    looked = looked.withColumn("maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    sure = looked.where("not maybe").select(F.lit(0).alias("fold"), "text")
+    found = looked.where("maybe").select("doc_id", "fold", "text").join(ids.hint("shuffle_hash"), "doc_id", "left")
+    return sure.unionByName(found.select(F.when(F.col("trusted"), F.col("fold")).otherwise(0).alias("fold"), "text"))
+
+
 def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.99, low_quantile: float = 0.003, folds: int = 4, common: int = COMMON) -> DataFrame:
     """(doc_id, lang, perplexity, low, threshold, kept), a row for each row of docs.
 
@@ -216,7 +232,7 @@ def quality_by_perplexity(docs: DataFrame, trusted: DataFrame, id_col: str = "do
     ids = trusted.select(F.col(id_col).alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     fold = (F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id").cast("string")), F.lit(folds)) + 1).cast("int")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).withColumn("fold", fold)
-    marked = base.join(ids, "doc_id", "left").select(F.when(F.col("trusted"), F.col("fold")).otherwise(0).alias("fold"), "text")
+    marked = _with_fold(base, ids)
     columns = ", ".join(f"n{f} long" for f in range(1, folds + 1))
     counted = marked.mapInArrow(_counter(folds), f"gram long, seen long, {columns}").groupBy("gram")
     grams = materialise(counted.agg(F.sum("seen").alias("seen"), *(F.sum(f"n{f}").alias(f"n{f}") for f in range(1, folds + 1))))
