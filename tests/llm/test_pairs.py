@@ -121,20 +121,84 @@ def test_vectors_equal_brute_force(spark, block):
         assert got[i].component_id == want[i] and got[i].kept == (want[i] == i)
 
 
-def test_cover_tree_bounds():
-    rng = np.random.default_rng(8)
-    x = np.concatenate([c + 0.05 * rng.normal(size=(120, 6)) for c in rng.normal(size=(9, 6))])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+def _tight_groups(groups, size, dim=64, spread=0.01, seed=8):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(groups, dim)), size, axis=0)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) + spread * rng.normal(size=x.shape)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_net_covers_and_separates():
+    x = _tight_groups(40, 9, dim=5, spread=0.1)
+    for radius in (1.0, 0.5, 0.25, 0.0):
+        centres, owner = embedding.net(x, radius)
+        assert (np.linalg.norm(x - x[centres][owner], axis=1) <= radius + 1e-6).all()
+        d = np.linalg.norm(x[centres][:, None] - x[centres][None], axis=2)
+        assert (d[np.triu_indices(len(centres), 1)] > radius - 1e-6).all()
+
+
+@pytest.mark.parametrize(("x", "other"), [(_tight_groups(9, 120, dim=6, spread=0.05), _tight_groups(9, 40, dim=6, spread=0.2)), (_tight_groups(60, 10), _tight_groups(60, 10, seed=3)), (_tight_groups(1, 500, spread=0.03), _tight_groups(1, 50))])
+def test_cover_tree_bounds_and_pairs(x, other):
+    one, two = embedding.CoverTree(x), embedding.CoverTree(other)
+    for t in (one, two):
+        for c, r, a, b, kids in zip(t.center, t.radius, t.begin, t.end, t.children, strict=True):
+            assert (np.linalg.norm(t.x[t.order[a:b]] - t.x[c], axis=1) <= r + 1e-6).all()
+            if kids is not None:
+                assert sum(t.end[k] - t.begin[k] for k in kids) == b - a and c in t.center[kids]
+            else:
+                assert b - a <= embedding.LEAF or r <= 1e-7
+    for t, same in ((one, True), (two, False)):
+        d = np.linalg.norm(x[:, None] - t.x[None], axis=2)
+        count = np.zeros(d.shape, int)
+        for p, q, sure in embedding.dual_pairs(one, t, 0.3):
+            if sure is None:
+                count[p, q] += 1
+            else:
+                assert not sure or (d[np.ix_(p, q)] <= 0.3).all()
+                count[np.ix_(p, q)] += 1
+        if same:
+            count = np.triu(count + count.T * (count.T != count), 1) + np.tril(np.ones_like(count))
+        assert (count[d <= 0.3] == 1).all() and (count <= 1).all()
+
+
+def test_tight_groups_leave_most_pairs_out():
+    x = _tight_groups(300, 10)
     t = embedding.CoverTree(x)
-    for c, r, a, b, kids in zip(t.center, t.radius, t.begin, t.end, t.children, strict=True):
-        assert (np.linalg.norm(x[t.order[a:b]] - x[c], axis=1) <= r + 1e-9).all()
-        assert not kids or sum(t.end[k] - t.begin[k] for k in kids) == b - a
-    seen = set()
-    for p, q in embedding.dual_pairs(t, t, 0.3):
-        seen |= {(min(i, j), max(i, j)) for i in p for j in q}
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    assert all((i, j) in seen for i, j in zip(*np.nonzero(d <= 0.3), strict=True) if i < j)
-    assert len(seen) < len(x) ** 2 / 3
+    made = sum(1 if sure else len(p) if sure is None else len(p) * len(q) for p, q, sure in embedding.dual_pairs(t, t, 0.374))
+    assert t.compared + made < 0.1 * len(x) * (len(x) - 1) / 2
+
+
+def _parts_sent(spark, monkeypatch, x, block):
+    """Rows that the comparing tasks of one label take in, and the result."""
+    rows = [(i, v.tolist(), 7) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    counter = spark.sparkContext.accumulator(0)
+    real = embedding._linker
+
+    def counting(threshold):
+        link = real(threshold)
+
+        def run(pdf):
+            counter.add(len(pdf))
+            return link(pdf)
+
+        return run
+
+    monkeypatch.setattr(embedding, "_linker", counting)
+    got = {r.vec_id: r for r in embedding.near_vectors(df, block=block).collect()}
+    monkeypatch.setattr(embedding, "_linker", real)
+    return counter.value, got
+
+
+def test_hot_label_of_tight_groups(spark, monkeypatch):
+    """Four times the vectors of a label in tight groups: not much more than four times the rows sent, all links found."""
+    small, _ = _parts_sent(spark, monkeypatch, _tight_groups(40, 15), 60)
+    x = _tight_groups(40, 60)
+    large, got = _parts_sent(spark, monkeypatch, x, 60)
+    assert large < 6 * small and large < 3 * len(x), (small, large)
+    near = x @ x.T >= 0.93
+    for i in range(len(x)):
+        assert (got[i].n_links, got[i].component_id) == (near[i].sum() - 1, i // 60 * 60)
 
 
 def test_vectors_empty(spark):

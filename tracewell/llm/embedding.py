@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: cover trees over blocks of vectors, traversed in pairs with covering-radius bounds."""
+"""Near-duplicate vectors: cover trees over cells of vectors, traversed in pairs with covering-radius bounds."""
 
 from __future__ import annotations
 
@@ -12,87 +12,126 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .components import connected_components
 
-#: Nodes with no more points than this are compared point by point.
-LEAF = 128
+#: Nodes with no more points than this are not split further.
+LEAF = 8
+#: Rows of a table of distances that is made at once.
+TILE = 1024
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors, each row of x to each of y; off by less than 1e-7."""
+    return np.sqrt(np.maximum(0, 2 - 2 * (x @ y.T)))
+
+
+def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, owner): points of x farther than radius from each other, so that each point is within radius of one;
+    owner is the number of a point's centre."""
+    centres: list[int] = []
+    owner = np.zeros(len(x), np.int64)
+    for a in range(0, len(x), 256):
+        part, left = x[a : a + 256], np.arange(a, min(a + 256, len(x)))
+        if centres:
+            d = distances(part, x[centres])
+            owner[left] = d.argmin(axis=1)
+            far = d[np.arange(len(left)), owner[left]] > radius
+            part, left = part[far], left[far]
+        own = distances(part, part)
+        open_ = np.ones(len(left), bool)
+        for i in range(len(left)):
+            if open_[i]:
+                mine = open_ & (own[i] <= radius)
+                mine[i] = True
+                owner[left[mine]] = len(centres)
+                open_ &= ~mine
+                centres.append(int(left[i]))
+    return np.array(centres, np.int64), owner
 
 
 class CoverTree:
-    """Nested levels with halving radii over unit vectors: every point of a node lies within the node's radius (the
-    largest distance found, at most the level's) of the node's centre, itself a point."""
+    """Nested levels with halving radii over unit vectors. The centres of a level are farther apart than its radius and
+    cover all points of their node; radius holds the largest distance found, so that every point of a node lies within
+    it of the node's centre, itself a point. compared counts the distances that a traversal makes."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
-        self.order = np.arange(len(x))
-        self.center, self.radius, self.begin, self.end, self.children = [], [], [], [], []
-        d = np.linalg.norm(x - x[0], axis=1)
-        self._node(0, float(d.max()), 0, len(x))
+        self.x, self.order, self.compared = x, np.arange(len(x)), 0
+        self.center, self.radius, self.begin, self.end, self.children = [0], [float(distances(x, x[:1]).max())], [0], [len(x)], [None]
         todo = [(0, 1.0)]
         while todo:
             node, level = todo.pop()
             a, b = self.begin[node], self.end[node]
-            if b - a <= LEAF or self.radius[node] == 0:
-                continue
-            while level > self.radius[node]:
+            while level > self.radius[node] > 1e-7:
                 level /= 2
-            todo += [(child, level / 2) for child in self._split(node, level)]
-
-    def _node(self, center: int, radius: float, begin: int, end: int) -> int:
-        for field, value in zip((self.center, self.radius, self.begin, self.end, self.children), (center, radius, begin, end, []), strict=True):
-            field.append(value)
-        return len(self.center) - 1
-
-    def _split(self, node: int, level: float) -> list[int]:
-        """Cover the node's points with balls of radius level around points of it. Where balls of that size would
-        hold hardly more than their centres, the nearest of a few far-apart centres takes each point instead."""
-        a, b = self.begin[node], self.end[node]
-        own = self.order[a:b].copy()
-        pts = self.x[own]
-        picks, most = [0], max(2, int(np.sqrt(b - a)))
-        best = np.linalg.norm(pts - pts[0], axis=1)
-        side = np.zeros(len(own), np.int64)
-        while len(picks) < most:
-            far = int(best.argmax())
-            if best[far] <= level:
-                break
-            d = np.linalg.norm(pts - pts[far], axis=1)
-            closer = d < best
-            side[closer], best[closer] = len(picks), d[closer]
-            picks.append(far)
-        if len(picks) == 1:
-            return [node] if level > 1e-9 else []
-        rank = np.argsort(side, kind="stable")
-        self.order[a:b] = own[rank]
-        made, at = [], a
-        for j, n in enumerate(np.bincount(side, minlength=len(picks)).tolist()):
-            if n:
-                made.append(self._node(int(own[picks[j]]), float(best[side == j].max()), at, at + n))
-            at += n
-        self.children[node] = made
-        return made
-
-
-def dual_pairs(one: CoverTree, two: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of point lists (rows of one, rows of two) that together hold every pair within reach of each other.
-
-    A pair of nodes is dropped when the distance of the centres exceeds reach plus both radii; of the others the
-    node with the larger radius is opened, until both are leaves. With one is two each pair of nodes comes once.
+            if b - a <= LEAF or self.radius[node] <= 1e-7:
+                continue
+            own = self.order[a:b]
+            own = np.concatenate([[self.center[node]], own[own != self.center[node]]])
+            centres, owner = net(x[own], level)
+            rank = np.argsort(owner, kind="stable")
+            self.order[a:b] = own[rank]
+            made, at = [], a
+            for c, n in zip(own[centres].tolist(), np.bincount(owner, minlength=len(centres)).tolist(), strict=True):
+                self.center.append(c)
+                self.radius.append(float(distances(x[self.order[at : at + n]], x[c : c + 1]).max()) if n > 1 else 0.0)
+                self.begin.append(at)
+                self.end.append(at + n)
+                self.children.append(None)
+                made.append(len(self.center) - 1)
+                at += n
+            self.children[node] = np.array(made)
+            todo += [(m, level / 2) for m in made if self.end[m] - self.begin[m] > LEAF]
+        self.center, self.radius, self.begin, self.end = (np.array(v) for v in (self.center, self.radius, self.begin, self.end))
+
+    def points(self, node: int) -> np.ndarray:
+        return self.order[self.begin[node] : self.end[node]]
+
+
+def dual_pairs(one: CoverTree, two: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows of one, rows of two, sure): lists that together hold every pair within reach of each other, each once; of
+    a sure one all pairs are.
+
+    A pair of nodes is dropped when the distance of the centres exceeds reach and both radii, and taken whole when it
+    and both radii are within reach. Of the others the node with the larger radius is opened (both, where they are
+    alike), and the distances of the children's centres are made as one table. Two leaves are left to be compared
+    point by point. With one is two each pair of points comes once, and a leaf with itself as itself.
     """
     same = one is two
-    todo = [(0, 0)]
+    alone = np.zeros(1, np.int64)
+    todo = [(alone, alone)]
     while todo:
-        a, b = todo.pop()
-        gap = float(np.linalg.norm(one.x[one.center[a]] - two.x[two.center[b]]))
-        if gap > reach + one.radius[a] + two.radius[b] + 1e-9:
-            continue
-        ca, cb = one.children[a], two.children[b]
-        if same and a == b and ca:
-            todo += [(x, y) for i, x in enumerate(ca) for y in ca[i:]]
-        elif ca and (not cb or one.radius[a] >= two.radius[b]):
-            todo += [(x, b) for x in ca]
-        elif cb:
-            todo += [(a, y) for y in cb]
-        else:
-            yield one.order[one.begin[a] : one.end[a]], two.order[two.begin[b] : two.end[b]]
+        many, others = todo.pop()
+        for first in range(0, len(many), TILE):
+            rows = many[first : first + TILE]
+            gap = distances(one.x[one.center[rows]], two.x[two.center[others]])
+            one.compared += gap.size
+            around = one.radius[rows][:, None] + two.radius[others][None, :]
+            near = gap <= reach + around + 1e-6
+            if same and many is others:
+                near &= np.arange(first, first + len(rows))[:, None] <= np.arange(len(others))[None, :]
+            single = (one.end - one.begin)[rows][:, None] * (two.end - two.begin)[others][None, :] == 1
+            if same:
+                single &= rows[:, None] != others[None, :]
+            i, j = np.nonzero(near & single)
+            if len(i):
+                yield one.order[one.begin[rows[i]]], two.order[two.begin[others[j]]], None
+            whole = gap + around <= reach - 1e-5
+            for i, j in zip(*np.nonzero(near & ~single), strict=True):
+                a, b = int(rows[i]), int(others[j])
+                ca, cb = one.children[a], two.children[b]
+                if same and a == b:
+                    if ca is None:
+                        yield one.points(a), two.points(a), False
+                    else:
+                        todo.append((ca, ca))
+                elif whole[i, j]:
+                    yield one.points(a), two.points(b), True
+                elif ca is None and cb is None:
+                    yield one.points(a), two.points(b), False
+                elif cb is None or ca is not None and one.radius[a] > 2 * two.radius[b]:
+                    todo.append((ca, np.array([b])))
+                elif ca is None or two.radius[b] > 2 * one.radius[a]:
+                    todo.append((np.array([a]), cb))
+                else:
+                    todo.append((ca, cb))
 
 
 def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -112,50 +151,110 @@ def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         root = new
 
 
+class Links:
+    """Links of the points of two trees, or of one: weighted counts, and pairs that join what is joined."""
+
+    def __init__(self, raw: np.ndarray, times: np.ndarray, threshold: float):
+        self.raw, self.times, self.threshold = raw, times, threshold
+        self.norm = np.linalg.norm(raw, axis=1)
+        self.count, self.pairs = np.zeros(len(raw), np.int64), []
+
+    def confirm(self, i: np.ndarray, j: np.ndarray):
+        for a in range(0, len(i), 1 << 16):
+            p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+            hit = np.einsum("ij,ij->i", self.raw[p], self.raw[q]) / (self.norm[p] * self.norm[q]) >= self.threshold
+            p, q = p[hit], q[hit]
+            np.add.at(self.count, p, self.times[q])
+            np.add.at(self.count, q, self.times[p])
+            self.pairs.append((p, q))
+
+    def take(self, p: np.ndarray, q: np.ndarray, sure: bool | None):
+        if sure is None:
+            self.confirm(p, q)
+        elif sure:
+            self.count[p] += self.times[q].sum()
+            self.count[q] += self.times[p].sum()
+            self.pairs += [(p, np.full(len(p), q[0])), (np.full(len(q), p[0]), q)]
+        elif p is q or len(p) == len(q) and (p == q).all():
+            i, j = np.triu_indices(len(p), 1)
+            self.confirm(p[i], p[j])
+        else:
+            self.confirm(np.repeat(p, len(q)), np.tile(q, len(p)))
+
+
 def _linker(threshold: float):
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-7
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         """Both blocks of a pair (or one block with itself): per vector its weighted links, and a root it reaches."""
         pdf = pdf.sort_values("node").reset_index(drop=True)
         raw = np.vstack([np.frombuffer(v, np.float64) for v in pdf["vec"]])
-        norm = np.linalg.norm(raw, axis=1)
-        unit = raw / norm[:, None]
-        first = np.flatnonzero(pdf["block"].to_numpy() == pdf["low"].iloc[0])
-        alone = pdf["low"].iloc[0] == pdf["high"].iloc[0]
-        second = first if alone else np.flatnonzero(pdf["block"].to_numpy() == pdf["high"].iloc[0])
-        times, links, pairs = pdf["times"].to_numpy(np.int64), np.zeros(len(pdf), np.int64), []
-        if len(first) and len(second):
-            one = CoverTree(unit[first])
-            two = one if alone else CoverTree(unit[second])
-            for p, q in dual_pairs(one, two, reach):
-                p, q = first[p], second[q]
-                hit = unit[p] @ unit[q].T >= threshold - 1e-9
-                i, j = p[np.nonzero(hit)[0]], q[np.nonzero(hit)[1]]
-                if alone:
-                    # within one leaf both orders come up, between two leaves only one
-                    keep = (i < j) if p is q or (len(p) == len(q) and (p == q).all()) else np.ones(len(i), bool)
-                    i, j = i[keep], j[keep]
-                dots = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j])
-                i, j = i[dots >= threshold], j[dots >= threshold]
-                np.add.at(links, i, times[j])
-                np.add.at(links, j, times[i])
-                pairs.append((i, j))
-        root = _roots(len(pdf), pairs)
-        out = pd.DataFrame({"node": pdf["node"], "links": links, "root": pdf["node"].to_numpy()[root]})
+        # Scaled first, so that squares of very small or large numbers stay in range.
+        raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+        links = Links(raw, pdf["times"].to_numpy(np.int64), threshold)
+        unit = raw / links.norm[:, None]
+        at = [np.flatnonzero(pdf["part"].to_numpy() == side) for side in (pdf["low"].iloc[0], pdf["high"].iloc[0])]
+        if pdf["low"].iloc[0] == pdf["high"].iloc[0]:
+            at = at[:1]
+        if all(len(x) for x in at):
+            trees = [CoverTree(unit[x]) for x in at]
+            for p, q, sure in dual_pairs(trees[0], trees[-1], reach):
+                links.take(at[0][p], at[-1][q], sure)
+        root = _roots(len(pdf), links.pairs)
+        out = pd.DataFrame({"node": pdf["node"], "links": links.count, "root": pdf["node"].to_numpy()[root]})
         return out[(out["links"] > 0) | (out["node"] != out["root"])]
 
     return link
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, block: int = 3000) -> DataFrame:
+def _units(vectors: pd.Series) -> np.ndarray:
+    raw = np.vstack([np.frombuffer(v, np.float64) for v in vectors])
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
+def _centrer(block: int, cells: int):
+    def centre(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The cells of one large label, from a sample of its vectors: the coarsest level of a cover tree with as many
+        centres as blocks are needed; where that has more than cells centres, so many as are needed."""
+        pdf = pdf.sort_values(["h", "node"])
+        x, wanted = _units(pdf["vec"]), min(cells, int(-(-pdf["n"].iloc[0] // block)))
+        level, found = 1.0, net(x, 1.0)[0]
+        while len(found) < wanted and level > 1e-3:
+            level /= 2
+            found = net(x, level)[0]
+        chosen = found if len(found) <= cells else found[:wanted]
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "dim": pdf["dim"].iloc[0], "cell": np.arange(len(chosen), dtype=np.int32), "center": [v.tobytes() for v in x[chosen]]}).astype({"dim": "int32"})
+
+    return centre
+
+
+def _place(pdf: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """(node, times, vec, cell, away): a part of a label's vectors, each with the nearest of the label's centres."""
+    if not len(pdf) or not len(centres):
+        return pd.DataFrame({c: [] for c in ("label", "dim", "node", "times", "vec", "cell", "away")})
+    centres = centres.sort_values("cell")
+    x, c = _units(pdf["vec"]), np.vstack([np.frombuffer(v, np.float64) for v in centres["center"]])
+    near, away = np.zeros(len(x), np.int32), np.zeros(len(x))
+    for a in range(0, len(x), TILE):
+        d = distances(x[a : a + TILE], c)
+        near[a : a + TILE] = d.argmin(axis=1)
+        away[a : a + TILE] = d.min(axis=1)
+    return pdf[["label", "dim", "node", "times", "vec"]].assign(cell=near, away=away)
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, block: int = 3000, sample: int = 4096, cells: int = 512) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of vectors.
 
     Vectors of one label are linked when their cosine in double precision reaches threshold. Equal vectors of a label
-    are one node with a count. A label's nodes are dealt by hash into blocks of about block, and every pair of its
-    blocks is a task of its own (so a large label is many tasks): it builds a cover tree per block and traverses
-    both trees at once, giving exact pairs. Pairs stay in the task; per vector a weighted count of links and one
-    root come out, and the roots' links are closed by connected components.
+    are one node with a count. A label of more than block nodes is dealt to cells: from about sample of its vectors
+    the top level of a cover tree is made (at most cells centres; this steers the work, not the result), every vector
+    goes to its nearest centre, and a cell of more than block vectors is split by hash. Two parts are compared only if
+    their cells' centres are within reach of the threshold and both radii, and of each part only the vectors that
+    can be so near to the other cell (triangle inequality) are sent there. A task builds a cover tree of each part and
+    traverses both at once, giving exact pairs. Pairs stay in the task; per vector a weighted count of links and
+    one root come out, and the roots' links are closed by connected components. Vectors that lie all about the same
+    distance apart leave no bound anything to prune; then all parts of a label meet.
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing.
     Vectors of different lengths do not link. Null ids: no component, kept. Rows with the same id and vector count
@@ -166,21 +265,67 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     src = src.withColumn("sound", F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     src = materialise(src.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h", F.xxhash64("label", "v")))
     good = src.where("sound")
-    nodes = materialise(good.groupBy("label", "h", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("times")).withColumn("dim", F.size("v")))
-    parts = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    placed = nodes.join(F.broadcast(parts) if parts.count() < 100_000 else parts, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("h", F.lit("block")), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "dim", "node", "times", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "v")
-    node_type = nodes.schema["node"].dataType.simpleString()
-    packed = dealt.mapInPandas(_pack, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in dealt.schema.fields[:-1])}, vec binary")
-    told = materialise(packed.groupBy("label", "dim", "low", "high").applyInPandas(_linker(threshold), f"node {node_type}, links long, root {node_type}"))
+    distinct = good.groupBy("label", "h", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("times")).withColumn("dim", F.size("v")).select("label", "dim", "h", "node", "times", "v")
+    types = {f.name: f.dataType.simpleString() for f in distinct.schema.fields}
+    of = lambda *names: ", ".join(f"{n} {types[n]}" for n in names)
+    nodes = materialise(distinct.mapInPandas(_pack, f"{of('label', 'dim', 'h', 'node', 'times')}, vec binary"))
+
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    large = materialise(sizes.where(F.col("n") > block))
+    many = nodes.join(large, ["label", "dim"])
+    chosen = many.where(F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 30)) < F.lit(sample) / F.col("n") * F.lit(1 << 30))
+    centres = materialise(chosen.select("label", "dim", "h", "node", "n", "vec").groupBy("label", "dim").applyInPandas(_centrer(block, cells), f"{of('label', 'dim')}, cell int, center binary"))
+    shares = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    split = many.withColumn("share", F.pmod(F.xxhash64("h", F.lit("share")), shares).cast("int"))
+    spread = centres.join(large, ["label", "dim"]).withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("n")
+    placed = split.groupBy("label", "dim", "share").cogroup(spread.groupBy("label", "dim", "share")).applyInPandas(_place, f"{of('label', 'dim', 'node', 'times')}, vec binary, cell int, away double")
+    few = nodes.join(large, ["label", "dim"], "left_anti").select("label", "dim", "node", "times", "vec", F.lit(0).alias("cell"), F.lit(0.0).alias("away"))
+    placed = materialise(few.unionByName(placed))
+    parts = materialise(placed.groupBy("label", "dim", "cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("pieces")))
+
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    pair = "cell1 int, radius1 double, pieces1 int, cell2 int, radius2 double, pieces2 int, gap double"
+    met = parts.join(centres, ["label", "dim", "cell"]).groupBy("label", "dim").applyInPandas(_near_cells(reach), f"{of('label', 'dim')}, {pair}")
+    alone = [F.col(c).alias(f"{c}{i}") for i in (1, 2) for c in ("cell", "radius", "pieces")]
+    met = materialise(met.unionByName(parts.join(large, ["label", "dim"], "left_anti").select("label", "dim", *alone, F.lit(0.0).alias("gap"))))
+    sides = met.select("label", "dim", F.col("cell1").alias("cell"), F.col("cell2").alias("other"), F.col("pieces2").alias("pieces"), F.col("radius2").alias("radius"), "gap", F.lit(True).alias("is_low"))
+    sides = sides.unionByName(met.where("cell1 < cell2").select("label", "dim", F.col("cell2").alias("cell"), F.col("cell1").alias("other"), F.col("pieces1").alias("pieces"), F.col("radius1").alias("radius"), "gap", F.lit(False).alias("is_low")))
+    own = parts.select("label", "dim", "cell", F.col("pieces").alias("own_pieces"))
+    numbered = placed.join(own, ["label", "dim", "cell"]).withColumn("piece", F.pmod(F.xxhash64("node", F.lit("piece")), F.col("own_pieces")).cast("int"))
+    sent = numbered.join(sides, ["label", "dim", "cell"]).where(F.col("gap") - F.col("away") <= F.col("radius") + F.lit(reach + 1e-5)).withColumn("piece2", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    name = lambda cell, piece: F.concat_ws(".", cell, piece)
+    here, there = name("cell", "piece"), name("other", "piece2")
+    within = F.col("cell") == F.col("other")
+    first = F.when(within, F.col("piece") <= F.col("piece2")).otherwise(F.col("is_low"))
+    dealt = sent.select("label", "dim", "node", "times", here.alias("part"), F.when(first, here).otherwise(there).alias("low"), F.when(first, there).otherwise(here).alias("high"), "vec")
+    told = materialise(dealt.groupBy("label", "dim", "low", "high").applyInPandas(_linker(threshold), f"{of('node')}, links long, root {types['node']}"))
     comps = connected_components(told.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = told.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("label", "h", "v", "node", "times").join(counts, "node", "left").join(comps, "node", "left").select("label", "h", "v", F.coalesce("component", "node").alias("reached"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("linked"))
-    out = src.withColumn("label", F.when(F.col("sound"), F.col("label"))).join(known, ["label", "h", "v"], "left")
+    reached = nodes.select("label", "h", "node", "times").join(counts, "node", "left").join(comps, "node", "left").select("label", "h", "node", F.coalesce("component", "node").alias("reached"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("linked"))
+    # A row's own node is the smallest id with its vector: found by the vector, since hashes may clash.
+    mine = good.groupBy("label", "h", "v").agg(F.min("vec_id").alias("node")).join(reached, ["label", "h", "node"]).select("label", "h", "v", "reached", "linked")
+    out = src.withColumn("label", F.when(F.col("sound"), F.col("label"))).join(mine, ["label", "h", "v"], "left")
     out = out.select("vec_id", F.coalesce("linked", F.lit(0)).cast("long").alias("n_links"), F.coalesce("reached", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def _near_cells(reach: float):
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of the cells of one label, at most cells of them, whose vectors can be within reach; with the gap of
+        their centres, 0 for a cell and itself."""
+        pdf = pdf.sort_values("cell").reset_index(drop=True)
+        x, radius = np.vstack([np.frombuffer(v, np.float64) for v in pdf["center"]]), pdf["radius"].to_numpy()
+        gap = distances(x, x)
+        np.fill_diagonal(gap, 0.0)
+        i, j = np.nonzero(np.triu(gap <= reach + radius[:, None] + radius[None, :] + 1e-5))
+        out = {"label": pdf["label"].iloc[0], "dim": pdf["dim"].iloc[0]}
+        for name, at in (("1", i), ("2", j)):
+            out |= {f"{c}{name}": pdf[c].to_numpy()[at] for c in ("cell", "radius", "pieces")}
+        return pd.DataFrame(out | {"gap": gap[i, j]})
+
+    return near
+
+
 def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         made = [np.asarray(v, np.float64).tobytes() for v in pdf["v"]]
