@@ -25,26 +25,32 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """(centres, owner): points of x farther than radius from each other, so that each point is within radius of one;
-    owner is the number of a point's centre."""
-    centres: list[int] = []
-    owner = np.zeros(len(x), np.int64)
+    owner is the number of a point's centre. Wide nets are told apart in single precision (the tree measures the radii
+    it gets)."""
+    x = x.astype(np.float32) if radius > 0.1 else x
+    least = 1 - radius * radius / 2
+    centres, held = np.zeros(len(x), np.int64), 0
+    taken, owner = np.empty_like(x), np.zeros(len(x), np.int64)
     for a in range(0, len(x), 256):
         part, left = x[a : a + 256], np.arange(a, min(a + 256, len(x)))
-        if centres:
-            d = distances(part, x[centres])
-            owner[left] = d.argmin(axis=1)
-            far = d[np.arange(len(left)), owner[left]] > radius
+        if held:
+            near = part @ taken[:held].T
+            owner[left] = near.argmax(axis=1)
+            far = near[np.arange(len(left)), owner[left]] < least
             part, left = part[far], left[far]
-        own = distances(part, part)
-        open_ = np.ones(len(left), bool)
-        for i in range(len(left)):
-            if open_[i]:
-                mine = open_ & (own[i] <= radius)
-                mine[i] = True
-                owner[left[mine]] = len(centres)
-                open_ &= ~mine
-                centres.append(int(left[i]))
-    return np.array(centres, np.int64), owner
+        own = part @ part.T >= least
+        np.fill_diagonal(own, True)
+        free = own.sum(axis=1) == 1
+        for i in np.flatnonzero(~free):
+            if not free[i]:
+                mine = own[i] & ~free
+                owner[left[mine]] = held
+                free |= mine
+                centres[held], taken[held], held = left[i], part[i], held + 1
+        lone = np.flatnonzero(own.sum(axis=1) == 1)
+        owner[left[lone]] = np.arange(held, held + len(lone))
+        centres[held : held + len(lone)], taken[held : held + len(lone)], held = left[lone], part[lone], held + len(lone)
+    return centres[:held], owner
 
 
 class CoverTree:
@@ -80,6 +86,7 @@ class CoverTree:
             self.children[node] = np.array(made)
             todo += [(m, level / 2) for m in made if self.end[m] - self.begin[m] > LEAF]
         self.center, self.radius, self.begin, self.end = (np.array(v) for v in (self.center, self.radius, self.begin, self.end))
+        self.lone, self.coarse = self.end - self.begin == 1, x.astype(np.float32)
 
     def points(self, node: int) -> np.ndarray:
         return self.order[self.begin[node] : self.end[node]]
@@ -91,47 +98,53 @@ def dual_pairs(one: CoverTree, two: CoverTree, reach: float) -> Iterator[tuple[n
 
     A pair of nodes is dropped when the distance of the centres exceeds reach and both radii, and taken whole when it
     and both radii are within reach. Of the others the node with the larger radius is opened (both, where they are
-    alike), and the distances of the children's centres are made as one table. Two leaves are left to be compared
-    point by point. With one is two each pair of points comes once, and a leaf with itself as itself.
+    alike), and the distances of the children's centres are made as one table (of nodes of one point in single
+    precision, with a margin). Two leaves are left to be compared point by point. With one is two each pair of points comes once, and a leaf with itself as itself.
     """
     same = one is two
-    alone = np.zeros(1, np.int64)
+    alone, lone_reach = np.zeros(1, np.int64), 1 - (reach + 1e-4) ** 2 / 2
     todo = [(alone, alone)]
     while todo:
         many, others = todo.pop()
-        for first in range(0, len(many), TILE):
-            rows = many[first : first + TILE]
-            gap = distances(one.x[one.center[rows]], two.x[two.center[others]])
-            one.compared += gap.size
-            around = one.radius[rows][:, None] + two.radius[others][None, :]
-            near = gap <= reach + around + 1e-6
-            if same and many is others:
-                near &= np.arange(first, first + len(rows))[:, None] <= np.arange(len(others))[None, :]
-            single = (one.end - one.begin)[rows][:, None] * (two.end - two.begin)[others][None, :] == 1
-            if same:
-                single &= rows[:, None] != others[None, :]
-            i, j = np.nonzero(near & single)
+        own = same and many is others
+        (a1, balls1), (a2, balls2) = ((nodes[t.lone[nodes]], nodes[~t.lone[nodes]]) for t, nodes in ((one, many), (two, others)))
+        for first in range(0, len(a1) if len(a2) else 0, TILE):
+            p, q = one.center[a1[first : first + TILE]], two.center[a2]
+            i, j = np.nonzero(one.coarse[p] @ two.coarse[q].T >= lone_reach)
+            one.compared += len(p) * len(q)
+            if own:
+                i, j = i[i + first < j], j[i + first < j]
             if len(i):
-                yield one.order[one.begin[rows[i]]], two.order[two.begin[others[j]]], None
-            whole = gap + around <= reach - 1e-5
-            for i, j in zip(*np.nonzero(near & ~single), strict=True):
-                a, b = int(rows[i]), int(others[j])
-                ca, cb = one.children[a], two.children[b]
-                if same and a == b:
-                    if ca is None:
-                        yield one.points(a), two.points(a), False
+                yield p[i], q[j], None
+        tables = [(balls1, balls2), (balls1, a2)] + ([] if own else [(a1, balls2)])
+        for left, right in tables:
+            for first in range(0, len(left) if len(right) else 0, TILE):
+                rows = left[first : first + TILE]
+                gap = distances(one.x[one.center[rows]], two.x[two.center[right]])
+                one.compared += gap.size
+                around = one.radius[rows][:, None] + two.radius[right][None, :]
+                near = gap <= reach + around + 1e-6
+                if own and right is balls2:
+                    near &= np.arange(first, first + len(rows))[:, None] <= np.arange(len(right))[None, :]
+                whole = gap + around <= reach - 1e-5
+                for i, j in zip(*np.nonzero(near), strict=True):
+                    a, b = int(rows[i]), int(right[j])
+                    ca, cb = one.children[a], two.children[b]
+                    if same and a == b:
+                        if ca is None:
+                            yield one.points(a), two.points(a), False
+                        else:
+                            todo.append((ca, ca))
+                    elif whole[i, j]:
+                        yield one.points(a), two.points(b), True
+                    elif ca is None and cb is None:
+                        yield one.points(a), two.points(b), False
+                    elif cb is None or ca is not None and one.radius[a] > 2 * two.radius[b]:
+                        todo.append((ca, np.array([b])))
+                    elif ca is None or two.radius[b] > 2 * one.radius[a]:
+                        todo.append((np.array([a]), cb))
                     else:
-                        todo.append((ca, ca))
-                elif whole[i, j]:
-                    yield one.points(a), two.points(b), True
-                elif ca is None and cb is None:
-                    yield one.points(a), two.points(b), False
-                elif cb is None or ca is not None and one.radius[a] > 2 * two.radius[b]:
-                    todo.append((ca, np.array([b])))
-                elif ca is None or two.radius[b] > 2 * one.radius[a]:
-                    todo.append((np.array([a]), cb))
-                else:
-                    todo.append((ca, cb))
+                        todo.append((ca, cb))
 
 
 def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
