@@ -171,6 +171,19 @@ class Links:
         self.raw, self.times, self.threshold = raw, times, threshold
         self.norm = np.linalg.norm(raw, axis=1)
         self.count, self.pairs = np.zeros(len(raw), np.int64), []
+        self.open, self.size = [], 0
+
+    def later(self, i: np.ndarray, j: np.ndarray):
+        """Pairs are confirmed many at once."""
+        self.open.append((i, j))
+        self.size += len(i)
+        if self.size > 1 << 16:
+            self.finish()
+
+    def finish(self):
+        if self.open:
+            self.confirm(*(np.concatenate(x) for x in zip(*self.open, strict=True)))
+        self.open, self.size = [], 0
 
     def confirm(self, i: np.ndarray, j: np.ndarray):
         for a in range(0, len(i), 1 << 16):
@@ -183,16 +196,16 @@ class Links:
 
     def take(self, p: np.ndarray, q: np.ndarray, sure: bool | None):
         if sure is None:
-            self.confirm(p, q)
+            self.later(p, q)
         elif sure:
             self.count[p] += self.times[q].sum()
             self.count[q] += self.times[p].sum()
-            self.pairs += [(p, np.full(len(p), q[0])), (np.full(len(q), p[0]), q)]
+            self.pairs += [(p, q[:1].repeat(len(p))), (p[:1].repeat(len(q)), q)]
         elif p is q or len(p) == len(q) and (p == q).all():
             i, j = np.triu_indices(len(p), 1)
-            self.confirm(p[i], p[j])
+            self.later(p[i], p[j])
         else:
-            self.confirm(np.repeat(p, len(q)), np.tile(q, len(p)))
+            self.later(np.repeat(p, len(q)), np.tile(q, len(p)))
 
 
 def _linker(threshold: float):
@@ -213,6 +226,7 @@ def _linker(threshold: float):
             trees = [CoverTree(unit[x]) for x in at]
             for p, q, sure in dual_pairs(trees[0], trees[-1], reach):
                 links.take(at[0][p], at[-1][q], sure)
+            links.finish()
         root = _roots(len(pdf), links.pairs)
         out = pd.DataFrame({"node": pdf["node"], "links": links.count, "root": pdf["node"].to_numpy()[root]})
         return out[(out["links"] > 0) | (out["node"] != out["root"])]
