@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -31,6 +32,25 @@ def test_base_spans_equal_plain_search():
     assert secrets.secret_spans(None) == [] == secrets.secret_spans("")
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 700_000, "é" + "eyJ" * 700_000, "éa token = abc " * 130_000, ("ü" + "eyJa.") * 250_000, "-----BEGIN " * 190_000, "AKIA" * 500_000, "eyJa.eyJb." * 200_000], ids=range(7))
+def test_long_texts_take_linear_time(text):
+    secrets.secret_spans("token")
+    began = time.process_time()
+    spans = secrets.secret_spans(text)
+    assert time.process_time() - began < 4, len(text)
+    assert [s for s in spans if s[2] in secrets.KINDS[:3]] == _base(text)
+
+
+def test_web_tokens_equal_plain_search():
+    rng = random.Random(5)
+    head, bits = "eyJhbGciOiJIUzI1NiJ9", ["eyJ", "eyJhbGciOiJIUzI1NiJ9", ".", "é", "-", "a", "=", " "]
+    for _ in range(2000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        want = [(m.start(), m.end(), "jwt") for m in secrets._JWT.finditer(text) if secrets._valid("jwt", m)]
+        assert [s for s in secrets.secret_spans(text) if s[2] == "jwt"] == want, text
+    assert secrets.secret_spans(f"eyJ {head}.{head}.x")[0][2] == "jwt"
+
+
 def test_checksums():
     body = "A1b2C3d4E5" * 3
     good = "ghp_" + body + secrets.crc_digits(body)
@@ -98,6 +118,25 @@ def test_toxicity_held_out_and_swaps(spark):
     assert not toxicity.fit_toxicity(d, lab.where("toxic = 0")).any()
 
 
+def test_toxicity_and_language_on_the_given_tables(spark):
+    """Held-out accuracy on whole tables that neither model has learnt from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    got = toxicity.toxicity_digest(docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    toxic, clean = got[got.toxic == 1], got[got.toxic == 0]
+    assert toxic.predicted.mean() >= 0.9 and clean.predicted.mean() < 0.01, (toxic.predicted.mean(), clean.predicted.mean())
+    small = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    said = langid.language_digest(small).join(small.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'").toPandas()
+    assert (said.lang == said.lang_pred).mean() > 0.97 and len(said) > 100
+
+
+def test_sample_of_labels_is_bounded_in_bytes(spark):
+    rows = [(i, "idiot " * 2000 if i % 3 else "table " * 2000) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = d.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("toxic"))
+    w = toxicity.fit_toxicity(d, lab, sample_bytes=400_000)
+    assert w.any() and {r.doc_id: r.score > 0.5 for r in toxicity.score_toxicity(d, w).collect()} == {i: bool(i % 3) for i in range(200)}
+
+
 def _kneser_ney(train, order):
     """Plain interpolated modified Kneser-Ney over bytes, as a function of (context, byte)."""
     from collections import Counter, defaultdict
@@ -285,6 +324,25 @@ def test_mix_meets_targets(spark):
     assert mixing.entropy_balance(df.limit(0)).count() == 0
 
 
+def test_mix_with_null_and_repeated_ids(spark):
+    """One row is turned at a time, whatever its id: sources meet their targets to within a document."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2]), " ".join(["w"] * rng.randint(1, 30)), rng.choice(["a", "b"])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.entropy_balance(df).toPandas()
+    assert len(got) == 300 and (got.copies <= 3).all()
+    for _, part in got.groupby("source_size"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 3
+
+
+def test_sources_in_order_over_many_ranges(spark):
+    names = [f"s{i:03d}" for i in range(200)] + [None, "Z", "é"]
+    sizes = spark.createDataFrame([(n, 1000) for n in names], "source string, source_size long").repartition(7)
+    got = {r.source: r.weight for r in mixing.source_targets(sizes, (5.0, 2.0, 1.0), 3.0).collect()}
+    order = [*sorted(n for n in names if n is not None), None]
+    assert got == {n: (5.0, 2.0, 1.0)[i % 3] for i, n in enumerate(order)}
+
+
 CHATS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "a\\b ### c"), (1, 2, "assistant", None), (2, 5, "system", "</turn>\n### user: x"), (2, None, "assistant", "#####\\#"), (2, 5, "system", "</turn>\n### user: x"),
     (3, 0, None, "<|image|> \\</turn>"), (3, 1, "ro le: x\n", "😀\\"), (None, 0, "assistant", ""),

@@ -8,11 +8,12 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Kinds in the order in which spans with the same start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "key_block")
@@ -22,6 +23,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
+_TOKEN = re.compile(r"[A-Za-z0-9_-]+")
 _BLOCK = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: Keywords in lower case, and the kind whose pattern is tried where one stands.
@@ -29,7 +31,10 @@ _KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "toke
 _PATTERNS = {"assign": _ASSIGN, "access": _ACCESS, "github": _GITHUB, "npm": _NPM, "jwt": _JWT, "key_block": _BLOCK}
 
 
-def _automaton() -> ahocorasick.Automaton:
+def _automaton():
+    # Imported where it is used, in tasks: what never scans for secrets works without it.
+    import ahocorasick
+
     made = ahocorasick.Automaton()
     for word, kind in _KEYWORDS.items():
         made.add_word(word, (len(word), kind))
@@ -78,7 +83,8 @@ def secret_spans(text: str | None) -> list[tuple[int, int, str]]:
     Per kind the leftmost non-overlapping matches count, as if the pattern ran over the text from its start; a match
     that fails its length or checksum is dropped but still covers its characters. Only A-Z are lower-cased for
     the keywords, byte by byte, so offsets stay true in any script. Hex runs have no keyword; their one character
-    class is scanned for directly.
+    class is scanned for directly. The time is linear in the length of the text: bytes are mapped to code points once,
+    and a run of characters in which no web token began is not tried again.
     """
     global _FOUND
     if not text:
@@ -88,13 +94,21 @@ def secret_spans(text: str | None) -> list[tuple[int, int, str]]:
     lower = raw.lower().decode("latin-1")
     spans, last = [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)], dict.fromkeys(KINDS, 0)
     hits = sorted((end + 1 - n, kind) for end, (n, kind) in _FOUND.iter(lower))
-    plain = len(raw) == len(text)
-    for at, kind in hits:
-        start = at if plain else len(raw[:at].decode("utf-8", "surrogatepass"))
-        if start >= last[kind] and (m := _PATTERNS[kind].match(text, start)):
+    if len(raw) != len(text) and hits:
+        # Code points that begin before each byte of a hit.
+        begins = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        at = np.array([h[0] for h in hits])
+        hits = list(zip((begins[at] - 1).tolist(), (h[1] for h in hits), strict=True))
+    barren = 0
+    for start, kind in hits:
+        if start < last[kind] or kind == "jwt" and start < barren:
+            continue
+        if m := _PATTERNS[kind].match(text, start):
             last[kind] = m.end()
             if _valid(kind, m):
                 spans.append((m.start(), m.end(), kind))
+        elif kind == "jwt" and (run := _TOKEN.match(text, start)):
+            barren = run.end()
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -135,8 +149,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     rows are scanned each. Null or empty text has no spans. Other columns of docs are not read.
     """
     src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(_scan, f"{kept}{', ' if kept else ''}spans array<struct<start: bigint, end: bigint, kind: string>>, redacted string")
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())])
+    return src.mapInArrow(_scan, T.StructType([*src.schema.fields[:-1], T.StructField("spans", T.ArrayType(span)), T.StructField("redacted", T.StringType())]))
 
 
 def span_list(spans, kinds: tuple[str, ...] | None = None):
