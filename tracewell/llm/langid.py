@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 from .common import held_out
@@ -103,31 +104,33 @@ class LanguageModel:
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language and its score for each row; the rows must not be empty."""
-        g = grams(data, off)
-        n = np.diff(off)
-        margins = np.empty((len(n), len(self.weights)))
-        for j, w in enumerate(self.weights):
-            margins[:, j] = np.add.reduceat(w[:-1][g], off[:-1]) / n + w[-1]
-        k = len(self.families)
-        family = margins[:, :k].argmax(axis=1)
-        odds = np.exp(2 * (margins[:, :k] - margins[:, :k].max(axis=1, keepdims=True)))
+        g, n, k = grams(data, off), np.diff(off), len(self.families)
+        margins = np.stack([np.add.reduceat(w[:-1][g], off[:-1]) / n + w[-1] for w in self.weights[:k]], 1)
+        family = margins.argmax(axis=1)
+        odds = np.exp(2 * (margins - margins.max(axis=1, keepdims=True)))
         score = (odds / odds.sum(axis=1, keepdims=True)).max(axis=1)
-        votes = np.zeros((len(n), len(self.langs)))
-        support = np.zeros((len(n), len(self.langs)))
+        best = np.array([own[0] for own in self.members])[family]
         for f, own in enumerate(self.members):
-            votes[np.ix_(family == f, own)] += 1
-        for j, (f, a, b) in enumerate(self.pairs):
-            m = margins[:, k + j]
-            here = family == f
-            votes[here, a] += m[here] >= 0
-            votes[here, b] += m[here] < 0
-            support[:, a] += m
-            support[:, b] -= m
-        best = (votes + 1e-3 * np.tanh(support)).argmax(axis=1)
-        for j, (_, a, b) in enumerate(self.pairs):
-            m = margins[:, k + j]
-            p = 1 / (1 + np.exp(-3 * np.clip(m, -30, 30)))
-            score = np.where(best == a, np.minimum(score, p), np.where(best == b, np.minimum(score, 1 - p), score))
+            rows = np.flatnonzero(family == f)
+            if len(own) == 1 or not len(rows):
+                continue
+            # Only the machines of the chosen family look at a text.
+            part = g if len(rows) == len(n) else g[np.repeat(family == f, n)]
+            starts = np.cumsum([0, *n[rows][:-1]])
+            votes, support, p = (np.zeros((len(rows), len(self.langs))) for _ in range(3))
+            p += 1
+            for j, (at, a, b) in enumerate(self.pairs):
+                if at == f:
+                    w = self.weights[k + j]
+                    m = np.add.reduceat(w[:-1][part], starts) / n[rows] + w[-1]
+                    votes[:, a] += m >= 0
+                    votes[:, b] += m < 0
+                    support[:, a] += m
+                    support[:, b] -= m
+                    q = 1 / (1 + np.exp(-3 * np.clip(m, -30, 30)))
+                    p[:, a], p[:, b] = np.minimum(p[:, a], q), np.minimum(p[:, b], 1 - q)
+            best[rows] = np.array(own)[(votes + 1e-3 * np.tanh(support))[:, own].argmax(axis=1)]
+            score[rows] = np.minimum(score[rows], p[np.arange(len(rows)), best[rows]])
         return best, score
 
 
@@ -170,8 +173,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     learnt). Only the text decides. Repeated rows get the same answer; other columns of docs are not read.
     """
     src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(_predictor(model), f"{kept}{', ' if kept else ''}lang_pred string, score double")
+    return src.mapInArrow(_predictor(model), T.StructType([*src.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
