@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 from .common import held_out
@@ -31,7 +32,7 @@ _NEXT = {t: row[(i + 1) % len(row)] for row in reversed(IDENTITY_TERMS) for i, t
 _TERM = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, _NEXT), key=len, reverse=True)) + r")(?!\w)", re.I)
 BITS = 18
 #: A word counts as a whole and by its first so many bytes.
-PREFIXES = (5, 6, 7)
+PREFIXES = (4, 5, 6, 7)
 
 
 def swap_terms(text: str) -> str:
@@ -114,19 +115,23 @@ def fit_weights(y: np.ndarray, x: _Matrix, swap: _Matrix, has_swap: np.ndarray,
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000) -> np.ndarray:
-    """Learn from labelled documents that are not held out: all of them, or about sample chosen by a hash of the id.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, sample_bytes: int = 64 << 20) -> np.ndarray:
+    """Learn from labelled documents that are not held out: all of them, or about sample documents of about
+    sample_bytes of text in all, chosen by a hash of the id.
 
     Tasks turn whole texts, and their swapped forms, into hashed features; what reaches the driver is bounded by
-    sample documents. Null labels and texts teach nothing. Without both classes the weights are 0.
+    both (at most eight bytes for each of five features of a word, twice where a text has a swapped form). Null labels and texts teach nothing. Without both classes the weights are 0.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     n = known.count()
-    if n > sample:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
+    some = known.where(place < F.lit(int(sample / n * (1 << 30)))) if n > sample else known
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    # known holds about sample rows by construction
-    got = texts.join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(_rows, "y double, ids binary, values binary, swap_ids binary, swap_values binary").toPandas()
+    # some holds about sample rows by construction
+    size = texts.join(F.broadcast(some), "doc_id").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > sample_bytes:
+        some = some.where(place < F.lit(int(min(1, sample / n) * sample_bytes / size * (1 << 30))))
+    got = texts.join(F.broadcast(some), "doc_id").select("y", "text").mapInArrow(_rows, "y double, ids binary, values binary, swap_ids binary, swap_values binary").toPandas()
     got = got.assign(k=got["ids"].map(len)).sort_values(["y", "k", "ids"])
     y = (got["y"].to_numpy() > 0.5).astype(float)
     if len(set(y)) < 2:
@@ -159,8 +164,7 @@ def score_toxicity(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([*made, np.zeros(0)]))], names=[*batch.schema.names[:-1], "score"])
 
     src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(score, f"{kept}{', ' if kept else ''}score double")
+    return src.mapInArrow(score, T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
