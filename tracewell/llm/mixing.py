@@ -17,9 +17,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
     sizes: (source, source_size). Sources in code point order, null last, take the weights in turn. What a capped
     source leaves is shared again among the others by weight, until none is above its cap. One row per source.
     """
-    turn = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
+    # Places in order without one task for all sources: sorted ranges are numbered each, after the rows of those before.
+    order = F.col("source").asc_nulls_last()
+    ranged = materialise(sizes.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    before = ranged.groupBy("range").agg(F.count("*").alias("rows"))
+    before = before.select("range", (F.sum("rows").over(W.orderBy("range")) - F.col("rows")).alias("before"))
+    sizes = ranged.withColumn("at", F.row_number().over(W.partitionBy("range").orderBy(order))).join(F.broadcast(before), "range").withColumn("turn", F.col("before") + F.col("at") - 1).select("source", "source_size", "turn")
+    turn = F.col("turn").cast("int")
     values = F.array(*(F.lit(float(w)) for w in weights))
-    t = materialise(sizes.withColumn("weight", F.get(values, turn % len(weights))).withColumn("limit", F.col("source_size") * float(cap)).withColumn("capped", F.lit(False)))
+    t = materialise(sizes.withColumn("weight", F.get(values, turn % len(weights))).drop("turn").withColumn("limit", F.col("source_size") * float(cap)).withColumn("capped", F.lit(False)))
     while True:
         row = t.agg(F.sum("source_size").alias("all"), F.coalesce(F.sum(F.when(F.col("capped"), F.col("limit"))), F.lit(0.0)).alias("used"), F.coalesce(F.sum(F.when(~F.col("capped"), F.col("weight"))), F.lit(0.0)).alias("open")).first()
         unit = (row["all"] - row["used"]) / row["open"] if row["open"] else 0.0
@@ -49,7 +55,7 @@ def entropy_balance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other, equal ids keep any order since they get the same rate. Empty input: no rows. Other columns of docs
     are not read.
     """
-    base = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64))))
+    base = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64))).withColumn("row", F.monotonically_increasing_id()))
     cells = materialise(base.groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
     hist = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     targets = materialise(source_targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")).drop("docs"), weights, cap))
@@ -88,22 +94,23 @@ def entropy_balance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_size = rated(cells.groupBy("source", "size").agg(F.sum("n").alias("n"))).withColumn("lower", F.coalesce(F.sum(F.col("n") * F.col("part")).over(until("source", "size")), F.lit(0.0)))
     by_salt = cells.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("k"), F.coalesce(F.sum("n").over(until("source", "size", "salt")), F.lit(0)).alias("rank"))
     begun = by_salt.join(by_size, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))).select("s", "z", "k", "source_size", "target", "rate", "part", (F.col("lower") + F.col("rank") * F.col("part")).alias("before"))
-    placed = base.withColumn("place", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("doc_id")))
+    placed = base.withColumn("place", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("doc_id", "row")))
     out = placed.join(begun, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("k")))
     passed = F.floor(F.col("before") + F.col("place") * F.col("part") + F.lit(0.5)) - F.floor(F.col("before") + (F.col("place") - 1) * F.col("part") + F.lit(0.5))
     copies = F.least(F.floor("rate") + passed, F.lit(int(cap))).cast("long")
-    out = out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "part", "copies")
+    out = out.withColumn("copies", copies).select("doc_id", "row", "source", "size", "source_size", "target", "rate", "part", "copies")
     for _ in range(2):
         out = _nudged(materialise(out))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "rate", "copies")
 
 
 def _nudged(out: DataFrame) -> DataFrame:
-    """In each source, round the document the other way whose size is nearest to what the source lacks or has too much."""
+    """In each source, round the one row the other way whose size is nearest to what the source lacks or has too much;
+    of equal ones that with the smallest id, and of rows of one id any (they are alike)."""
     lack = out.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("lack")).withColumnRenamed("source", "s")
     up = (F.col("lack") > 0) & (F.col("copies") == F.floor("rate")) & (F.col("part") > 0)
     down = (F.col("lack") < 0) & (F.col("copies") > F.floor("rate"))
     gap = F.abs(F.col("size") - F.abs("lack"))
-    best = out.join(lack, F.col("source").eqNullSafe(F.col("s"))).where((up | down) & (gap < F.abs("lack"))).groupBy("s").agg(F.min(F.struct(gap.alias("gap"), F.col("doc_id").alias("id"))).alias("best"), F.max(F.signum("lack")).cast("long").alias("by"))
-    hit = out.join(best, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("best.id")), "left")
+    best = out.join(lack, F.col("source").eqNullSafe(F.col("s"))).where((up | down) & (gap < F.abs("lack"))).groupBy("s").agg(F.min(F.struct(gap.alias("gap"), F.col("doc_id").alias("id"), "row")).alias("best"), F.max(F.signum("lack")).cast("long").alias("by"))
+    hit = out.join(best, F.col("source").eqNullSafe(F.col("s")) & (F.col("row") == F.col("best.row")), "left")
     return hit.withColumn("copies", F.greatest(F.col("copies") + F.coalesce("by", F.lit(0)), F.lit(0))).select(*out.columns)
