@@ -12,6 +12,7 @@ from .common import materialise
 #: Positions with 1 are hashed, positions with 0 may differ. Together these find every window of 13 tokens with up to
 #: 3 substitutions, and every item of 6 to 12 tokens of which 7 in 10 agree.
 MASKS = ("11101", "100111", "1101001", "11000101", "1010011")
+#: Items of fewer tokens are no evidence: common words would do.
 SHORTEST = 6
 #: More seeds than this are joined by a shuffle instead of a broadcast.
 BROADCAST_SEEDS = 2_000_000
@@ -50,7 +51,7 @@ def _seeded(rows: DataFrame, key: str, masks: Sequence[str]) -> DataFrame:
     return e.where(at + F.get(spans, (F.col("place") / F.col("n")).cast("int")) <= F.col("n")).select(key, at.alias("at"), "seed")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: Sequence[str] = MASKS, window: int = 13, share: float = 0.7) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: Sequence[str] = MASKS, window: int = 13, share: float = 0.7, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, item_id, start, matched, overlap): a row for each document, benchmark item and alignment that overlap.
 
     Both sides are cut in lower-cased runs of letters and digits. Fixed masks slide over the tokens; equal hashes of
@@ -61,10 +62,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Seeds of the benchmark are counted first: up to BROADCAST_SEEDS they are broadcast, beyond they are joined by a
     shuffle. Documents are only shuffled whole, by id, to be held against the alignments found. An item with fewer
-    tokens than SHORTEST is no evidence and matches nothing. Null or empty texts match nothing, null ids are
+    tokens than shortest is no evidence and matches nothing. Null or empty texts match nothing, null ids are
     left out of the result (there is nothing to name), repeated ids are checked row by row and reported once.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tokens")).where(F.size("tokens") >= SHORTEST)
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tokens")).where(F.size("tokens") >= shortest)
     bench = materialise(_seeded(items, "item_id", masks).select("item_id", F.col("at").alias("item_at"), "seed").distinct())
     few = bench.count() <= BROADCAST_SEEDS
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
