@@ -36,3 +36,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)
+
+
+def joined_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) that result when links (a, b) are added to comps; only components that a
+    link joins are worked on. A node of a link that comps does not have is a component of its own so far."""
+    ca, cb = (comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
+    between = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
+    moved = connected_components(between)
+    known = comps.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = moved.join(comps.select("node"), "node", "left_anti")
+    return materialise(known.unionByName(new.select("node", "component")))

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import materialise
-from .components import connected_components
+from .components import connected_components, joined_components
 
 #: A task that compares members of one bucket takes about so many of them, and of their shingles, twice at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 3000, 2_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 400, 1_000_000
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(1, 1 << 63, 512, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, 512, dtype=np.uint64)
@@ -118,29 +118,33 @@ def linked_matrix(rows: list[np.ndarray], cols: list[np.ndarray], percent: int,
 
 def _closer(percent: int):
     def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Members of one bucket, or of two of its blocks: (document, smallest document it reaches) of joined ones."""
-        pdf = pdf.sort_values("doc_id").drop_duplicates("doc_id")
-        ids, comp = pdf["doc_id"].to_numpy(), pd.factorize(pdf["component"])[0]
+        """A block of a bucket's outsiders against a block of its members: (component, smallest component it joins)."""
+        pdf = pdf.sort_values("doc_id")
+        asks = pdf["asks"].to_numpy()
+        comp, names = pd.factorize(pdf["component"], sort=True)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        large = np.bincount(comp).argmax()
-        out = np.flatnonzero(comp != large)
-        root = np.arange(comp.max() + 1)
+        out, members = np.flatnonzero(asks), np.flatnonzero(~asks)
+        root = np.arange(len(names))
+
+        def find(u: int) -> int:
+            while root[u] != u:
+                root[u] = root[root[u]]
+                u = root[u]
+            return u
+
+        sizes = np.array([len(x) for x in sets])
         for a in range(0, len(out), 512):
             some = out[a : a + 512]
-            for b in range(0, len(sets), 2048):
-                i, j = np.nonzero(linked_matrix([sets[x] for x in some], sets[b : b + 2048], percent))
-                x, y = comp[some[i]], comp[j + b]
-                for u, v in np.unique(np.stack([x, y], 1)[x != y], axis=0).tolist():
-                    while root[u] != u:
-                        u = root[u]
-                    while root[v] != v:
-                        v = root[v]
+            # A set under percent of the other's size cannot be linked with it.
+            fits = members[(100 * sizes[members] >= percent * sizes[some].min()) & (percent * sizes[members] <= 100 * sizes[some].max())]
+            for b in range(0, len(fits), 2048):
+                part = fits[b : b + 2048]
+                i, j = np.nonzero(linked_matrix([sets[x] for x in some], [sets[x] for x in part], percent))
+                for u, v in np.unique(np.stack([comp[some[i]], comp[part[j]]], 1), axis=0).tolist():
+                    u, v = find(u), find(v)
                     root[max(u, v)] = min(u, v)
-        for c in range(len(root)):
-            root[c] = root[root[c]]
-        first = pd.Series(ids).groupby(comp).min().to_numpy()
-        lead = pd.Series(first).groupby(root).transform("min").to_numpy()
-        return pd.DataFrame({"a": first, "b": lead})[first != lead]
+        lead = np.array([find(u) for u in range(len(root))], np.int64)
+        return pd.DataFrame({"a": names[np.arange(len(root)) != lead], "b": names[lead[np.arange(len(root)) != lead]]})
 
     return close
 
@@ -155,9 +159,9 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents of one set are one node. bands x rows minima are banded; in each bucket members are paired with a
     pivot, not with each other. Pairs whose signatures agree in less than percent - slack are left out (six
     standard deviations), the others are confirmed on full sets, first the likeliest pivot of each document, then
-    the pivots in other components. A bucket whose members are still in several components is a task (or one per
-    pair of its blocks, where it is large): members outside its largest component are held against all others on
-    full sets, and only who reaches whom comes out. So copies never become all pairs, and no link of a bucket is
+    the pivots in other components. Where the members of a bucket are still in several components, those outside
+    its largest one are held against all members on full sets, a task for each block of them and block of
+    members, and only which components join comes out. So copies never become all pairs, and no link of a bucket is
     lost. A pair at just
     the threshold shares no bucket with probability (1 - 0.75^rows)^bands = 5e-6.
 
@@ -209,19 +213,23 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = confirmed(best).where("linked").select("a", "b")
     comps = connected_components(links)
     rest = across(star.join(best, ["a", "b"], "left_anti"), comps)
-    links = materialise(links.unionByName(confirmed(rest).where("linked").select("a", "b")))
-    comps = connected_components(links)
+    comps = joined_components(comps, confirmed(rest).where("linked").select("a", "b"))
 
-    # Buckets whose members are still in several components: all that is left to compare meets in tasks of their own.
+    # Buckets whose members are still in several components: those outside the bucket's largest component ask all
+    # others, in blocks. Sizes are counted first, so that each row knows how many blocks there are.
     own = members.select("key", "doc_id", "n_shingles").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = own.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("c0 < c1 and n > 2")
-    split = split.select("key", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_DOCS)), F.ceil(F.col("weight") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    dealt = own.join(split, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    closing = dealt.join(full, "doc_id").groupBy("key", "low", "high").applyInPandas(_closer(percent), f"a {id_type}, b {id_type}")
+    held = own.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    blocks = lambda n, weight: F.greatest(F.ceil(n / F.lit(BLOCK_DOCS)), F.ceil(weight / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    split = held.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("large"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("n", "component", "weight")).alias("most")).where("parts > 1 and n > 2")
+    split = split.select("key", "large", blocks(F.col("n"), F.col("weight")).alias("blocks"), blocks(F.col("n") - F.col("most.n"), F.col("weight") - F.col("most.weight")).alias("asking"))
+    dealt = materialise(own.join(split, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit("asks")), F.col("asking")).cast("int")))
+    to_all = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asks = dealt.where("component != large").select("key", "doc_id", "component", "group", to_all("blocks").alias("block"), F.lit(True).alias("asks"))
+    told = dealt.select("key", "doc_id", "component", to_all("asking").alias("group"), "block", F.lit(False).alias("asks"))
+    closing = asks.unionByName(told).join(full, "doc_id").groupBy("key", "group", "block").applyInPandas(_closer(percent), f"a {id_type}, b {id_type}")
     found = materialise(closing.distinct())
     if not found.isEmpty():
-        comps = connected_components(links.unionByName(found))
+        comps = joined_components(comps, found)
 
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n_shingles", F.coalesce("component", "rep").alias("group_id"))
     one = sig.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo", "n_shingles"], "left")
