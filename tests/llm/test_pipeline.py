@@ -83,3 +83,49 @@ def test_stages_one_by_one(spark, tmp_path, corpus):
         goal = 3 * size[s] if s in capped else weight[s] * unit
         assert abs(taken[s] - goal) <= 0.05 * goal + 3
     assert sorted(r["copy"] for r in states["mixing"] if r["doc_id"] == max(copies, key=copies.get)) == [*range(1, max(copies.values()) + 1)]
+
+
+def test_stages_with_clashing_and_null_columns(spark, tmp_path, corpus):
+    """Columns that operators use themselves, nulls in any column, repeated rows and ids."""
+    extra = "score double, lang_pred string, spans string, redacted string, copies int, copy string, row string, times int, size string, start long, target string"
+    rows = [(*r, 0.5, "x", "s", "r", 7, "c", "w", 9, "z", 3, "t") for r in corpus[:40]] + [(None, "the of and to in that", None, None, None, *[None] * 11), (None, "the of and to in that", None, None, None, *[None] * 11)]
+    rows += [(3, "der die und in den von zu das mit sich", "de", "s1", 5, *[None] * 11)] * 2
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars int, {extra}")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, ITEM, "clash")], "item_id long, text string, doc_id string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == before if name != "mixing" else docs.columns == [*(c for c in before if c != "copy"), "copy"], name
+        got = docs.collect()
+        assert {r.score for r in got} <= {0.5, None} and {r.redacted for r in got} <= {"r", None} and any(r.doc_id is None for r in got)
+
+
+def test_run_leaves_only_the_tables_it_still_reads(spark, tmp_path, corpus):
+    from tracewell.llm.common import release, tables_made
+
+    spark.createDataFrame(corpus, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    begin = tables_made(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    held = tables_made(spark) - begin
+    assert out.count() > 0 and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"]
+    assert 0 < held < 80 and release(spark, begin) == held and tables_made(spark) == begin
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tracewell.llm import common
+
+    class Elsewhere:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Elsewhere)
