@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise, table
+from tracewell.llm.common import materialise, release, table, tables_made
 from tracewell.llm.decontaminate import contaminated
 from tracewell.llm.langid import fit_languages, identify
 from tracewell.llm.minhash import minhash_components
@@ -19,38 +19,46 @@ from tracewell.llm.secrets import scan_secrets
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, text): all columns of docs in one struct, so that none can clash with what an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text, or none of its characters a letter) go; lang becomes the predicted one."""
-    found = identify(docs, fit_languages(docs), keep=tuple(docs.columns))
-    return found.where("lang_pred != 'und'").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """Documents without a language (null text, or none of its characters a letter) go; lang becomes the predicted one.
+    Null and repeated ids and repeated rows stay as they are, and so do other columns, whatever their names."""
+    found = identify(packed(docs), fit_languages(docs), keep=("row",))
+    return found.where("lang_pred != 'und'").select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays."""
+    """The document with the smallest id of each group of near-duplicates stays. Rows with null ids all stay; rows of one
+    id stay or go together."""
     dropped = minhash_components(docs).where("not kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go; rows of one id go together, rows with null ids stay."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; every secret in a text is replaced by a mark, and n_chars follows the text."""
-    found = scan_secrets(docs, keep=tuple(docs.columns))
-    text = F.coalesce("redacted", "text")
-    changed = F.col("redacted").isNotNull()
-    n_chars = F.when(changed, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)
+    found = scan_secrets(packed(docs), keep=("row",))
+    n_chars = F.length("redacted").cast(docs.schema["n_chars"].dataType)
+    clean = F.col("row").withField("text", F.col("redacted")).withField("n_chars", n_chars)
+    return found.select(F.when(F.col("redacted").isNotNull(), clean).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes of a document, numbered from 1 in copy; documents with no copy go."""
-    taken = entropy_balance(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    mixed = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns, "copy")
+    """A row for each copy that the mix takes of a document, numbered from 1 in copy (which takes the place of a column
+    of that name); documents with no copy go. Rows of one id get as many copies as the one with the most."""
+    taken = entropy_balance(docs).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("times"))
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "copy")).alias("row"))
+    mixed = rows.join(taken, F.col("row_id").eqNullSafe(F.col("taken_id")))
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*", "copy")
 
 
 STAGES = [
@@ -67,8 +75,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    begin = tables_made(spark)
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
             docs = materialise(docs)
+            # The stage's own tables, and the one it read, have served.
+            release(spark, begin, tables_made(spark) - 1)
     return docs
