@@ -79,3 +79,14 @@ def test_event_paths_and_columns(spark):
     assert [tuple(r) for r in inv.missing_columns(summary, ["base", "q"]).collect()] == [("base", True), ("q", False)]
     named = inv.directory_fallback(inv.parse_entities(spark.createDataFrame([("x.vhdr", "/d/sub-q/ses-r/x.vhdr")], "name string, path string"))).first()
     assert (named.subject, named.session) == ("q", "r")
+
+
+def test_columns_of_one_name(spark, tmp_path):
+    (tmp_path / "a_events.tsv").write_text("onset\ttrial_type\tonset\n1\tsz onset\t9\n2\tsz offset\n")
+    got = files.events_from_tsv(files.read_tsv(spark, str(tmp_path))).orderBy("row_idx").collect()
+    assert [(r.onset, r.trial_type) for r in got] == [("1", "sz onset"), ("2", "sz offset")]
+
+
+def test_siblings(spark):
+    df = spark.createDataFrame([("/d/sub-a_run-01_ieeg",)], "base string")
+    assert tuple(df.select(*(files.sibling(df.base, k) for k in ("events", "channels", "vhdr", "json"))).first()) == ("/d/sub-a_run-01_events.tsv", "/d/sub-a_run-01_channels.tsv", "/d/sub-a_run-01_ieeg.vhdr", "/d/sub-a_run-01_ieeg.json")

@@ -112,3 +112,16 @@ def test_pacf_query_spans_a_week(spark):
 
     got = catalog.queries()["pacf"](spark, SMALL).groupBy("event_type").agg(F.max("lag").alias("last"), F.count("*").alias("n")).collect()
     assert got and all(r["last"] == 168 and r["n"] == 169 for r in got)
+
+
+def test_short_channels_have_a_spectrum(spark):
+    """A channel of fewer samples than a segment is one segment of all it has."""
+    rng = np.random.default_rng(2)
+    rows = [("r", 0, rng.normal(size=64).tolist()), ("r", 1, rng.normal(size=16).tolist()), ("r", 2, [])]
+    got = fe.spectra(spark.createDataFrame(rows, "base string, ch int, xs array<double>"), 16.0, 32).toPandas()
+    assert got.groupby("ch").size().to_dict() == {0: 17, 1: 9}
+    x = np.array(rows[1][2])
+    win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 16)
+    q = np.abs(np.fft.rfft((x - x.mean()) * win)) ** 2 / (16 * (win**2).sum())
+    q[1:-1] *= 2
+    assert np.allclose(got[got.ch == 1].sort_values("bin").p, q)

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .windows import first_channel, framed
+from .windows import first_channel, framed, label_windows
 
 EPS = 1e-12
 #: The frequency bands in Hz.
@@ -43,39 +43,22 @@ def simple_features(f: DataFrame) -> DataFrame:
     return pooled_features(f).drop("line_length").join(lengths, ["base", "k"])
 
 
-def hann(j: Column, n: int) -> Column:
-    return F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2 * np.pi) * j / F.lit(float(n)))
+def welch(long: DataFrame, sfreq: float, nperseg: int) -> DataFrame:
+    """spectra() of samples (base, ch, i, x): a channel's samples are put in order as one array first."""
+    arrays = long.groupBy("base", "ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("xs"))
+    return spectra(arrays, sfreq, nperseg)
 
 
-def welch(long: DataFrame, sfreq: float, nperseg: int) -> DataFrame:
+def spectra(arrays: DataFrame, sfreq: float, nperseg: int, values: str = "xs") -> DataFrame:
     """(base, ch, bin, f, p): one-sided power density by Welch's method, half-overlapping Hann segments without their
-    mean. Fully relational: segment x frequency sums of y cos and y sin, spread by (base, ch)."""
-    step = nperseg - nperseg // 2
-    seg = _segments(long, nperseg, step)
-    mean = F.avg("x").over(W.partitionBy("base", "ch", "seg"))
-    y = seg.withColumn("y", (F.col("x") - mean) * hann(F.col("j"), nperseg))
-    bins = nperseg // 2
-    y = y.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins))))
-    angle = F.lit(2 * np.pi) * F.pmod(F.col("bin") * F.col("j"), F.lit(nperseg)) / F.lit(float(nperseg))
-    power = y.groupBy("base", "ch", "seg", "bin").agg((F.pow(F.sum(F.col("y") * F.cos(angle)), 2) + F.pow(F.sum(F.col("y") * F.sin(angle)), 2)).alias("q"))
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nperseg) / nperseg)
-    scale = 1.0 / (sfreq * float((window**2).sum()))
-    twice = F.when((F.col("bin") == 0) | ((F.col("bin") == bins) & F.lit(nperseg % 2 == 0)), F.lit(1.0)).otherwise(F.lit(2.0))
-    return power.groupBy("base", "ch", "bin").agg(F.avg("q").alias("q")).select("base", "ch", "bin", (F.col("bin") * F.lit(sfreq / nperseg)).alias("f"), (F.col("q") * twice * F.lit(scale)).alias("p"))
-
-
-def _segments(long: DataFrame, w: int, step: int) -> DataFrame:
-    n = F.max("i").over(W.partitionBy("base", "ch")) + 1
-    s = long.withColumn("n", n)
-    lo = F.greatest(F.ceil((F.col("i") - w + 1) / step), F.lit(0))
-    hi = F.least(F.floor(F.col("i") / step), F.floor((F.col("n") - w) / step))
-    s = s.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").withColumn("seg", F.explode(F.sequence("lo", "hi")))
-    return s.select("base", "ch", "seg", (F.col("i") - F.col("seg") * step).alias("j"), "x")
+    mean, from rows (base, ch, values array)."""
+    p = welch_arrays(arrays, sfreq, nperseg, values)
+    return p.select("base", "ch", F.posexplode(F.arrays_zip("freqs", "p")).alias("bin", "b")).select("base", "ch", "bin", F.col("b.freqs").alias("f"), F.col("b.p").alias("p"))
 
 
 def welch_arrays(arrays: DataFrame, sfreq: float, nperseg: int, values: str = "xs") -> DataFrame:
-    """The same spectra of rows (base, ch, values array) by FFT on Arrow batches: for long segments, where the
-    relational form would multiply rows by bins. One row (base, ch, freqs, p) each; arrays under nperseg use all."""
+    """One row (base, ch, freqs, p) for each (base, ch, values array), by FFT on Arrow batches. A channel of fewer than
+    nperseg samples is one segment of all it has; an empty one has an empty spectrum. Rows are not moved."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -128,7 +111,7 @@ def heavy_summary(long: DataFrame, psd: DataFrame, bands: dict[str, tuple[float,
 def window_table(long: DataFrame, w: int, step: int, sfreq: float, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
     """(base, k, mean channel features, spectral_entropy, bp_<band>): spectra are those of the first channel's windows."""
     f = framed(long, w, step)
-    one = first_channel(f).select("base", F.col("k").alias("ch"), (F.col("i") - F.col("k") * step).alias("i"), "x")
+    one = first_channel(f).select("base", F.col("k").alias("ch"), "i", "x")
     psd = welch(one, sfreq, min(w, int(2 * sfreq)))
     power = band_power(psd, bands).groupBy("base", "ch").pivot("band", sorted(bands)).agg(F.first("power"))
     spectral = spectral_entropy(psd).join(power, ["base", "ch"], "left").select("base", F.col("ch").alias("k"), F.col("entropy").alias("spectral_entropy"), *(F.col(n).alias(f"bp_{n}") for n in sorted(bands)))
@@ -155,3 +138,25 @@ def outlier_windows(windows: DataFrame, cols=("rms", "ptp", "line_length"), limi
 def suspicious_channels(channels: DataFrame, limit: float = 5.0) -> DataFrame:
     """Channels (base, ch, rms, ptp) whose robust z of rms or ptp within the run is beyond limit."""
     return with_robust_z(channels, ["rms", "ptp"]).where((F.abs("z_rms") > limit) | (F.abs("z_ptp") > limit))
+
+
+def labelled_windows(features: DataFrame, w: int, step: int, sfreq: float, intervals: DataFrame, runs: DataFrame, mode: str = "overlap", t0: float = 0.0) -> DataFrame:
+    """features (base, k, ...) as shipped: with t_start, t_end, t_mid, the label y from intervals, and the columns of
+    runs (base and metadata such as subject, acq, run); a run without metadata keeps its windows."""
+    s0 = F.col("k") * step
+    timed = features.withColumn("t_start", F.lit(t0) + s0 / F.lit(sfreq)).withColumn("t_end", F.lit(t0) + (s0 + w) / F.lit(sfreq)).withColumn("t_mid", F.lit(t0) + (s0 + F.lit((w - 1) / 2)) / F.lit(sfreq))
+    return label_windows(timed, intervals, mode).join(runs, "base", "left")
+
+
+def windowing_info(labelled: DataFrame, not_features: tuple[str, ...] = ("base", "k", "t_mid", "y", "subject", "acq", "run")) -> DataFrame:
+    """(base, n_windows, n_features, y_pos, y_neg, positive_rate) of labelled windows; times count as features."""
+    n = len([c for c in labelled.columns if c not in not_features])
+    return labelled.groupBy("base").agg(F.count("*").alias("n_windows"), F.lit(n).alias("n_features"), F.count_if(F.col("y") == 1).alias("y_pos"), F.count_if(F.col("y") == 0).alias("y_neg"), F.avg("y").alias("positive_rate"))
+
+
+def signal_summary(runs: DataFrame, heavy: DataFrame, bounds: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The run-level table: subject, acq, run, sfreq, n_total_channels and duration_s of runs, the segment's bounds,
+    whether the run has an interval, and the features of heavy."""
+    both = intervals.where("onset_s is not null and offset_s is not null").select("base").distinct().withColumn("has_onset_offset", F.lit(True))
+    out = runs.join(bounds.select("base", F.col("t_min").alias("segment_tmin"), F.col("t_max").alias("segment_tmax")), "base", "left").join(both, "base", "left").join(heavy, "base")
+    return out.withColumn("has_onset_offset", F.coalesce("has_onset_offset", F.lit(False)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import entity, null_tokens
 
 ENTITIES = ("sub", "ses", "task", "acq", "run")
-STRICT = r"^sub-([A-Za-z0-9]+)(?:_ses-([A-Za-z0-9]+))?(?:_task-([A-Za-z0-9]+))?(?:_acq-([A-Za-z0-9]+))?(?:_run-([0-9]+))?_ieeg$"
+STRICT = r"^sub-([^_]+)(?:_ses-([^_]+))?(?:_task-([^_]+))?(?:_acq-([^_]+))?(?:_run-([0-9]+))?_ieeg$"
 #: Fixed value: an .eeg file of more than 1 MiB holds content, less is a pointer.
 CONTENT_BYTES = 1_048_576
 _NAMES = dict(zip(ENTITIES, ("subject", "session", "task", "acq", "run"), strict=True))
@@ -96,10 +96,16 @@ def summary_by_group(summary: DataFrame, key: str = "acq", present: str = "eeg_p
 
 
 def present_by_manifest(runs: DataFrame, manifest: DataFrame, path: str = "path", size: Column | None = None) -> DataFrame:
-    """runs with eeg_present: the path is in the manifest (or, where given, its size says so)."""
+    """runs with eeg_present: the path is in the manifest. Where the manifest is empty, size (a column of runs) decides,
+    if given."""
     m = manifest.select(F.col(path)).distinct().withColumn("listed", F.lit(True))
     found = F.coalesce("listed", F.lit(False))
-    return runs.join(m, path, "left").withColumn("eeg_present", found if size is None else found | F.coalesce(size > CONTENT_BYTES, F.lit(False))).drop("listed")
+    if size is None:
+        return runs.join(m, path, "left").withColumn("eeg_present", found).drop("listed")
+    # One row, whatever the manifest's size.
+    some = manifest.limit(1).agg((F.count("*") > 0).alias("any_listed"))
+    by_size = F.coalesce(size > CONTENT_BYTES, F.lit(False))
+    return runs.join(m, path, "left").join(F.broadcast(some), how="cross").withColumn("eeg_present", F.when(F.col("any_listed"), found).otherwise(by_size)).drop("listed", "any_listed")
 
 
 def missing_columns(df: DataFrame, expected) -> DataFrame:
@@ -113,6 +119,13 @@ def first_sampling_rate(channels: DataFrame) -> DataFrame:
     return channels.groupBy("base").agg(F.min(F.when(v.isNotNull(), F.struct(F.col("ch_idx"), v.alias("v"))))["v"].alias("sfreq"))
 
 
+def sampling_rate(runs: DataFrame, sidecars: DataFrame, channels: DataFrame) -> DataFrame:
+    """(base, sfreq) for every run: SamplingFrequency of its sidecar (base, raw), else the first of its channels."""
+    told = sidecars.groupBy("base").agg(F.first(F.get_json_object("raw", "$.SamplingFrequency").try_cast("double"), ignorenulls=True).alias("told"))
+    told = told.withColumn("told", F.when(~F.isnan("told"), F.col("told")))
+    return runs.select("base").join(told, "base", "left").join(first_sampling_rate(channels), "base", "left").select("base", F.coalesce("told", "sfreq").alias("sfreq"))
+
+
 def first_existing(df: DataFrame, names) -> str | None:
     """The first of the names that is a column of df."""
     return next((n for n in names if n in df.columns), None)

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 
 def missing_by_column(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, missing_pct), from one pass over df."""
+    """(column, missing_pct), from one pass over df, the highest first."""
     cols = cols or df.columns
     row = df.agg(*((F.count_if(F.col(c).isNull()) * F.lit(100.0) / F.count("*")).alias(c) for c in cols))
-    return row.unpivot([], cols, "column", "missing_pct")
+    return row.unpivot([], cols, "column", "missing_pct").orderBy(F.desc("missing_pct"), "column")
 
 
 def missing_by_group(df: DataFrame, key: str, col: str) -> DataFrame:
-    return df.groupBy(key).agg((F.avg(F.col(col).isNull().cast("double")) * 100).alias("missing_pct"), F.count("*").alias("rows"))
+    """(key, missing_pct, rows), the highest first."""
+    return df.groupBy(key).agg((F.avg(F.col(col).isNull().cast("double")) * 100).alias("missing_pct"), F.count("*").alias("rows")).orderBy(F.desc("missing_pct"), key)
 
 
 def value_counts(df: DataFrame, col: str, top: int = 20) -> DataFrame:

@@ -19,8 +19,8 @@ def shortlist_score(df: DataFrame) -> Column:
 
 
 def signal_score(df: DataFrame) -> Column:
-    """10 for both labels + 1 for a known acquisition + channels / 100."""
-    return 10 * _flag(F.col("has_onset") & F.col("has_offset")) + _flag(F.col("acq").isNotNull()) + F.coalesce(F.col("n_channels").cast("double"), F.lit(0.0)) / 100
+    """10 for both labels + 1 for an acquisition of ecog or seeg + channels / 100."""
+    return 10 * _flag(F.col("has_onset") & F.col("has_offset")) + _flag(F.lower("acq").isin("ecog", "seeg")) + F.coalesce(F.col("n_channels").cast("double"), F.lit(0.0)) / 100
 
 
 def report_score(df: DataFrame) -> Column:

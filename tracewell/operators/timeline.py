@@ -96,17 +96,18 @@ def hour_box(hourly: DataFrame) -> DataFrame:
 
 
 def autocorrelation(series: DataFrame, lags: int = 168, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, lag, acf) of each series, with the whole length as denominator; lag 0 is 1. A join of the series with
-    itself on shifted places: each point meets lags others, spread by (key, place)."""
+    """(keys, lag, acf) of each series, with the whole length as denominator; lag 0 is 1, lags beyond a series' end are
+    left out. One sort of the dense buckets of a series (as many as its span has), no join: every point is multiplied
+    with those before it in the same window."""
     by = keys or ("series",)
     s = series if keys else series.withColumn("series", F.lit(0))
-    s = s.withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy("bucket")))
-    m = s.groupBy(*by).agg(F.avg("runs").alias("mean"))
-    s = s.join(m, [*by]).select(*by, "i", (F.col("runs") - F.col("mean")).alias("d"))
-    ahead = s.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select(*by, "lag", (F.col("i") + F.col("lag")).alias("i"), F.col("d").alias("before"))
-    c = ahead.join(s, [*by, "i"]).groupBy(*by, "lag").agg(F.sum(F.col("before") * F.col("d")).alias("c"))
-    zero = c.where("lag = 0").select(*by, F.col("c").alias("c0"))
-    return c.join(zero, [*by]).select(*keys, "lag", F.try_divide("c", F.nullif("c0", F.lit(0.0))).alias("acf"))
+    of, order = W.partitionBy(*by), W.partitionBy(*by).orderBy("bucket")
+    s = s.select(*by, "bucket", (F.col("runs") - F.avg("runs").over(of)).alias("d"))
+    s = s.select(*by, "d", *(F.lag("d", k).over(order).alias(f"d{k}") for k in range(1, lags + 1)))
+    sums = [F.sum(F.col("d") * F.col("d" if k == 0 else f"d{k}")) for k in range(lags + 1)]
+    c = s.groupBy(*by).agg(F.count("*").alias("n"), F.array(*sums).alias("c"))
+    c = c.select(*keys, "n", F.get("c", F.lit(0)).alias("c0"), F.posexplode("c").alias("lag", "c")).where("lag < n")
+    return c.select(*keys, "lag", F.try_divide("c", F.nullif("c0", F.lit(0.0))).alias("acf"))
 
 
 def partial_autocorrelation(acf: DataFrame, key: str) -> DataFrame:

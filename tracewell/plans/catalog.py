@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import base_name, finite, json_first_number, seconds
+from ..functions.columns import base_name, finite, json_first_number, seconds, to_number
 from ..operators import features as fe
 from ..operators import inventory as inv
 from ..operators import markers as mk
@@ -19,6 +19,7 @@ from ..operators import profile as pr
 from ..operators import selection as sel
 from ..operators import timeline as tl
 from ..operators import windows as wi
+from ..sources import files
 
 EPOCH = 1704067200.0  # 2024-01-01, where the events begin
 RULES = mk.MarkerRules(onset=r"(?i)\bsignup\b", offset=r"(?i)\berror\b")
@@ -94,7 +95,7 @@ NAMES_SQL = """names AS (SELECT o_orderkey AS base, stem, stem || '.vhdr' AS nam
 def summary(spark, d) -> DataFrame:
     """Runs are orders; labels are made from lineitem: an onset is a returned line, an offset a later line of status F."""
     o = t(spark, d, "orders")
-    runs = o.select(F.col("o_orderkey").alias("base"), F.col("o_custkey").alias("subject"), F.when(F.col("o_orderpriority") != "5-LOW", F.lower(F.substring("o_orderpriority", 3, 4))).alias("acq"), (F.col("o_totalprice") > 200000).alias("eeg_present"))
+    runs = o.select(F.col("o_orderkey").alias("base"), F.col("o_custkey").alias("subject"), F.when(F.col("o_orderpriority") == "1-URGENT", "ECOG").when(F.col("o_orderpriority") == "2-HIGH", "seeg").when(F.col("o_orderpriority") != "5-LOW", F.lower(F.substring("o_orderpriority", 3, 4))).alias("acq"), (F.col("o_totalprice") > 200000).alias("eeg_present"))
     li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("base"), F.col("l_linenumber").alias("row_idx"), F.col("l_linenumber").cast("double").alias("onset"), F.when(F.col("l_returnflag") == "R", "signup").when(F.col("l_linestatus") == "F", "error").otherwise("none").alias("trial_type"))
     return inv.run_summary(runs, channels(spark, d), mk.first_onset_offset(mk.markers(li, RULES)))
 
@@ -102,7 +103,7 @@ def summary(spark, d) -> DataFrame:
 SUMMARY_SQL = """ch AS (SELECT l_orderkey AS base, count(*) AS n_channels, count(*) FILTER (l_returnflag = 'R') AS n_bad, count(*) FILTER (l_returnflag <> 'R') AS n_good FROM lineitem GROUP BY 1),
 fon AS (SELECT l_orderkey AS base, min(l_linenumber)::DOUBLE AS first_onset FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
 lab AS (SELECT fon.base, first_onset, (SELECT min(l_linenumber)::DOUBLE FROM lineitem l WHERE l.l_orderkey = fon.base AND l_returnflag <> 'R' AND l_linestatus = 'F' AND l_linenumber > first_onset) AS first_offset FROM fon),
-summary AS (SELECT o_orderkey AS base, o_custkey AS subject, CASE WHEN o_orderpriority <> '5-LOW' THEN lower(substr(o_orderpriority, 3, 4)) END AS acq, o_totalprice > 200000 AS eeg_present,
+summary AS (SELECT o_orderkey AS base, o_custkey AS subject, CASE WHEN o_orderpriority = '1-URGENT' THEN 'ECOG' WHEN o_orderpriority = '2-HIGH' THEN 'seeg' WHEN o_orderpriority <> '5-LOW' THEN lower(substr(o_orderpriority, 3, 4)) END AS acq, o_totalprice > 200000 AS eeg_present,
   n_channels, n_bad, n_good, first_onset, first_offset, first_onset IS NOT NULL AS has_onset, first_offset IS NOT NULL AS has_offset
   FROM orders LEFT JOIN ch ON ch.base = o_orderkey LEFT JOIN lab ON lab.base = o_orderkey)"""
 
@@ -211,6 +212,24 @@ def vocab_onset(spark, d):
     return mk.vocabulary(marks(spark, d).where("is_onset"))
 
 
+@query("SELECT event_type AS trial_type, count(*) AS count FROM events WHERE event_type = 'error' GROUP BY 1")
+def vocab_offset(spark, d):
+    return mk.vocabulary(marks(spark, d).where("is_offset"))
+
+
+@query("SELECT event_type AS trial_type, count(*) AS count FROM events WHERE event_type = 'signup' GROUP BY 1")
+def vocab_onset_untimed(spark, d):
+    """Counted before rows whose time is no number go: every second marker here has none."""
+    e = events(spark, d).withColumn("onset", F.when(F.col("row_idx") % 2 == 0, F.col("onset").cast("string")).otherwise("n/a"))
+    return mk.vocabulary(mk.classify(e, RULES).where("is_onset"))
+
+
+@query("SELECT event_type AS trial_type, count(*) AS count FROM events WHERE event_type = 'signup' AND event_id % 2 = 0 GROUP BY 1")
+def vocab_onset_timed(spark, d):
+    e = events(spark, d).withColumn("onset", F.when(F.col("row_idx") % 2 == 0, F.col("onset").cast("string")).otherwise("n/a"))
+    return mk.vocabulary(mk.markers(e, RULES).where("is_onset"))
+
+
 @query("SELECT text AS trial_type, count(*) AS count FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def vocab_topn(spark, d):
     return mk.vocabulary(t(spark, d, "documents"), "text", 20)
@@ -250,9 +269,9 @@ def entity_parse(spark, d):
     return inv.parse_entities(names(spark, d)).drop("stem")
 
 
-@query(f"WITH {NAMES_SQL}, n AS (SELECT base, CASE WHEN base % 11 = 0 THEN 'x' || name ELSE name END AS name FROM names), p AS (SELECT base, name, regexp_extract(regexp_replace(name, '\\.[A-Za-z0-9]+$', ''), '{inv.STRICT}', ['subject', 'session', 'task', 'acq', 'run']) AS m FROM n) SELECT base, name, nullif(m.subject, '') AS subject, nullif(m.session, '') AS session, nullif(m.task, '') AS task, nullif(m.acq, '') AS acq, nullif(m.run, '')::DOUBLE AS run_no FROM p")
+@query(f"WITH {NAMES_SQL}, n AS (SELECT base, CASE WHEN base % 11 = 0 THEN 'x' || name WHEN base % 11 = 1 THEN replace(name, 'sub-', 'sub-a-b.') ELSE name END AS name FROM names), p AS (SELECT base, name, regexp_extract(regexp_replace(name, '\\.[A-Za-z0-9]+$', ''), '^sub-([^_]+)(?:_ses-([^_]+))?(?:_task-([^_]+))?(?:_acq-([^_]+))?(?:_run-(\\d+))?_ieeg$', ['subject', 'session', 'task', 'acq', 'run']) AS m FROM n) SELECT base, name, nullif(m.subject, '') AS subject, nullif(m.session, '') AS session, nullif(m.task, '') AS task, nullif(m.acq, '') AS acq, nullif(m.run, '')::DOUBLE AS run_no FROM p")
 def entity_parse_strict(spark, d):
-    n = names(spark, d).select("base", F.when(F.col("base") % 11 == 0, F.concat(F.lit("x"), F.col("name"))).otherwise(F.col("name")).alias("name"))
+    n = names(spark, d).select("base", F.when(F.col("base") % 11 == 0, F.concat(F.lit("x"), F.col("name"))).when(F.col("base") % 11 == 1, F.replace("name", F.lit("sub-"), F.lit("sub-a-b."))).otherwise(F.col("name")).alias("name"))
     return doubles(inv.parse_entities_strict(n), "run_no")
 
 
@@ -292,7 +311,7 @@ def summary_by_group(spark, d):
 
 
 SCORED_SQL = SUMMARY_SQL + """, scored AS (SELECT *, 10.0 * has_onset::INT + 15.0 * (has_onset AND has_offset)::INT + coalesce(n_channels, 0)::DOUBLE / 50 - coalesce(n_bad, 0)::DOUBLE / 50 + 2.0 * coalesce(lower(acq) IN ('ecog', 'seeg'), false)::INT + 3.0 * (NOT eeg_present)::INT AS score,
-  10.0 * (has_onset AND has_offset)::INT + (acq IS NOT NULL)::INT + coalesce(n_channels, 0)::DOUBLE / 100 AS signal_score, 10.0 * (has_onset AND has_offset)::INT AS report_score FROM summary)"""
+  10.0 * (has_onset AND has_offset)::INT + coalesce(lower(acq) IN ('ecog', 'seeg'), false)::INT + coalesce(n_channels, 0)::DOUBLE / 100 AS signal_score, 10.0 * (has_onset AND has_offset)::INT AS report_score FROM summary)"""
 
 
 def _scored(spark, d):
@@ -315,8 +334,8 @@ def select_diverse(spark, d):
     return sel.select_diverse(_scored(spark, d), 15).select("base", "subject", F.round("score", 6).alias("score"))
 
 
-TIER_SQL = SCORED_SQL + """, a AS (SELECT *, 1 AS pool FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, base) AS r FROM scored WHERE n_channels >= 7 AND subject % 150 = 0) WHERE r <= 2 ORDER BY score DESC, base LIMIT 15),
-b AS (SELECT *, 2 AS pool FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, base) AS r FROM scored WHERE n_channels >= 6 AND subject % 150 = 0 AND base NOT IN (SELECT base FROM a)) WHERE r <= 2 ORDER BY score DESC, base LIMIT 10),
+TIER_SQL = SCORED_SQL + """, a AS (SELECT *, 1 AS pool FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, base) AS r FROM scored WHERE n_channels >= 7 AND eeg_present AND has_onset AND has_offset AND lower(acq) = 'ecog') WHERE r <= 2 ORDER BY score DESC, base LIMIT 15),
+b AS (SELECT *, 2 AS pool FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, base) AS r FROM scored WHERE n_channels >= 6 AND has_offset AND lower(acq) = 'seeg' AND base NOT IN (SELECT base FROM a)) WHERE r <= 2 ORDER BY score DESC, base LIMIT 10),
 ab AS (SELECT * FROM a UNION ALL SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (ORDER BY score DESC, base) + (SELECT count(*) FROM a) AS nth FROM b) WHERE nth <= 10),
 c AS (SELECT *, 3 AS pool FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, base) AS r FROM scored WHERE base NOT IN (SELECT base FROM ab)) WHERE r <= 2 ORDER BY score DESC, base LIMIT 10),
 abc AS (SELECT * FROM ab UNION ALL SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (ORDER BY score DESC, base) + (SELECT count(*) FROM ab) AS nth FROM c) WHERE nth <= 10)"""
@@ -324,8 +343,9 @@ abc AS (SELECT * FROM ab UNION ALL SELECT * EXCLUDE (nth) FROM (SELECT *, row_nu
 
 @query(f"WITH {TIER_SQL} SELECT base, subject, round(score, 6) AS score, pool FROM abc")
 def tiered_fill(spark, d):
-    few = F.col("subject") % 150 == 0
-    return sel.tiered_fill(_scored(spark, d), [(F.col("n_channels") >= 7) & few, (F.col("n_channels") >= 6) & few, F.lit(True)]).select("base", "subject", F.round("score", 6).alias("score"), "pool")
+    first = (F.col("n_channels") >= 7) & F.col("eeg_present") & F.col("has_onset") & F.col("has_offset") & (F.lower("acq") == "ecog")
+    second = (F.col("n_channels") >= 6) & F.col("has_offset") & (F.lower("acq") == "seeg")
+    return sel.tiered_fill(_scored(spark, d), [first, second, F.lit(True)]).select("base", "subject", F.round("score", 6).alias("score"), "pool")
 
 
 @query(f"WITH {SCORED_SQL}, x AS (SELECT base, CASE WHEN eeg_present AND has_offset AND n_channels > 20 THEN 0 WHEN eeg_present THEN 1 END AS tier FROM scored) SELECT base, tier FROM x WHERE tier = (SELECT min(tier) FROM x)")
@@ -340,6 +360,45 @@ def manifest_presence(spark, d):
     return inv.present_by_manifest(t(spark, d, "orders").select(F.col("o_orderkey").alias("path")), listed)
 
 
+@query("SELECT o_orderkey AS path, o_totalprice * 10 > 1048576 AS eeg_present FROM orders")
+def manifest_empty_presence(spark, d):
+    """An empty manifest: sizes decide."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_totalprice") * 10).alias("bytes"))
+    return inv.present_by_manifest(o, o.where("path < 0"), size=F.col("bytes")).select("path", "eeg_present")
+
+
+@query("SELECT o_orderkey AS path, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS eeg_present FROM orders")
+def manifest_over_size(spark, d):
+    """A manifest with paths decides alone, whatever the sizes."""
+    listed = t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("path"))
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_totalprice") * 10).alias("bytes"))
+    return inv.present_by_manifest(o, listed, size=F.col("bytes")).select("path", "eeg_present")
+
+
+@query("WITH ch AS (SELECT l_orderkey AS base, min(l_discount) AS v FROM (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS f FROM lineitem WHERE l_discount > 0) WHERE l_linenumber = f GROUP BY 1) SELECT o_orderkey AS base, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 + 500.0 ELSE v END AS sfreq FROM orders LEFT JOIN ch ON ch.base = o_orderkey")
+def sampling_rate(spark, d):
+    """The sidecar's rate where it has one (every third run), else the first of the channels."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("base"), F.when(F.col("o_orderkey") % 3 == 0, F.to_json(F.struct((F.col("o_orderkey") % 7 + 500.0).alias("SamplingFrequency")))).otherwise("{}").alias("raw"))
+    c = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("base"), F.col("l_linenumber").alias("ch_idx"), F.when(F.col("l_discount") > 0, F.col("l_discount").cast("string")).otherwise("n/a").alias("sampling_frequency"))
+    return inv.sampling_rate(o, o, c)
+
+
+@query("SELECT o_orderkey, try_cast(CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' WHEN o_orderkey % 4 = 1 THEN o_totalprice::VARCHAR || 'd' ELSE o_totalprice::VARCHAR END AS DOUBLE) AS price FROM orders")
+def numbers_from_text(spark, d):
+    text = F.when(F.col("o_orderkey") % 4 == 0, "n/a").when(F.col("o_orderkey") % 4 == 1, F.concat(F.col("o_totalprice").cast("string"), F.lit("d"))).otherwise(F.col("o_totalprice").cast("string"))
+    return t(spark, d, "orders").select("o_orderkey", to_number(text).alias("price"))
+
+
+@query("SELECT user_id AS base, event_type AS trial_type, count(*) AS n FROM events WHERE event_type IN ('signup', 'error') AND event_id % 5 <> 0 GROUP BY ALL")
+def events_of_tables(spark, d):
+    """Rows as read from tables by header: base from the path, missing onsets null."""
+    e = t(spark, d, "events")
+    path = F.concat(F.lit("/data/sub-"), F.col("user_id").cast("string"), F.lit("_events.tsv"))
+    cells = e.select(path.alias("path"), F.col("event_id").alias("row_idx"), F.create_map(F.lit("onset"), F.when(F.col("event_id") % 5 != 0, F.col("value").cast("string")), F.lit("trial_type"), F.col("event_type")).alias("cells"))
+    m = mk.markers(files.events_from_tsv(cells), RULES)
+    return m.groupBy(F.regexp_extract("base", r"sub-(\d+)_ieeg", 1).cast("long").alias("base"), "trial_type").agg(F.count("*").alias("n"))
+
+
 @query("WITH b AS (SELECT o_orderkey AS base FROM orders WHERE o_orderstatus = 'F' UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 40) SELECT base, max(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS vhdr, (SELECT max(l_returnflag) FROM lineitem WHERE l_orderkey = base AND l_quantity > 40) AS events FROM b LEFT JOIN orders ON o_orderkey = base GROUP BY base")
 def union_bases(spark, d):
     a = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("base"), F.lit("vhdr").alias("kind"), F.col("o_orderpriority").alias("path"))
@@ -392,12 +451,12 @@ def label_midpoint(spark, d):
     return wi.label_windows(_hour_frames(spark, d), mk.pair_intervals(marks(spark, d)), "midpoint").select("base", "k", "y")
 
 
-@query(f"WITH {FRAME_SQL} SELECT base, k, max(CASE WHEN t_end > onset_s AND t_start < offset_s THEN 1 ELSE 0 END) AS y FROM fr LEFT JOIN (SELECT * FROM pairs WHERE duration_s < 7200) USING (base) GROUP BY ALL")
+@query(f"WITH {FRAME_SQL} SELECT base, k, max(CASE WHEN t_end > onset_s AND t_start < offset_s THEN 1 ELSE 0 END) AS y FROM fr LEFT JOIN pairs USING (base) GROUP BY ALL")
 def label_overlap(spark, d):
-    return wi.label_windows(_hour_frames(spark, d), mk.pair_intervals(marks(spark, d)).where("duration_s < 7200"), "overlap", bin_s=86400.0).select("base", "k", "y")
+    return wi.label_windows(_hour_frames(spark, d), mk.pair_intervals(marks(spark, d)), "overlap", bin_s=86400.0).select("base", "k", "y")
 
 
-@query(f"WITH {FRAME_SQL}, y AS (SELECT base, k, max(CASE WHEN t_end > onset_s AND t_start < offset_s THEN 1 ELSE 0 END) AS y FROM fr LEFT JOIN (SELECT * FROM pairs WHERE duration_s < 7200) USING (base) GROUP BY ALL) SELECT base, count(*) AS n_windows, count(*) FILTER (y = 1) AS y_pos, count(*) FILTER (y = 0) AS y_neg, round(avg(y), 6) AS positive_rate FROM y GROUP BY 1")
+@query(f"WITH {FRAME_SQL}, y AS (SELECT base, k, max(CASE WHEN t_end > onset_s AND t_start < offset_s THEN 1 ELSE 0 END) AS y FROM fr LEFT JOIN pairs USING (base) GROUP BY ALL) SELECT base, count(*) AS n_windows, count(*) FILTER (y = 1) AS y_pos, count(*) FILTER (y = 0) AS y_neg, round(avg(y), 6) AS positive_rate FROM y GROUP BY 1")
 def window_counts(spark, d):
     y = label_overlap(spark, d)
     return y.groupBy("base").agg(F.count("*").alias("n_windows"), F.count_if(F.col("y") == 1).alias("y_pos"), F.count_if(F.col("y") == 0).alias("y_neg"), F.round(F.avg("y"), 6).alias("positive_rate"))
@@ -433,6 +492,44 @@ def window_features_table(spark, d):
     return out.select("base", "k", *r6("rms", "ptp", "line_length", "activity", "mobility", "complexity", "spectral_entropy"), *(F.round(c, 9).alias(c) for c in ("bp_low", "bp_high")))
 
 
+#: Metadata and intervals of the stand-in runs: an interval of a second that begins later with each of four runs.
+META_SQL = "meta AS (SELECT DISTINCT label AS base, 'jh' || label AS subject, CASE WHEN label % 2 = 0 THEN 'ecog' ELSE 'seeg' END AS acq, label % 4 AS run FROM embeddings), iv AS (SELECT base, 0.5 + 0.25 * run AS onset_s, 1.5 + 0.25 * run AS offset_s FROM meta WHERE base % 5 <> 0)"
+
+
+def _meta(spark, d):
+    return signal(spark, d).select("base").distinct().select("base", F.concat(F.lit("jh"), F.col("base").cast("string")).alias("subject"), F.when(F.col("base") % 2 == 0, "ecog").otherwise("seeg").alias("acq"), (F.col("base") % 4).alias("run"))
+
+
+def _intervals(spark, d):
+    on = F.lit(0.5) + F.lit(0.25) * F.col("run")
+    return _meta(spark, d).where("base % 5 <> 0").select("base", on.alias("onset_s"), (on + 1.0).alias("offset_s"))
+
+
+TIMES_SQL = f"k * {STEP} / {FS} AS t_start, (k * {STEP} + {W}) / {FS} AS t_end, (k * {STEP} + {(W - 1) / 2}) / {FS} AS t_mid"
+TIMED_SQL = f"tm AS (SELECT DISTINCT base, k, {TIMES_SQL} FROM framed), lb AS (SELECT tm.*, coalesce((t_end > onset_s AND t_start < offset_s)::INT, 0) AS y, coalesce((t_mid >= onset_s AND t_mid <= offset_s)::INT, 0) AS y_mid FROM tm LEFT JOIN iv USING (base))"
+
+
+@query(f"WITH {FRAMED_SQL}, {META_SQL}, {TIMED_SQL}, ll AS (SELECT base, k, avg(line_length) AS line_length FROM chan GROUP BY ALL) SELECT base, k, round(t_mid, 6) AS t_mid_s, round(p.rms, 6) AS rms, round(p.ptp, 6) AS ptp, round(ll.line_length, 6) AS line_length, y_mid AS y FROM pooled p JOIN ll USING (base, k) JOIN lb USING (base, k)")
+def window_features_simple_labelled(spark, d):
+    out = fe.labelled_windows(fe.simple_features(framed(spark, d)), W, STEP, FS, _intervals(spark, d), _meta(spark, d).select("base"), "midpoint")
+    return out.select("base", "k", F.round("t_mid", 6).alias("t_mid_s"), *r6("rms", "ptp", "line_length"), "y")
+
+
+def _table(spark, d):
+    f = fe.window_table(long(spark, d), W, STEP, FS, SMALL_BANDS)
+    return fe.labelled_windows(f, W, STEP, FS, _intervals(spark, d), _meta(spark, d))
+
+
+@query(f"WITH {WT_SQL}, {META_SQL}, {TIMED_SQL} SELECT base, k, subject, acq, run, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end, {_r('rms ptp line_length activity mobility complexity spectral_entropy')}, round(lo.power, 9) AS bp_low, round(hi.power, 9) AS bp_high, y FROM wm JOIN we USING (base, k) JOIN (SELECT * FROM wb WHERE b = 'low') lo USING (base, k) JOIN (SELECT * FROM wb WHERE b = 'high') hi USING (base, k) JOIN lb USING (base, k) JOIN meta USING (base)")
+def window_features_labelled(spark, d):
+    return _table(spark, d).select("base", "k", "subject", "acq", "run", *r6("t_start", "t_end", "rms", "ptp", "line_length", "activity", "mobility", "complexity", "spectral_entropy"), *(F.round(c, 9).alias(c) for c in ("bp_low", "bp_high")), "y")
+
+
+@query(f"WITH {FRAMED_SQL}, {META_SQL}, {TIMED_SQL} SELECT base, count(*) AS n_windows, 11 AS n_features, count(*) FILTER (y = 1) AS y_pos, count(*) FILTER (y = 0) AS y_neg, round(avg(y), 6) AS positive_rate FROM lb GROUP BY 1")
+def windowing_info(spark, d):
+    return fe.windowing_info(_table(spark, d)).withColumn("positive_rate", F.round("positive_rate", 6))
+
+
 @query(f"WITH {LONG_SQL}, e AS (SELECT base, ch, i - 24 AS i, x FROM long WHERE i >= 24 AND i < 40) SELECT base, ch, round(sqrt(avg(x * x)), 6) AS rms, min(i) AS first_i, max(i) AS last_i FROM e GROUP BY ALL")
 def excerpt_rms(spark, d):
     e = wi.excerpt(long(spark, d), FS, 1.0)
@@ -451,9 +548,11 @@ mad AS (SELECT p.base, median(abs(rms - m1)) AS a1, median(abs(ptp - m2)) AS a2,
 outl AS (SELECT base, k, rms, ptp, line_length, greatest(abs(0.6745 * (rms - m1) / (a1 + 1e-12)), abs(0.6745 * (ptp - m2) / (a2 + 1e-12)), abs(0.6745 * (line_length - m3) / (a3 + 1e-12))) AS outlier_score FROM pooled JOIN med USING (base) JOIN mad USING (base))"""
 
 
-@query(f"WITH {Z_SQL} SELECT base, k, {_r('rms ptp line_length outlier_score')}, outlier_score >= 2 AS is_outlier FROM outl")
+@query(f"WITH {Z_SQL} SELECT base, k, round(k * {STEP} / {FS}, 6)::DOUBLE AS t_start, round((k * {STEP} + {W}) / {FS}, 6)::DOUBLE AS t_end, {_r('rms ptp line_length outlier_score')}, outlier_score >= 2 AS is_outlier FROM outl")
 def window_features_qc(spark, d):
-    return fe.outlier_windows(fe.pooled_features(framed(spark, d)), limit=2.0).select("base", "k", *r6("rms", "ptp", "line_length", "outlier_score"), "is_outlier")
+    out = fe.outlier_windows(fe.pooled_features(framed(spark, d)), limit=2.0)
+    t0, t1 = F.col("k") * STEP / F.lit(FS), (F.col("k") * STEP + W) / F.lit(FS)
+    return out.select("base", "k", F.round(t0, 6).alias("t_start"), F.round(t1, 6).alias("t_end"), *r6("rms", "ptp", "line_length", "outlier_score"), "is_outlier")
 
 
 @query(f"WITH {FRAMED_SQL} SELECT base, ch, k, {_r('activity mobility complexity')} FROM chan")
@@ -474,23 +573,23 @@ def feature_trajectory(spark, d):
 
 @query(f"WITH {PSD_SQL} SELECT base, ch, bin, f, round(p, 9) AS p FROM psd")
 def psd(spark, d):
-    return fe.welch(long(spark, d), FS, NPERSEG).withColumn("p", F.round("p", 9))
+    return fe.spectra(signal(spark, d), FS, NPERSEG).withColumn("p", F.round("p", 9))
 
 
 @query(f"WITH {PSD_SQL} SELECT base, ch, band, round(power, 9) AS power FROM band")
 def bandpower(spark, d):
-    return fe.band_power(fe.welch(long(spark, d), FS, NPERSEG), SMALL_BANDS).withColumn("power", F.round("power", 9))
+    return fe.band_power(fe.spectra(signal(spark, d), FS, NPERSEG), SMALL_BANDS).withColumn("power", F.round("power", 9))
 
 
 @query(f"WITH {PSD_SQL} SELECT base, ch, round(entropy, 6) AS entropy FROM ent")
 def spectral_entropy(spark, d):
-    return fe.spectral_entropy(fe.welch(long(spark, d), FS, NPERSEG)).withColumn("entropy", F.round("entropy", 6))
+    return fe.spectral_entropy(fe.spectra(signal(spark, d), FS, NPERSEG)).withColumn("entropy", F.round("entropy", 6))
 
 
 @query(f"WITH {PSD_SQL}, hd AS (SELECT *, x - lag(x) OVER (PARTITION BY base, ch ORDER BY i) AS d1 FROM long), hd2 AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY base, ch ORDER BY i) AS d2 FROM hd), hc AS (SELECT base, ch, sqrt(avg(x * x)) AS rms, max(x) - min(x) AS ptp, var_pop(x) + 1e-12 AS v0, var_pop(d1) + 1e-12 AS v1, var_pop(d2) + 1e-12 AS v2 FROM hd2 GROUP BY ALL), hs AS (SELECT base, count(*) AS n_picks, round(avg(rms), 6) AS rms_mean, round(avg(ptp), 6) AS ptp_mean, round(avg(v0), 6) AS activity_mean, round(avg(sqrt(v1 / v0)), 6) AS mobility_mean, round(avg(sqrt(v2 / v1) / (sqrt(v1 / v0) + 1e-12)), 6) AS complexity_mean FROM hc GROUP BY 1) SELECT hs.*, round((SELECT avg(entropy) FROM ent WHERE ent.base = hs.base), 6) AS spectral_entropy_mean, round((SELECT avg(power) FROM band WHERE band.base = hs.base AND band = 'low'), 6) AS bp_mean_low, round((SELECT avg(power) FROM band WHERE band.base = hs.base AND band = 'high'), 6) AS bp_mean_high FROM hs")
 def heavy_summary(spark, d):
     s = long(spark, d)
-    out = fe.heavy_summary(s, fe.welch(s, FS, NPERSEG), SMALL_BANDS)
+    out = fe.heavy_summary(s, fe.spectra(signal(spark, d), FS, NPERSEG), SMALL_BANDS)
     return out.select("base", "n_picks", *r6(*(c for c in out.columns if c not in ("base", "n_picks"))))
 
 
@@ -500,6 +599,12 @@ def robust_z_channels(spark, d):
     return fe.with_robust_z(c, ["ptp"]).where(F.abs("z_ptp") > 2).select("base", "ch", F.round("z_ptp", 4).alias("z_ptp"))
 
 
+@query(f"WITH {LONG_SQL}, c AS (SELECT base, ch, sqrt(avg(x * x)) AS rms, max(x) - min(x) AS ptp FROM long GROUP BY ALL), med AS (SELECT base, median(rms) AS m1, median(ptp) AS m2 FROM c GROUP BY 1), mad AS (SELECT base, median(abs(rms - m1)) AS a1, median(abs(ptp - m2)) AS a2 FROM c JOIN med USING (base) GROUP BY 1) SELECT base, ch, round(rms, 6) AS rms, round(ptp, 6) AS ptp FROM c JOIN med USING (base) JOIN mad USING (base) WHERE abs(0.6745 * (rms - m1) / (a1 + 1e-12)) > 2 OR abs(0.6745 * (ptp - m2) / (a2 + 1e-12)) > 2")
+def suspicious_channels(spark, d):
+    c = long(spark, d).groupBy("base", "ch").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), (F.max("x") - F.min("x")).alias("ptp"))
+    return fe.suspicious_channels(c, 2.0).select("base", "ch", *r6("rms", "ptp"))
+
+
 OUT_SQL = "med AS (SELECT user_id, median(value) AS m FROM events GROUP BY 1), mad AS (SELECT user_id, median(abs(value - m)) AS a FROM events JOIN med USING (user_id) GROUP BY 1), z AS (SELECT user_id AS base, event_id, abs(0.6745 * (value - m) / (a + 1e-12)) AS outlier_score FROM events JOIN med USING (user_id) JOIN mad USING (user_id))"
 
 
@@ -598,7 +703,7 @@ def subject_hour_profile(spark, d):
 
 
 TYPED = "n AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*) AS runs FROM events GROUP BY ALL), ends AS (SELECT event_type, min(bucket) AS a, max(bucket) AS b FROM n GROUP BY 1), spine AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 hour)) AS bucket FROM ends), s AS (SELECT event_type, bucket, coalesce(runs, 0) AS runs, row_number() OVER (PARTITION BY event_type ORDER BY bucket) - 1 AS i FROM spine LEFT JOIN n USING (event_type, bucket))"
-ACF_SQL = TYPED + ", m AS (SELECT event_type, avg(runs) AS mean FROM s GROUP BY 1), dv AS (SELECT event_type, i, runs - mean AS d FROM s JOIN m USING (event_type)), c AS (SELECT a.event_type, b.i - a.i AS lag, sum(a.d * b.d) AS c FROM dv a JOIN dv b ON a.event_type = b.event_type AND b.i BETWEEN a.i AND a.i + 48 GROUP BY ALL)"
+ACF_SQL = TYPED + ", m AS (SELECT event_type, avg(runs) AS mean FROM s GROUP BY 1), dv AS (SELECT event_type, i, runs - mean AS d FROM s JOIN m USING (event_type)), c AS (SELECT a.event_type, b.i - a.i AS lag, sum(a.d * b.d) AS c FROM dv a JOIN dv b ON a.event_type = b.event_type AND b.i BETWEEN a.i AND a.i + 168 GROUP BY ALL)"
 
 
 def _typed(spark, d):
@@ -607,10 +712,17 @@ def _typed(spark, d):
 
 @query(f"WITH {ACF_SQL} SELECT event_type, lag, round(c / (SELECT z.c FROM c z WHERE z.event_type = c.event_type AND z.lag = 0), 6) AS acf FROM c")
 def acf(spark, d):
-    return tl.autocorrelation(_typed(spark, d), 48, ("event_type",)).withColumn("acf", F.round("acf", 6))
+    return tl.autocorrelation(_typed(spark, d), keys=("event_type",)).withColumn("acf", F.round("acf", 6))
+
+
+PACF_SQL = ACF_SQL.replace("WITH ", "") + """, rho AS (SELECT c.event_type, c.lag, c.c / z.c AS r FROM c JOIN c z ON z.event_type = c.event_type AND z.lag = 0),
+rr AS (SELECT event_type, list(r ORDER BY lag) AS r FROM rho GROUP BY 1),
+lev(event_type, r, k, phi, err, a) AS (SELECT event_type, r, 0, []::DOUBLE[], 1.0::DOUBLE, 1.0::DOUBLE FROM rr
+UNION ALL SELECT event_type, r, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - b * phi[k + 1 - i]), b), err * (1 - b * b), b
+  FROM (SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 2 - i])), 0)) / err AS b FROM lev WHERE k + 1 < len(r)))"""
 
 
-@query()
+@query(f"WITH RECURSIVE {PACF_SQL} SELECT event_type, k AS lag, round(a, 6) AS pacf FROM lev")
 def pacf(spark, d):
     p = tl.partial_autocorrelation(tl.autocorrelation(_typed(spark, d), keys=("event_type",)), "event_type")
     return p.withColumn("pacf", F.round("pacf", 6))

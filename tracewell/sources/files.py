@@ -36,14 +36,15 @@ def content_present(files: DataFrame) -> DataFrame:
 
 def read_tsv(spark: SparkSession, root: str, pattern: str = "*_events.tsv") -> DataFrame:
     """(path, row_idx, cells map<string,string>): every table by its own header, whatever the order of its columns;
-    tokens for missing values are null. A file without rows gives none."""
+    tokens for missing values are null. Of columns of one name the first counts. A file without rows gives none."""
     text = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: x != "")
     t = text.withColumn("lines", lines).where(F.size("lines") > 1).withColumn("header", F.split(F.regexp_replace(F.get("lines", F.lit(0)), "^﻿", ""), "\t"))
     rows = t.select("path", "header", F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("row_idx", "line"))
     cells = F.transform(F.split("line", "\t"), lambda x: null_tokens(F.trim(x)))
-    padded = F.transform("header", lambda _, i: F.get("cells", i))
-    return rows.withColumn("cells", cells).select("path", "row_idx", F.map_from_arrays("header", padded).alias("cells"))
+    firsts = F.array_distinct("header")
+    padded = F.transform(firsts, lambda name: F.get("cells", (F.array_position("header", name) - 1).cast("int")))
+    return rows.withColumn("cells", cells).select("path", "row_idx", F.map_from_arrays(firsts, padded).alias("cells"))
 
 
 def events_from_tsv(cells: DataFrame) -> DataFrame:
