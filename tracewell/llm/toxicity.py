@@ -136,7 +136,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     y = (got["y"].to_numpy() > 0.5).astype(float)
     if len(set(y)) < 2:
         return np.zeros((1 << BITS) + 1)
-    return fit_weights(y, _Matrix(got["ids"], got["values"]), _Matrix(got["swap_ids"], got["swap_values"]), (got["swap_ids"].map(len) > 0).to_numpy())
+    x, swap, has_swap = _Matrix(got["ids"], got["values"]), _Matrix(got["swap_ids"], got["swap_values"]), (got["swap_ids"].map(len) > 0).to_numpy()
+    del got  # the matrices hold it all
+    return fit_weights(y, x, swap, has_swap)
 
 
 def score_batch(data: np.ndarray, off: np.ndarray, w: np.ndarray) -> np.ndarray:
