@@ -175,8 +175,8 @@ def _parts_sent(spark, monkeypatch, x, block):
     counter = spark.sparkContext.accumulator(0)
     real = embedding._linker
 
-    def counting(threshold):
-        link = real(threshold)
+    def counting(threshold, kind):
+        link = real(threshold, kind)
 
         def run(pdf):
             counter.add(len(pdf))

@@ -208,13 +208,13 @@ class Links:
             self.later(np.repeat(p, len(q)), np.tile(q, len(p)))
 
 
-def _linker(threshold: float):
+def _linker(threshold: float, kind: str = "f8"):
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         """Both blocks of a pair (or one block with itself): per vector its weighted links, and a root it reaches."""
         pdf = pdf.sort_values("node").reset_index(drop=True)
-        raw = np.vstack([np.frombuffer(v, np.float64) for v in pdf["vec"]])
+        raw = _raw(pdf["vec"], kind)
         # Scaled first, so that squares of very small or large numbers stay in range.
         raw = raw / np.abs(raw).max(axis=1, keepdims=True)
         links = Links(raw, pdf["times"].to_numpy(np.int64), threshold)
@@ -234,18 +234,22 @@ def _linker(threshold: float):
     return link
 
 
-def _units(vectors: pd.Series) -> np.ndarray:
-    raw = np.vstack([np.frombuffer(v, np.float64) for v in vectors])
+def _raw(vectors: pd.Series, kind: str) -> np.ndarray:
+    return np.vstack([np.frombuffer(v, kind) for v in vectors]).astype(np.float64)
+
+
+def _units(vectors: pd.Series, kind: str) -> np.ndarray:
+    raw = _raw(vectors, kind)
     raw = raw / np.abs(raw).max(axis=1, keepdims=True)
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def _centrer(block: int, cells: int):
+def _centrer(block: int, cells: int, kind: str):
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
         """The cells of one large label, from a sample of its vectors: the coarsest level of a cover tree with as many
         centres as blocks are needed; where that has more than cells centres, so many as are needed."""
         pdf = pdf.sort_values(["h", "node"])
-        x, wanted = _units(pdf["vec"]), min(cells, int(-(-pdf["n"].iloc[0] // block)))
+        x, wanted = _units(pdf["vec"], kind), min(cells, int(-(-pdf["n"].iloc[0] // block)))
         level, found = 1.0, net(x, 1.0)[0]
         while len(found) < wanted and level > 1e-3:
             level /= 2
@@ -256,18 +260,21 @@ def _centrer(block: int, cells: int):
     return centre
 
 
-def _place(pdf: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-    """(node, times, vec, cell, away): a part of a label's vectors, each with the nearest of the label's centres."""
-    if not len(pdf) or not len(centres):
-        return pd.DataFrame({c: [] for c in ("label", "dim", "node", "times", "vec", "cell", "away")})
-    centres = centres.sort_values("cell")
-    x, c = _units(pdf["vec"]), np.vstack([np.frombuffer(v, np.float64) for v in centres["center"]])
-    near, away = np.zeros(len(x), np.int32), np.zeros(len(x))
-    for a in range(0, len(x), TILE):
-        d = distances(x[a : a + TILE], c)
-        near[a : a + TILE] = d.argmin(axis=1)
-        away[a : a + TILE] = d.min(axis=1)
-    return pdf[["label", "dim", "node", "times", "vec"]].assign(cell=near, away=away)
+def _placer(kind: str):
+    def place(pdf: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        """(node, times, vec, cell, away): a part of a label's vectors, each with the nearest of the label's centres."""
+        if not len(pdf) or not len(centres):
+            return pd.DataFrame({c: [] for c in ("label", "dim", "node", "times", "vec", "cell", "away")})
+        centres = centres.sort_values("cell")
+        x, c = _units(pdf["vec"], kind), np.vstack([np.frombuffer(v, np.float64) for v in centres["center"]])
+        near, away = np.zeros(len(x), np.int32), np.zeros(len(x))
+        for a in range(0, len(x), TILE):
+            d = distances(x[a : a + TILE], c)
+            near[a : a + TILE] = d.argmin(axis=1)
+            away[a : a + TILE] = d.min(axis=1)
+        return pdf[["label", "dim", "node", "times", "vec"]].assign(cell=near, away=away)
+
+    return place
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, block: int = 3000, sample: int = 4096, cells: int = 512) -> DataFrame:
@@ -287,25 +294,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Vectors of different lengths do not link. Null ids: no component, kept. Rows with the same id and vector count
     as separate vectors. Empty input: no rows. Other columns are not read.
     """
-    src = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    # Single-precision vectors stay so on disk and between tasks; all arithmetic is in double precision.
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    kind, one_kind = ("f4", "float") if single else ("f8", "double")
+    src = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast(f"array<{one_kind}>").alias("v"))
     fine = F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     src = src.withColumn("sound", F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
-    src = materialise(src.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h", F.xxhash64("label", "v")))
+    src = materialise(src.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast(one_kind))).withColumn("h", F.xxhash64("label", "v")))
     good = src.where("sound")
     distinct = good.groupBy("label", "h", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("times")).withColumn("dim", F.size("v")).select("label", "dim", "h", "node", "times", "v")
     types = {f.name: f.dataType.simpleString() for f in distinct.schema.fields}
     of = lambda *names: ", ".join(f"{n} {types[n]}" for n in names)
-    nodes = materialise(distinct.mapInPandas(_pack, f"{of('label', 'dim', 'h', 'node', 'times')}, vec binary"))
+    nodes = materialise(distinct.mapInPandas(_packer(kind), f"{of('label', 'dim', 'h', 'node', 'times')}, vec binary"))
 
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     large = materialise(sizes.where(F.col("n") > block))
     many = nodes.join(large, ["label", "dim"])
     chosen = many.where(F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 30)) < F.lit(sample) / F.col("n") * F.lit(1 << 30))
-    centres = materialise(chosen.select("label", "dim", "h", "node", "n", "vec").groupBy("label", "dim").applyInPandas(_centrer(block, cells), f"{of('label', 'dim')}, cell int, center binary"))
+    centres = materialise(chosen.select("label", "dim", "h", "node", "n", "vec").groupBy("label", "dim").applyInPandas(_centrer(block, cells, kind), f"{of('label', 'dim')}, cell int, center binary"))
     shares = F.ceil(F.col("n") / F.lit(block)).cast("int")
     split = many.withColumn("share", F.pmod(F.xxhash64("h", F.lit("share")), shares).cast("int"))
     spread = centres.join(large, ["label", "dim"]).withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("n")
-    placed = split.groupBy("label", "dim", "share").cogroup(spread.groupBy("label", "dim", "share")).applyInPandas(_place, f"{of('label', 'dim', 'node', 'times')}, vec binary, cell int, away double")
+    placed = split.groupBy("label", "dim", "share").cogroup(spread.groupBy("label", "dim", "share")).applyInPandas(_placer(kind), f"{of('label', 'dim', 'node', 'times')}, vec binary, cell int, away double")
     few = nodes.join(large, ["label", "dim"], "left_anti").select("label", "dim", "node", "times", "vec", F.lit(0).alias("cell"), F.lit(0.0).alias("away"))
     placed = materialise(few.unionByName(placed))
     parts = materialise(placed.groupBy("label", "dim", "cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("pieces")))
@@ -325,7 +335,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     within = F.col("cell") == F.col("other")
     first = F.when(within, F.col("piece") <= F.col("piece2")).otherwise(F.col("is_low"))
     dealt = sent.select("label", "dim", "node", "times", here.alias("part"), F.when(first, here).otherwise(there).alias("low"), F.when(first, there).otherwise(here).alias("high"), "vec")
-    told = materialise(dealt.groupBy("label", "dim", "low", "high").applyInPandas(_linker(threshold), f"{of('node')}, links long, root {types['node']}"))
+    told = materialise(dealt.groupBy("label", "dim", "low", "high").applyInPandas(_linker(threshold, kind), f"{of('node')}, links long, root {types['node']}"))
     comps = connected_components(told.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = told.groupBy("node").agg(F.sum("links").alias("links"))
     reached = nodes.select("label", "h", "node", "times").join(counts, "node", "left").join(comps, "node", "left").select("label", "h", "node", F.coalesce("component", "node").alias("reached"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("linked"))
@@ -353,7 +363,9 @@ def _near_cells(reach: float):
     return near
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        made = [np.asarray(v, np.float64).tobytes() for v in pdf["v"]]
-        yield pdf.drop(columns="v").assign(vec=made)
+def _packer(kind: str):
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.drop(columns="v").assign(vec=[np.asarray(v, kind).tobytes() for v in pdf["v"]])
+
+    return pack
