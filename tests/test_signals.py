@@ -125,3 +125,17 @@ def test_short_channels_have_a_spectrum(spark):
     q = np.abs(np.fft.rfft((x - x.mean()) * win)) ** 2 / (16 * (win**2).sum())
     q[1:-1] *= 2
     assert np.allclose(got[got.ch == 1].sort_values("bin").p, q)
+
+
+def test_run_level_summary_has_all_columns(spark):
+    rng = np.random.default_rng(3)
+    arrays = spark.createDataFrame([("a", c, rng.normal(size=400).tolist()) for c in range(2)] + [("b", 0, rng.normal(size=400).tolist())], "base string, ch int, xs array<double>")
+    runs = spark.createDataFrame([("a", "s1", "ecog", "01", 400.0, 5, 1.0), ("b", "s2", "seeg", "02", 400.0, 3, 1.0)], "base string, subject string, acq string, run string, sfreq double, n_total_channels int, duration_s double")
+    pairs = spark.createDataFrame([("a", 0.2, 0.6), ("b", 0.1, None)], "base string, onset_s double, offset_s double")
+    heavy = fe.heavy_summary(wi.samples(arrays), fe.spectra(arrays, 400.0, 200), fe.BANDS)
+    got = {r.base: r for r in fe.signal_summary(runs, heavy, wi.crop_bounds(runs, pairs), pairs).collect()}
+    assert len(got["a"]) == 10 + 3 + 6 + 3 + 1 and (got["a"].has_onset_offset, got["b"].has_onset_offset) == (True, False)
+    assert got["a"].n_picks == 2 and got["a"].segment_tmin == 0.0 and got["a"].segment_tmax == 1.0
+    assert all(getattr(got["a"], f"bp_mean_{b}") > 0 for b in fe.BANDS)
+    x = [np.array(r.xs) for r in arrays.where("base = 'a'").collect()]
+    assert np.isclose(got["a"].rms_mean, np.mean([np.sqrt(np.mean(v * v)) for v in x]))
