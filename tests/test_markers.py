@@ -69,6 +69,22 @@ def test_quality_flags(spark):
     assert qc[8].events_exists is False and qc[8].n_onset_markers is None and qc[8].has_orphan_offset is None
 
 
+def test_quality_equals_the_loop(spark):
+    """Offsets of equal time included: one is no orphan where another of its time ends a pair."""
+    rng = random.Random(11)
+    cases = FIXED + [([rng.randint(0, 9) for _ in range(rng.randint(0, 6))], [rng.randint(0, 9) for _ in range(rng.randint(0, 6))]) for _ in range(200)]
+    cases = [c for c in cases if c[0] or c[1]]
+    events = spark.createDataFrame(_events(cases), "base int, row_idx int, onset string, trial_type string")
+    got = {r.base: r for r in mk.marker_qc(events.select("base"), events).collect()}
+    assert len(got) == len(cases)
+    for base, (ons, offs) in enumerate(cases):
+        r, pairs = got[base], _pairs(ons, offs)
+        ends = {b for _, b in pairs}
+        assert (r.n_onset_markers, r.n_offset_markers, r.n_intervals_paired) == (len(ons), len(offs), len(pairs))
+        assert (r.min_onset_s, r.max_offset_s) == (min(ons, default=None), max(ends, default=None))
+        assert r.has_orphan_offset == any(t not in ends for t in offs), (ons, offs)
+
+
 @pytest.mark.parametrize(("ons", "offs", "want"), [([5, 8], [3, 6, 9], (5.0, 6.0)), ([5], [3], (5.0, None)), ([], [4], (None, None))])
 def test_first_onset_offset(spark, ons, offs, want):
     r = mk.first_onset_offset(mk.markers(spark.createDataFrame(_events([(ons, offs)]), "base int, row_idx int, onset string, trial_type string"))).first()

@@ -1,6 +1,7 @@
 import numpy as np
 
 from tracewell.operators import features as fe
+from tracewell.operators import profile as pr
 from tracewell.operators import selection as sel
 from tracewell.operators import timeline as tl
 from tracewell.operators import windows as wi
@@ -88,6 +89,29 @@ def test_partial_autocorrelation_solves_yule_walker(spark):
         assert np.isclose(got[k], np.linalg.solve(toeplitz, r[1 : k + 1])[-1])
 
 
+def test_percentiles_are_exact(spark):
+    """With brackets from the sketch, and where a column is its own bracket; ties, a constant, nulls."""
+    rng = np.random.default_rng(5)
+    shares = (0.0, 0.25, 0.5, 0.99, 1.0)
+    cols = {"far": rng.lognormal(0, 3, 5000), "ties": rng.integers(0, 4, 5000).astype(float), "same": np.full(5000, 2.5)}
+    rows = [(*(float(v) for v in r), None, float(i) if i < 2 else None) for i, r in enumerate(zip(*cols.values(), strict=True))]
+    df = spark.createDataFrame(rows, "far double, ties double, same double, none double, two double").repartition(7)
+    cols["two"] = np.array([0.0, 1.0])
+    for accuracy in (1000, 10_000):
+        got = {r["column"]: r["values"] for r in pr.percentiles(df, df.columns, shares, accuracy).collect()}
+        assert got.pop("none") is None and got.keys() == cols.keys()
+        for c, x in cols.items():
+            assert np.allclose(got[c], np.quantile(x, shares), rtol=1e-12), (c, accuracy)
+    empty = tl.gap_profile(spark.createDataFrame([], "gap_h double")).collect()
+    assert len(empty) == 1 and empty[0]["n"] == 0 and empty[0]["p50"] is None and empty[0]["mean_clipped"] is None
+
+
+def test_autocorrelation_of_unknown_counts_and_short_series(spark):
+    s = spark.createDataFrame([("a", 0, 1.0), ("a", 1, None), ("a", 2, 3.0), ("b", 0, 2.0), ("b", 1, 2.0)], "k string, bucket int, runs double")
+    got = {(r.k, r.lag): r.acf for r in tl.autocorrelation(s, 5, ("k",)).collect()}
+    assert got == {("a", 0): 1.0, ("a", 1): 0.0, ("a", 2): -0.5, ("b", 0): None, ("b", 1): None}
+
+
 def test_diverse_selection_caps_subjects(spark):
     df = spark.createDataFrame([(i, i % 3, float(-i)) for i in range(12)], "base int, subject int, score double")
     got = [r.base for r in sel.select_diverse(df, 5).collect()]

@@ -53,8 +53,8 @@ def markers(events: DataFrame, rules: MarkerRules = RULES_V2) -> DataFrame:
     return rows.where("(is_onset or is_offset) and t is not null").select("base", "row_idx", "t", "trial_type", "is_onset", "is_offset")
 
 
-def pair_intervals(found: DataFrame) -> DataFrame:
-    """(base, onset_s, offset_s, duration_s, onset_trial_type, offset_trial_type).
+def pair_slots(found: DataFrame) -> DataFrame:
+    """(base, place, onset_s, offset_s, onset_trial_type, offset_trial_type): pairs, onsets and offsets left alone.
 
     Each onset in order takes the first offset that is strictly later and not yet taken. With f(i) the number of
     offsets not later than onset i, the offset's place is i + max over k <= i of (f(k) - k). Onsets get that place,
@@ -67,8 +67,12 @@ def pair_intervals(found: DataFrame) -> DataFrame:
     s = found.withColumn("i", F.sum(on).over(order) - 1).withColumn("j", F.sum(off).over(order) - 1).withColumn("f", F.sum(off).over(not_later))
     place = F.when(F.col("is_onset"), F.col("i") + F.max(F.when(F.col("is_onset"), F.col("f") - F.col("i"))).over(order)).otherwise(F.col("j"))
     of = lambda kind, c: F.max(F.when(F.col(f"is_{kind}"), F.col(c)))
-    slots = s.withColumn("place", place).groupBy("base", "place").agg(of("onset", "t").alias("onset_s"), of("offset", "t").alias("offset_s"), of("onset", "trial_type").alias("onset_trial_type"), of("offset", "trial_type").alias("offset_trial_type"))
-    pairs = slots.where("onset_s is not null and offset_s is not null")
+    return s.withColumn("place", place).groupBy("base", "place").agg(of("onset", "t").alias("onset_s"), of("offset", "t").alias("offset_s"), of("onset", "trial_type").alias("onset_trial_type"), of("offset", "trial_type").alias("offset_trial_type"))
+
+
+def pair_intervals(found: DataFrame) -> DataFrame:
+    """(base, onset_s, offset_s, duration_s, onset_trial_type, offset_trial_type) of the pairs among pair_slots()."""
+    pairs = pair_slots(found).where("onset_s is not null and offset_s is not null")
     return pairs.select("base", "onset_s", "offset_s", (F.col("offset_s") - F.col("onset_s")).alias("duration_s"), "onset_trial_type", "offset_trial_type")
 
 
@@ -79,15 +83,19 @@ def first_onset_offset(found: DataFrame) -> DataFrame:
 
 
 def marker_qc(runs: DataFrame, events: DataFrame, rules: MarkerRules = RULES_V2) -> DataFrame:
-    """One row per run of runs (base): counts of rows, texts, markers and pairs, and flags; nulls without events."""
-    m = markers(events, rules)
-    pairs = pair_intervals(m)
+    """One row per run of runs (base): counts of rows, texts, markers and pairs, and flags; nulls without events. An
+    offset is an orphan if no pair ends at its time."""
     rows = events.groupBy("base").agg(F.count("*").alias("n_trial_rows"), F.count_distinct(F.coalesce("trial_type", F.lit("nan"))).alias("n_unique_trial_type"))
-    marks = m.groupBy("base").agg(F.count_if("is_onset").alias("n_onset_markers"), F.count_if("is_offset").alias("n_offset_markers"), F.min(F.when(F.col("is_onset"), F.col("t"))).alias("min_onset_s"))
-    made = pairs.groupBy("base").agg(F.count("*").alias("n_intervals_paired"), F.max("offset_s").alias("max_offset_s"))
-    used = pairs.select("base", F.col("offset_s").alias("t")).distinct()
-    orphans = m.where("is_offset").select("base", "t").join(used, ["base", "t"], "left_anti").select("base").distinct().withColumn("has_orphan_offset", F.lit(True))
-    out = runs.select("base").distinct().join(rows, "base", "left").join(marks, "base", "left").join(made, "base", "left").join(orphans, "base", "left")
+    paired = F.col("onset_s").isNotNull() & F.col("offset_s").isNotNull()
+    # Slots lie by base already, so that grouping them by time and then by run moves nothing.
+    ends = pair_slots(markers(events, rules)).groupBy("base", "offset_s").agg(
+        F.count("onset_s").alias("on"), F.count("offset_s").alias("off"), F.count_if(paired).alias("pairs"), F.min("onset_s").alias("first"),
+    )
+    marks = ends.groupBy("base").agg(
+        F.sum("on").alias("n_onset_markers"), F.sum("off").alias("n_offset_markers"), F.sum("pairs").alias("n_intervals_paired"), F.min("first").alias("min_onset_s"),
+        F.max(F.when(F.col("pairs") > 0, F.col("offset_s"))).alias("max_offset_s"), F.bool_or((F.col("off") > 0) & (F.col("pairs") == 0)).alias("has_orphan_offset"),
+    )
+    out = runs.select("base").distinct().join(rows, "base", "left").join(marks, "base", "left")
     known = F.col("n_trial_rows").isNotNull()
     zero = lambda c: F.when(known, F.coalesce(F.col(c), F.lit(0)))
     n_on, n_off, n_int = zero("n_onset_markers"), zero("n_offset_markers"), zero("n_intervals_paired")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .profile import percentiles
+
 
 def resample(scans: DataFrame, unit: str = "day", ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, bucket, runs): counts per hour or day, 0 where nothing happened, from each key's first to last bucket."""
@@ -56,12 +58,12 @@ def gaps(scans: DataFrame, key: str, ts: str = "ts") -> DataFrame:
 
 
 def gap_profile(g: DataFrame, col: str = "gap_h") -> DataFrame:
-    """Count, mean, deviation, extremes, quartiles and high percentiles of the gaps, and the mean clipped at p99."""
-    q = F.percentile(col, F.array(*(F.lit(x) for x in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))))
-    row = g.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"), q.alias("q"))
-    clipped = g.join(F.broadcast(row.select(F.get("q", F.lit(5)).alias("p99"))), how="cross").agg(F.avg(F.least(F.col(col), F.col("p99"))).alias("mean_clipped"))
-    named = row.select("n", "mean", "std", "min", "max", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75", "p90", "p95", "p99"))))
-    return named.join(F.broadcast(clipped), how="cross")
+    """Count, mean, deviation, extremes, exact quartiles and high percentiles of the gaps, and the mean clipped at p99."""
+    names = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    q = percentiles(g, [col], tuple(names.values())).select(*(F.get("values", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    row = g.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    clipped = g.join(F.broadcast(q.select("p99")), how="cross").agg(F.avg(F.least(F.col(col), F.col("p99"))).alias("mean_clipped"))
+    return row.join(F.broadcast(q), how="cross").join(F.broadcast(clipped), how="cross")
 
 
 def by_hour(scans: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -97,16 +99,17 @@ def hour_box(hourly: DataFrame) -> DataFrame:
 
 def autocorrelation(series: DataFrame, lags: int = 168, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, lag, acf) of each series, with the whole length as denominator; lag 0 is 1, lags beyond a series' end are
-    left out. One sort of the dense buckets of a series (as many as its span has), no join: every point is multiplied
-    with those before it in the same window."""
+    left out. One sort of the dense buckets of a series, which one task takes whole (they are as many as its span has
+    hours or days, not as many as it has rows): each point meets the array of those before it, and products are summed
+    where they arise, so no product is shuffled. A constant series has no autocorrelation: null."""
     by = keys or ("series",)
     s = series if keys else series.withColumn("series", F.lit(0))
-    of, order = W.partitionBy(*by), W.partitionBy(*by).orderBy("bucket")
-    s = s.select(*by, "bucket", (F.col("runs") - F.avg("runs").over(of)).alias("d"))
-    s = s.select(*by, "d", *(F.lag("d", k).over(order).alias(f"d{k}") for k in range(1, lags + 1)))
-    sums = [F.sum(F.col("d") * F.col("d" if k == 0 else f"d{k}")) for k in range(lags + 1)]
-    c = s.groupBy(*by).agg(F.count("*").alias("n"), F.array(*sums).alias("c"))
-    c = c.select(*keys, "n", F.get("c", F.lit(0)).alias("c0"), F.posexplode("c").alias("lag", "c")).where("lag < n")
+    of = W.partitionBy(*by)
+    # An unknown count adds nothing, but keeps its place.
+    s = s.select(*by, "bucket", F.coalesce(F.col("runs") - F.avg("runs").over(of), F.lit(0.0)).alias("d"))
+    s = s.select(*by, "d", F.reverse(F.collect_list("d").over(of.orderBy("bucket").rowsBetween(-lags, 0))).alias("before"))
+    c = s.select(*by, "d", F.posexplode("before").alias("lag", "x")).groupBy(*by, "lag").agg(F.sum(F.col("d") * F.col("x")).alias("c"))
+    c = c.withColumn("c0", F.max(F.when(F.col("lag") == 0, F.col("c"))).over(of))
     return c.select(*keys, "lag", F.try_divide("c", F.nullif("c0", F.lit(0.0))).alias("acf"))
 
 
