@@ -98,7 +98,7 @@ def test_percentiles_are_exact(spark):
     df = spark.createDataFrame(rows, "far double, ties double, same double, none double, two double").repartition(7)
     cols["two"] = np.array([0.0, 1.0])
     for accuracy in (1000, 10_000):
-        got = {r["column"]: r["values"] for r in pr.percentiles(df, df.columns, shares, accuracy).collect()}
+        got = {r["column"]: r["values"] for r in pr.summary_with_percentiles(df, df.columns, shares, accuracy).collect()}
         assert got.pop("none") is None and got.keys() == cols.keys()
         for c, x in cols.items():
             assert np.allclose(got[c], np.quantile(x, shares), rtol=1e-12), (c, accuracy)

@@ -46,8 +46,9 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("is_duplicate", F.count("*").over(W.partitionBy(*keys)) > 1)
 
 
-def percentiles(df: DataFrame, cols: list[str], shares: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
-    """(column, values): the exact percentiles of each column at these shares, interpolated; null for a column of nulls.
+def summary_with_percentiles(df: DataFrame, cols: list[str], shares: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+    """(column, count, mean, std, min, max, values): values are the exact percentiles at these shares, interpolated;
+    null for a column of nulls.
 
     A sketch of bounded size brackets each percentile: exact ranks lie within 10 / accuracy of the sketched ones, and a
     column of fewer values than accuracy is its own bracket. All values are counted distributed, those below a bracket
@@ -59,11 +60,11 @@ def percentiles(df: DataFrame, cols: list[str], shares: tuple[float, ...], accur
     parts = []
     for c in cols:
         small = F.count(c) < accuracy
-        # NaN is the largest value, as in a sort.
         low, high = F.percentile_approx(c, F.array(*map(F.lit, lows)), accuracy), F.percentile_approx(c, F.array(*map(F.lit, highs)), accuracy)
         of = [F.struct(F.lit(i).alias("i"), F.lit(s).alias("share"), F.when(small, F.min(c)).otherwise(F.get(low, F.lit(i))).alias("low"), F.when(small, F.max(c)).otherwise(F.get(high, F.lit(i))).alias("high")) for i, s in enumerate(shares)]
-        parts.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("total"), F.array(*of).alias("of")))
-    brackets = x.agg(F.array(*parts).alias("rows")).select(F.inline("rows")).select("column", "total", F.inline("of"))
+        parts.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.array(*of).alias("of")))
+    sketch = x.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
+    brackets = sketch.select("column", F.col("count").alias("total"), F.inline("of"))
 
     n = x.unpivot([], cols, "column", "value").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
     near = n.join(F.broadcast(brackets), "column").where("value <= high")
@@ -75,19 +76,13 @@ def percentiles(df: DataFrame, cols: list[str], shares: tuple[float, ...], accur
     part = F.col("place") - F.floor("place")
     value = F.when(part == 0, F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("b") * part)
     found = two.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda r: r["v"]).alias("values"))
-    return brackets.select("column").distinct().join(F.broadcast(found), "column", "left")
+    return sketch.drop("of").join(F.broadcast(found), "column", "left")
 
 
 def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max), exact."""
-    parts = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        parts.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")))
-    rows = df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
-    q = percentiles(df, cols, (0.25, 0.5, 0.75))
-    named = (F.get("values", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75")))
-    return rows.join(F.broadcast(q), "column", "left").select("column", "count", "mean", "std", "min", *named, "max")
+    s = summary_with_percentiles(df, cols, (0.25, 0.5, 0.75))
+    return s.select("column", "count", "mean", "std", "min", *(F.get("values", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))), "max")
 
 
 def text_profile(df: DataFrame, cols: list[str]) -> DataFrame:

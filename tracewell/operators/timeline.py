@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .profile import percentiles
+from .profile import summary_with_percentiles
 
 
 def resample(scans: DataFrame, unit: str = "day", ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -60,10 +60,10 @@ def gaps(scans: DataFrame, key: str, ts: str = "ts") -> DataFrame:
 def gap_profile(g: DataFrame, col: str = "gap_h") -> DataFrame:
     """Count, mean, deviation, extremes, exact quartiles and high percentiles of the gaps, and the mean clipped at p99."""
     names = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    q = percentiles(g, [col], tuple(names.values())).select(*(F.get("values", F.lit(i)).alias(n) for i, n in enumerate(names)))
-    row = g.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
-    clipped = g.join(F.broadcast(q.select("p99")), how="cross").agg(F.avg(F.least(F.col(col), F.col("p99"))).alias("mean_clipped"))
-    return row.join(F.broadcast(q), how="cross").join(F.broadcast(clipped), how="cross")
+    s = summary_with_percentiles(g, [col], tuple(names.values()))
+    row = s.select(F.col("count").alias("n"), "mean", "std", "min", "max", *(F.get("values", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    clipped = g.join(F.broadcast(row.select("p99")), how="cross").agg(F.avg(F.least(F.col(col), F.col("p99"))).alias("mean_clipped"))
+    return row.join(F.broadcast(clipped), how="cross")
 
 
 def by_hour(scans: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
