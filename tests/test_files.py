@@ -71,6 +71,17 @@ def test_streaming_features(spark, tmp_path):
     assert got and all(r.ptp in (1.0, 3.0) for r in got)
 
 
+def test_streaming_marker_counts(spark, tmp_path):
+    rows = spark.sql("select if(i % 3 = 0, 'onset', 'offset') as trial_type, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,10*i,0) as ts from (select explode(sequence(0, 17)) as i)")
+    rows.write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = stream.marker_counts(src).writeStream.format("memory").queryName("marker_counts").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.window.start.hour, r.trial_type, r.runs) for r in spark.table("marker_counts").collect())
+    assert got == [(h, k, n) for h in range(3) for k, n in (("offset", 4), ("onset", 2))]
+
+
 def test_event_paths_and_columns(spark):
     summary = spark.createDataFrame([("a", "x.tsv"), ("b", ""), ("c", None)], "base string, events_tsv string")
     found = spark.createDataFrame([("b", "events", "y.tsv"), ("b", "json", "z.json"), ("d", "events", "w.tsv")], "base string, kind string, path string")

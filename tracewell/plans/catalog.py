@@ -399,6 +399,64 @@ def events_of_tables(spark, d):
     return m.groupBy(F.regexp_extract("base", r"sub-(\d+)_ieeg", 1).cast("long").alias("base"), "trial_type").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {NAMES_SQL}, r AS (SELECT base, '/data/' || left(stem, length(stem) - 5) AS root FROM names) SELECT base, root || '_ieeg' AS run, root || '_events.tsv' AS events, root || '_channels.tsv' AS channels, root || '_ieeg.vmrk' AS vmrk FROM r")
+def run_paths(spark, d):
+    """Any kind of file leads to its run, and the run to all kinds."""
+    root = F.concat(F.lit("/data/"), F.expr("left(stem, length(stem) - 5)"))
+    tail = F.when(F.col("base") % 3 == 0, "_events.tsv").when(F.col("base") % 3 == 1, "_channels.tsv").otherwise("_ieeg.eeg")
+    n = names(spark, d).select("base", files.run_base(F.concat(root, tail)).alias("run"))
+    return n.select("base", "run", *(files.sibling(F.col("run"), k).alias(k) for k in ("events", "channels", "vmrk")))
+
+
+@query("SELECT o_orderkey AS base, o_orderkey % 4 <> 0 AND o_totalprice * 10 > 1048576 AS eeg_present FROM orders")
+def content_by_size(spark, d):
+    """Every run has a header file; only a signal file of some size is content, and every fourth run has none."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("base"), (F.col("o_totalprice") * 10).alias("length"))
+    found = o.withColumn("kind", F.lit("vhdr")).unionByName(o.where("base % 4 <> 0").withColumn("kind", F.lit("eeg")))
+    return files.content_present(found)
+
+
+@query(f"WITH {NAMES_SQL}, c AS (SELECT base, o_custkey FROM names JOIN orders ON o_orderkey = base) SELECT base, CASE WHEN base % 2 = 0 THEN 'd' ELSE 'jh' END || o_custkey AS subject, CASE WHEN base % 2 = 0 THEN 'dir' ELSE 'presurgery' END AS session FROM c")
+def directory_entities(spark, d):
+    """Every second name tells neither subject nor session: its directories do."""
+    bare = F.regexp_replace("name", "^sub-[^_]+_ses-[^_]+_", "")
+    n = names(spark, d).select("base", F.when(F.col("base") % 2 == 0, bare).otherwise(F.col("name")).alias("name"), F.regexp_extract("stem", "^sub-jh([0-9]+)_", 1).alias("cust"))
+    n = n.withColumn("path", F.concat(F.lit("C:\\ds\\sub-d"), F.col("cust"), F.lit("\\ses-dir/ieeg/"), F.col("name")))
+    return inv.directory_fallback(inv.parse_entities(n)).select("base", "subject", "session")
+
+
+@query("WITH f AS (SELECT l_orderkey AS base, max(l_returnflag) AS found FROM lineitem WHERE l_quantity > 40 GROUP BY 1), s AS (SELECT o_orderkey AS base, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS named FROM orders) SELECT base, coalesce(named, found) AS events_tsv FROM s FULL JOIN f USING (base) WHERE coalesce(named, found) IS NOT NULL")
+def events_paths(spark, d):
+    """The path that the summary names (empty or null where it names none), else the one among the files."""
+    named = t(spark, d, "orders").select(F.col("o_orderkey").alias("base"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).when(F.col("o_orderstatus") == "O", "").alias("events_tsv"))
+    found = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("base"), F.when(F.col("l_quantity") > 40, "events").otherwise("channels").alias("kind"), F.col("l_returnflag").alias("path"))
+    return inv.events_paths(named, found)
+
+
+@query("SELECT user_id::VARCHAR AS subject, count(*) AS scans, count(*) FILTER (event_id % 3 <> 0) AS dated, min(ts) FILTER (event_id % 3 <> 0) AS first_ts FROM events GROUP BY 1")
+def scans_of_tables(spark, d):
+    """Rows as read from scan tables by header: subjects from the directories, dates that are none null."""
+    when = F.when(F.col("event_id") % 3 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise("n/a")
+    path = F.concat(F.lit("/data/sub-"), F.col("user_id").cast("string"), F.lit("/ses-1/scans.tsv"))
+    cells = t(spark, d, "events").select(path.alias("path"), F.create_map(F.lit("filename"), F.col("event_type"), F.lit("acq_time"), when).alias("cells"))
+    return files.scans_from_tsv(cells).groupBy("subject").agg(F.count("*").alias("scans"), F.count("acq_time").alias("dated"), F.min("acq_time").alias("first_ts"))
+
+
+@query("SELECT 'sub-' || l_orderkey || '_ieeg' AS base, count(*) AS n_channels, count(*) FILTER (l_returnflag = 'R') AS n_bad, count(*) FILTER (l_returnflag <> 'R') AS n_good FROM lineitem GROUP BY l_orderkey")
+def channels_of_tables(spark, d):
+    path = F.concat(F.lit("sub-"), F.col("l_orderkey").cast("string"), F.lit("_channels.tsv"))
+    status = F.when(F.col("l_returnflag") == "R", "BAD").otherwise("good")
+    cells = t(spark, d, "lineitem").select(path.alias("path"), F.col("l_linenumber").alias("row_idx"), F.create_map(F.lit("name"), F.col("l_linestatus"), F.lit("status"), status).alias("cells"))
+    return inv.channel_counts(files.channels_from_tsv(cells))
+
+
+@query("SELECT o_orderkey AS base, o_custkey AS subject FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def runs_with_onset(spark, d):
+    """Runs of one table that another one knows, each once."""
+    hit = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("base"))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("base"), F.col("o_custkey").alias("subject")).join(hit, "base", "left_semi")
+
+
 @query("WITH b AS (SELECT o_orderkey AS base FROM orders WHERE o_orderstatus = 'F' UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 40) SELECT base, max(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS vhdr, (SELECT max(l_returnflag) FROM lineitem WHERE l_orderkey = base AND l_quantity > 40) AS events FROM b LEFT JOIN orders ON o_orderkey = base GROUP BY base")
 def union_bases(spark, d):
     a = t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("base"), F.lit("vhdr").alias("kind"), F.col("o_orderpriority").alias("path"))
