@@ -13,8 +13,11 @@ from .kneser import quality_by_perplexity
 from .langid import language_digest
 from .minhash import minhash_components
 from .mixing import entropy_balance
+from .packing import packing_digest
+from .repeats import periodic_runs, runs_digest, with_repeats
 from .secrets import secrets_digest
 from .toxicity import toxicity_digest
+from .whitening import whiten_vectors
 from .wrapper import main_text
 
 
@@ -62,8 +65,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_balance(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a tokenizer that is installed, not part of this repository."""
+    import public_tokenizers
+
+    return packing_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_vectors(table(spark, sf_dir, "embeddings"), 4, 256)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(periodic_runs(with_repeats(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
-    found = (op1_toxicity, op2_secrets, op3_language, op4_near_dedup, op5_decontamination, op6_quality, op7_chat, op8_embedding_dedup, op9_html, op10_mixing)
+    found = (
+        op1_toxicity, op2_secrets, op3_language, op4_near_dedup, op5_decontamination, op6_quality, op7_chat, op8_embedding_dedup, op9_html, op10_mixing, op11_packing,
+        op12_whitening, op13_runs,
+    )
     return {f.__name__: f for f in found}
 
 
