@@ -247,7 +247,7 @@ def test_runs_of_random_words_equal_plain_search():
     assert seen > 1500
 
 
-def test_rules_are_used_twice_and_give_the_text_back():
+def test_rules_give_the_text_back_and_no_pair_recurs():
     rng = random.Random(6)
     for _ in range(200):
         docs = [random_words(rng) for _ in range(3)]
@@ -257,7 +257,7 @@ def test_rules_are_used_twice_and_give_the_text_back():
         spell = lambda s: [s] if s < 40 else spell(g.left[s - 40]) + spell(g.right[s - 40])  # noqa: B023, E731
         assert [w for s in g.symbols.tolist() for w in spell(s)] == ids.tolist()
         used = np.bincount(np.concatenate([g.left, g.right, g.symbols]).astype(int), minlength=len(g.length))
-        assert (used[40:] >= 2).all() and int(g.first.sum()) == sum(map(bool, docs))
+        assert (used[40:] >= 1).all() and int(g.first.sum()) == sum(map(bool, docs))
         for rule in range(len(g.left)):
             assert spell(40 + rule) == ids[g.begin[rule] : g.begin[rule] + g.length[40 + rule]].tolist()
         pairs = [(a, b) for a, b, f in zip(g.symbols[:-1], g.symbols[1:], g.first[1:], strict=True) if not f]
