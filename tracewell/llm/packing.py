@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,11 +38,17 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        if [*self._whole(["a b c"])[0]] != [i for ids in self._whole(["a", "b", "c"]) for i in ids]:
+            raise ValueError(f"{path} keeps white space")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
         self.clear()
         self.new: list[bytes] = []
+        self.pieces: dict[str, list[int]] = {}
         self.bytes = 0
         self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -50,27 +57,55 @@ class ChunkIds(dict):
         self[chunk] = at = len(self)
         return at
 
+    def _whole(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+
+    def _tokenize(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks and how many each has. They are normalised and cut in pieces as one text, and a piece goes
+        through the model once; chunks with added tokens, or with white space of other kinds in them, go one by one."""
+        text = b" ".join(chunks).decode()
+        if re.search(r"[^\S ]", text) or any(a in text for a in self.added):
+            made = self._whole([c.decode() for c in chunks])
+            return np.fromiter(itertools.chain.from_iterable(made), np.int32), np.fromiter(map(len, made), np.int64, len(made))
+        normal, model = self.tokenizer.normalizer, self.tokenizer.model
+        text = normal.normalize_str(text) if normal else text
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        for piece, _ in cut:
+            if piece not in self.pieces:
+                self.pieces[piece] = [t.id for t in model.tokenize(piece)]
+        made = [self.pieces[piece] for piece, _ in cut]
+        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+        of = np.searchsorted(blanks, np.fromiter((begin for _, (begin, _) in cut), np.int64, len(cut)))
+        size = np.bincount(of, np.fromiter(map(len, made), np.int64, len(made)), len(chunks)).astype(np.int64)
+        return np.fromiter(itertools.chain.from_iterable(made), np.int32), size
+
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end_id after each, and how many each text has."""
-        if len(self) > CACHE_CHUNKS or self.bytes > CACHE_BYTES:
+        if max(len(self), len(self.pieces)) > CACHE_CHUNKS or self.bytes > CACHE_BYTES:
             self.forget()
         words = [t.split() for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
         if self.new:
-            made = [e.ids for e in self.tokenizer.encode_batch([c.decode() for c in self.new], add_special_tokens=False)]
-            ends = np.cumsum([len(m) for m in made]) + self.begin[-1]
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(made), np.int32)])
-            self.begin = np.concatenate([self.begin, ends])
+            ids, size = self._tokenize(self.new)
+            self.flat, self.begin = np.concatenate([self.flat, ids]), np.concatenate([self.begin, np.cumsum(size) + self.begin[-1]])
             self.bytes += sum(map(len, self.new))
             self.new = []
         size = self.begin[at + 1] - self.begin[at]
         before = np.cumsum(size) - size
         ids = self.flat[np.repeat(self.begin[at] - before, size) + np.arange(int(size.sum()))]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        last = upto[np.cumsum(n)]
-        tokens = np.diff(last, prepend=0) + 1
-        return np.insert(ids, last, end_id), tokens
+        last = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n)]
+        return np.insert(ids, last, end_id), np.diff(last, prepend=0) + 1
+
+
+_KNOWN: dict[str, ChunkIds] = {}
+
+
+def chunk_ids(path: str) -> ChunkIds:
+    """What this Python worker knows already from tasks before."""
+    if path not in _KNOWN:
+        _KNOWN[path] = ChunkIds(path)
+    return _KNOWN[path]
 
 
 def binary_lengths(tokens: int, longest: int) -> list[int]:
@@ -86,7 +121,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(tokenizer)
+        known = chunk_ids(tokenizer)
         part = TaskContext.get().partitionId()
         count = np.zeros(longest.bit_length(), np.int64)
         for batch in batches:
