@@ -72,7 +72,7 @@ def test_pieces_of_the_table(spark):
 def test_remembered_chunks_are_bounded(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_CHUNKS", 3)
     known = packing.ChunkIds(VOCABULARY)
-    for text in ("a b c d e", "c d f a", "", "f"):
+    for text in ("a b c d e", "c d f a", "", "f", "a a b", "don't g\xa0h"):
         ids, tokens = known.encode([text.encode(), ODD.encode()], 1)
         assert ids.tolist() == plain_ids(text) + plain_ids(ODD) and tokens.tolist() == [len(plain_ids(text)), len(plain_ids(ODD))]
     assert len(known) < 20

@@ -10,21 +10,20 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
 from .common import materialise
 from .textkit import slices, utf8
 
-#: Bounds on the chunks between white space that a task remembers with their ids; beyond them it begins anew.
+#: Bounds on the chunks between white space that a worker remembers with their ids, and on the pieces of chunks; beyond
+#: them the half of the chunks that served most stays.
 CACHE_CHUNKS = 1 << 20
 CACHE_BYTES = 64 << 20
+CACHE_PIECES = 1 << 18
 
 
 class ChunkIds(dict):
@@ -43,14 +42,23 @@ class ChunkIds(dict):
         if [*self._whole(["a b c"])[0]] != [i for ids in self._whole(["a", "b", "c"]) for i in ids]:
             raise ValueError(f"{path} keeps white space")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
         self.new: list[bytes] = []
         self.pieces: dict[str, list[int]] = {}
         self.bytes = 0
-        self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.begin, self.uses = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep at most half of the chunks, and half of the bytes: those of two or more uses, the most used first."""
+        chunks, order = [*self], np.argsort(-self.uses, kind="stable")[: len(self) // 2]
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))[order]
+        order = order[(self.uses[order] > 1) & (np.cumsum(size) <= CACHE_BYTES // 2)]
+        self.clear()
+        self.update(zip((chunks[i] for i in order.tolist()), itertools.count()))
+        self.bytes = sum(map(len, self))
+        size = np.diff(self.begin)[order]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.begin[order] - (ends - size), size) + np.arange(int(size.sum()))]
+        self.begin, self.uses = np.concatenate([[0], ends]), np.zeros(len(order), np.int64)
 
     def __missing__(self, chunk: bytes) -> int:
         self.new.append(chunk)
@@ -70,6 +78,8 @@ class ChunkIds(dict):
         normal, model = self.tokenizer.normalizer, self.tokenizer.model
         text = normal.normalize_str(text) if normal else text
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces = {}
         for piece, _ in cut:
             if piece not in self.pieces:
                 self.pieces[piece] = [t.id for t in model.tokenize(piece)]
@@ -81,7 +91,7 @@ class ChunkIds(dict):
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end_id after each, and how many each text has."""
-        if max(len(self), len(self.pieces)) > CACHE_CHUNKS or self.bytes > CACHE_BYTES:
+        if len(self) > CACHE_CHUNKS or self.bytes > CACHE_BYTES:
             self.forget()
         words = [t.split() for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
@@ -90,7 +100,9 @@ class ChunkIds(dict):
             ids, size = self._tokenize(self.new)
             self.flat, self.begin = np.concatenate([self.flat, ids]), np.concatenate([self.begin, np.cumsum(size) + self.begin[-1]])
             self.bytes += sum(map(len, self.new))
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.new), np.int64)])
             self.new = []
+        self.uses += np.bincount(at, minlength=len(self))
         size = self.begin[at + 1] - self.begin[at]
         before = np.cumsum(size) - size
         ids = self.flat[np.repeat(self.begin[at] - before, size) + np.arange(int(size.sum()))]
@@ -115,8 +127,8 @@ def binary_lengths(tokens: int, longest: int) -> list[int]:
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, bucket, ids, part, nth): the pieces of every document, each within one task; nth
-    counts the pieces of a bucket within its part of the input."""
+    """(doc_id, start, length, doc_tokens, bucket, ids, ids_crc32, part, nth): the pieces of every document, each within one
+    task; nth counts the pieces of a bucket within its part of the input."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 
@@ -141,23 +153,26 @@ def cut_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
                     mine = np.flatnonzero(bucket == b)
                     nth[mine] = count[b] + np.arange(len(mine))
                     count[b] += len(mine)
+                octets, ends4 = memoryview(ids.astype("<u4").tobytes()), (4 * ends).tolist()
+                checks = [zlib.crc32(octets[a:b]) for a, b in zip([0, *ends4[:-1]], ends4, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, end - row).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(tokens[doc]),
-                        pa.array(bucket, pa.int32()), lists, pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth),
+                        pa.array(bucket, pa.int32()), lists, pa.array(checks, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(nth),
                     ],
-                    names=["doc_id", "start", "length", "doc_tokens", "bucket", "ids", "part", "nth"],
+                    names=["doc_id", "start", "length", "doc_tokens", "bucket", "ids", "ids_crc32", "part", "nth"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, doc_tokens long, bucket int, ids array<int>, part int, nth long"
+    schema = f"doc_id {kind}, start long, length long, doc_tokens long, bucket int, ids array<int>, ids_crc32 long, part int, nth long"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, bucket, ids, sequence_id, offset): one row for each piece, which is a sequence
-    whole; offset is 0 and nothing is padded. bucket is log2 of the length, sequences are numbered bucket by bucket.
+    """(doc_id, start, length, doc_tokens, bucket, ids, ids_crc32, sequence_id, offset): one row for each piece, which is a
+    sequence whole; offset is 0 and nothing is padded. bucket is log2 of the length, sequences are numbered bucket by
+    bucket, and the checksum is that of the ids as unsigned 32-bit numbers, little end first.
 
     A null or empty text is end_id alone, a text of any length is cut whole, rows of one id or of none are documents of
     their own, an empty table gives no rows; other columns are not looked at. Texts are tokenized once and never
@@ -169,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
     first = F.sum("n").over(W.orderBy("bucket", "part").rowsBetween(W.unboundedPreceding, -1))
     first = materialise(counts.select("bucket", "part", F.coalesce(first, F.lit(0)).alias("first")))
     numbered = pieces.join(first, ["bucket", "part"])
-    return numbered.select("doc_id", "start", "length", "doc_tokens", "bucket", "ids", (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return numbered.select("doc_id", "start", "length", "doc_tokens", "bucket", "ids", "ids_crc32", (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
@@ -177,12 +192,6 @@ def write_buckets(packed: DataFrame, path: str) -> None:
     packed.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-@pandas_udf(LongType())
-def _crc32(ids: pd.Series) -> pd.Series:
-    return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
-
-
 def packing_digest(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1) -> DataFrame:
-    """pack_documents() with a checksum of each piece's ids in their place."""
-    packed = pack_documents(docs, tokenizer, longest, end_id)
-    return packed.select("doc_id", "start", "length", _crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+    """pack_documents() without the ids themselves."""
+    return pack_documents(docs, tokenizer, longest, end_id).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
