@@ -1,5 +1,6 @@
 import numpy as np
 
+from tracewell.operators import arrays as ar
 from tracewell.operators import features as fe
 from tracewell.operators import profile as pr
 from tracewell.operators import selection as sel
@@ -8,7 +9,11 @@ from tracewell.operators import windows as wi
 
 
 def _long(spark, x):
-    return wi.samples(spark.createDataFrame([(0, c, [float(v) for v in row]) for c, row in enumerate(x)], "base int, ch int, xs array<double>"))
+    return wi.samples(_arrays(spark, x))
+
+
+def _arrays(spark, x):
+    return spark.createDataFrame([(0, c, [None if v is None else float(v) for v in row]) for c, row in enumerate(x)], "base int, ch int, xs array<double>")
 
 
 def test_framing_counts_and_labels(spark):
@@ -30,7 +35,7 @@ def test_overlap_label_cases(spark):
 
 def test_channel_features_equal_numpy(spark):
     x = np.random.default_rng(1).normal(size=(3, 70))
-    got = {(r.ch, r.k): r for r in fe.channel_features(wi.framed(_long(spark, x), 16, 8)).collect()}
+    got = {(r.ch, r.k): r for r in fe.channel_features(ar.window_sums(_arrays(spark, x), 16, 8)).collect()}
     assert len(got) == 3 * 7
     for (c, k), r in got.items():
         w = x[c, k * 8 : k * 8 + 16]
@@ -46,17 +51,84 @@ def test_step_larger_than_window_leaves_gaps(spark):
     assert sorted((r.k, r["count"]) for r in got) == [(0, 2), (1, 2), (2, 2)]
 
 
-def test_relational_spectrum_equals_fft(spark):
-    x = np.random.default_rng(2).normal(size=(2, 64))
-    rel = {(r.ch, r.bin): r.p for r in fe.welch(_long(spark, x), 16.0, 32).collect()}
-    arr = spark.createDataFrame([(0, c, row.tolist()) for c, row in enumerate(x)], "base int, ch int, xs array<double>")
-    for r in fe.welch_arrays(arr, 16.0, 32).collect():
-        assert np.allclose([rel[r.ch, b] for b in range(17)], r.p)
-        assert np.allclose(r.freqs, np.arange(17) * 0.5)
-    area = {r.ch: r.power for r in fe.band_power(fe.welch(_long(spark, x), 16.0, 32), {"b": (1, 4)}).collect()}
-    for c in (0, 1):
-        p = np.array([rel[c, b] for b in range(2, 9)])
-        assert np.isclose(area[c], ((p[1:] + p[:-1]) / 2 * 0.5).sum())
+def plain_welch(x, sfreq, n):
+    """The rules of Welch's method, one segment after the other."""
+    n = min(n, len(x))
+    win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    q = []
+    for s in range(0, len(x) - n + 1, max(1, n - n // 2)):
+        seg = x[s : s + n]
+        q.append(np.abs(np.fft.rfft((seg - seg.mean()) * win)) ** 2 / (sfreq * (win**2).sum()))
+    p = np.mean(q, axis=0)
+    p[1 : -1 if n % 2 == 0 else None] *= 2
+    return p
+
+
+def test_spectrum_power_and_entropy_equal_plain_forms(spark):
+    x = np.random.default_rng(2).normal(size=(2, 77))
+    arr = _arrays(spark, x)
+    bands = {"b": (1, 4), "none": (0.1, 0.2), "point": (2, 2)}
+    for r in ar.channel_spectra(arr, 16.0, 32, bands).collect():
+        p = plain_welch(x[r.ch], 16.0, 32)
+        assert np.allclose(p, r.p) and np.allclose(r.freqs, np.arange(17) * 0.5)
+        share = p / p.sum()
+        assert np.isclose(r.entropy, -(share * np.log(share)).sum())
+        assert np.isclose(r.powers[0], ((p[3:9] + p[2:8]) / 2 * 0.5).sum()) and r.powers[1] is None and r.powers[2] == 0
+    assert {(r.ch, r.band) for r in fe.band_power(arr, 16.0, 32, bands).collect()} == {(c, b) for c in (0, 1) for b in ("b", "point")}
+    assert fe.spectral_entropy(arr, 16.0, 32).count() == 2
+
+
+def test_channels_in_chunks_equal_whole_ones(spark):
+    """Cut in 7 chunks at uneven places, shorter and longer than a segment, in blocks of several sizes; one short channel."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=500)
+    ends = [0, 3, 60, 61, 200, 333, 480, 500]
+    rows = [("r", 0, a, x[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)] + [("r", 1, 0, x[:9].tolist()), ("r", 1, 9, x[9:20].tolist()), ("r", 2, 0, [])]
+    chunks = spark.createDataFrame(rows, "base string, ch int, i0 long, xs array<double>").repartition(3)
+    whole = spark.createDataFrame([("r", 0, x.tolist()), ("r", 1, x[:20].tolist())], "base string, ch int, xs array<double>")
+    for n, size in ((32, 1), (31, 64), (50, 100), (32, 1 << 20)):
+        got = {r.ch: r for r in ar.chunk_spectra(chunks, 16.0, n, {"b": (1, 4)}, size=size).collect()}
+        assert set(got) == {0, 1}
+        for c, v in ((0, x), (1, x[:20])):
+            assert np.allclose(got[c].p, plain_welch(v, 16.0, n)), (n, size, c)
+    for w, step, size in ((16, 8, 24), (20, 7, 1), (10, 25, 100), (500, 1, 50)):
+        key = lambda r: (r.ch, r.k)
+        a = sorted(ar.chunk_window_sums(chunks, w, step, size=size).collect(), key=key)
+        b = sorted(ar.window_sums(whole, w, step).collect(), key=key)
+        assert [key(r) for r in a] == [key(r) for r in b] and len(a) >= 1
+        assert all(np.allclose(r[3:], q[3:]) for r, q in zip(a, b, strict=True))
+
+
+def test_window_sums_equal_sample_sums(spark):
+    """Windows whose length the step does not divide, unknown samples, arrays that are empty or null."""
+    rng = np.random.default_rng(6)
+    x = [[None if rng.random() < 0.1 else float(v) + 1e3 for v in rng.normal(size=n)] for n in (90, 41, 5, 0)]
+    arr = _arrays(spark, x).unionByName(spark.createDataFrame([(0, 9, None)], "base int, ch int, xs array<double>"))
+    for w, step in ((16, 8), (10, 4), (7, 3), (1, 1), (2, 5), (5, 5), (40, 1)):
+        key = lambda r: (r.ch, r.k)
+        a = sorted(ar.window_sums(arr, w, step).collect(), key=key)
+        b = sorted(fe.sample_sums(wi.framed(wi.samples(arr), w, step)).collect(), key=key)
+        assert [key(r) for r in a] == [key(r) for r in b]
+        for r, q in zip(a, b, strict=True):
+            for m, n in zip(r[3:], q[3:], strict=True):
+                assert (m is None) == (n is None) and (m is None or np.isclose(m, n, rtol=1e-7)), (w, step, r, q)
+    plan = fe.channel_features(ar.window_sums(arr, 16, 8))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_excerpt_starts_at_the_onset(spark):
+    long = wi.samples(spark.createDataFrame([(b, 0, [float(i) for i in range(100)]) for b in range(6)], "base int, ch int, xs array<double>"))
+    onsets = spark.createDataFrame([(0, None), (1, 9.5), (2, 3.0), (3, -2.0), (4, 50.0)], "base int, onset_s double")
+    got = {b: sorted(r.x for r in wi.excerpt(long, 10.0, 1.0, onsets).where(f"base = {b}").collect()) for b in range(6)}
+    first = [float(i) for i in range(11)]
+    assert got == {0: first, 1: [95.0, 96.0, 97.0, 98.0, 99.0], 2: [float(i) for i in range(30, 41)], 3: first, 4: [], 5: first}
+    assert sorted(r.x for r in wi.excerpt(long, 10.0, 1.0).where("base = 0").collect()) == [float(i) for i in range(45, 55)]
+
+
+def test_duplicates_of_null_keys(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, None, "b"), (None, 2, "c"), (None, None, "d"), (2, 2, "e"), (None, None, "f")], "x int, y int, _times string")
+    got = {r[2]: r.is_duplicate for r in pr.duplicate_rows(df, ["x", "y"]).collect()}
+    assert got == {"a": True, "b": True, "c": False, "d": True, "e": False, "f": True}
 
 
 def test_robust_z(spark):
@@ -122,7 +194,7 @@ def test_diverse_selection_caps_subjects(spark):
 def test_empty_inputs(spark):
     e = spark.createDataFrame([], "base int, ch int, xs array<double>")
     assert wi.framed(wi.samples(e), 4, 2).count() == 0
-    assert fe.welch(wi.samples(e), 16.0, 32).count() == 0
+    assert ar.window_sums(e, 4, 2).count() == 0 and fe.spectra(e, 16.0, 32).count() == 0 and fe.heavy_summary(e, 16.0, 32).count() == 0
     s = spark.createDataFrame([], "ts timestamp_ntz")
     assert tl.resample(s, "day").count() == 0 and tl.by_hour(s).count() == 24
 
@@ -156,7 +228,7 @@ def test_run_level_summary_has_all_columns(spark):
     arrays = spark.createDataFrame([("a", c, rng.normal(size=400).tolist()) for c in range(2)] + [("b", 0, rng.normal(size=400).tolist())], "base string, ch int, xs array<double>")
     runs = spark.createDataFrame([("a", "s1", "ecog", "01", 400.0, 5, 1.0), ("b", "s2", "seeg", "02", 400.0, 3, 1.0)], "base string, subject string, acq string, run string, sfreq double, n_total_channels int, duration_s double")
     pairs = spark.createDataFrame([("a", 0.2, 0.6), ("b", 0.1, None)], "base string, onset_s double, offset_s double")
-    heavy = fe.heavy_summary(wi.samples(arrays), fe.spectra(arrays, 400.0, 200), fe.BANDS)
+    heavy = fe.heavy_summary(arrays, 400.0, 200, fe.BANDS)
     got = {r.base: r for r in fe.signal_summary(runs, heavy, wi.crop_bounds(runs, pairs), pairs).collect()}
     assert len(got["a"]) == 10 + 3 + 6 + 3 + 1 and (got["a"].has_onset_offset, got["b"].has_onset_offset) == (True, False)
     assert got["a"].n_picks == 2 and got["a"].segment_tmin == 0.0 and got["a"].segment_tmax == 1.0

@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .windows import first_channel, framed, label_windows
+from .arrays import EPS, array_windows, channel_spectra, window_sums
+from .windows import first_channel, label_windows
 
-EPS = 1e-12
 #: The frequency bands in Hz.
 BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 80), "high_gamma": (80, 150)}
+#: The bands of the window table.
+WINDOW_BANDS = {"1_4": (1, 4), "4_8": (4, 8), "8_13": (8, 13), "13_30": (13, 30), "30_80": (30, 80)}
+
+
+def sample_sums(f: DataFrame) -> DataFrame:
+    """arrays.window_sums() of framed samples (base, ch, k, x, d1, d2), for signals that are not held as arrays."""
+    var = lambda c: F.coalesce(F.var_pop(c), F.lit(0.0))
+    return f.groupBy("base", "ch", "k").agg(
+        F.count("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(F.abs("d1")).alias("steps"), F.count("d1").alias("n_steps"),
+        var("x").alias("v0"), var("d1").alias("v1"), var("d2").alias("v2"),
+    )
 
 
-def pooled_features(f: DataFrame) -> DataFrame:
+def _pooled(*more) -> list:
+    return [F.sqrt(F.sum("s2") / F.nullif(F.sum("n"), F.lit(0))).alias("rms"), (F.max("hi") - F.min("lo")).alias("ptp"), *more]
+
+
+def pooled_features(sums: DataFrame) -> DataFrame:
     """(base, k, rms, ptp, line_length): over all channels of a window; line length as the mean of steps."""
-    return f.groupBy("base", "k").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), (F.max("x") - F.min("x")).alias("ptp"), F.avg(F.abs("d1")).alias("line_length"))
+    return sums.groupBy("base", "k").agg(*_pooled((F.sum("steps") / F.nullif(F.sum("n_steps"), F.lit(0))).alias("line_length")))
+
+
+def simple_features(sums: DataFrame) -> DataFrame:
+    """(base, k, rms, ptp, line_length): rms and ptp pooled, line length summed per channel and averaged."""
+    return sums.groupBy("base", "k").agg(*_pooled(F.avg(F.coalesce("steps", F.lit(0.0))).alias("line_length")))
 
 
-def channel_features(f: DataFrame) -> DataFrame:
+def channel_features(sums: DataFrame) -> DataFrame:
     """(base, ch, k, rms, ptp, line_length, activity, mobility, complexity); line length as the sum of steps."""
-    v0, v1, v2 = (F.coalesce(F.var_pop(c), F.lit(0.0)) + F.lit(EPS) for c in ("x", "d1", "d2"))
+    v0, v1, v2 = (F.col(c) + F.lit(EPS) for c in ("v0", "v1", "v2"))
     mob = F.sqrt(v1 / v0)
-    return f.groupBy("base", "ch", "k").agg(
-        F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), (F.max("x") - F.min("x")).alias("ptp"), F.coalesce(F.sum(F.abs("d1")), F.lit(0.0)).alias("line_length"),
+    return sums.select(
+        "base", "ch", "k", F.sqrt(F.col("s2") / F.nullif(F.col("n"), F.lit(0))).alias("rms"), (F.col("hi") - F.col("lo")).alias("ptp"), F.coalesce("steps", F.lit(0.0)).alias("line_length"),
         v0.alias("activity"), mob.alias("mobility"), (F.sqrt(v2 / v1) / (mob + F.lit(EPS))).alias("complexity"),
     )
 
@@ -37,85 +52,42 @@ def mean_over_channels(c: DataFrame) -> DataFrame:
     return c.groupBy("base", "k").agg(*(F.avg(x).alias(x) for x in names))
 
 
-def simple_features(f: DataFrame) -> DataFrame:
-    """(base, k, rms, ptp, line_length): rms and ptp pooled, line length summed per channel and averaged."""
-    lengths = f.groupBy("base", "ch", "k").agg(F.coalesce(F.sum(F.abs("d1")), F.lit(0.0)).alias("l")).groupBy("base", "k").agg(F.avg("l").alias("line_length"))
-    return pooled_features(f).drop("line_length").join(lengths, ["base", "k"])
-
-
-def welch(long: DataFrame, sfreq: float, nperseg: int) -> DataFrame:
-    """spectra() of samples (base, ch, i, x): a channel's samples are put in order as one array first."""
-    arrays = long.groupBy("base", "ch").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("xs"))
-    return spectra(arrays, sfreq, nperseg)
-
-
 def spectra(arrays: DataFrame, sfreq: float, nperseg: int, values: str = "xs") -> DataFrame:
     """(base, ch, bin, f, p): one-sided power density by Welch's method, half-overlapping Hann segments without their
     mean, from rows (base, ch, values array)."""
-    p = welch_arrays(arrays, sfreq, nperseg, values)
+    p = channel_spectra(arrays, sfreq, nperseg, {}, values)
     return p.select("base", "ch", F.posexplode(F.arrays_zip("freqs", "p")).alias("bin", "b")).select("base", "ch", "bin", F.col("b.freqs").alias("f"), F.col("b.p").alias("p"))
 
 
-def welch_arrays(arrays: DataFrame, sfreq: float, nperseg: int, values: str = "xs") -> DataFrame:
-    """One row (base, ch, freqs, p) for each (base, ch, values array), by FFT on Arrow batches. A channel of fewer than
-    nperseg samples is one segment of all it has; an empty one has an empty spectrum. Rows are not moved."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for xs in pdf[values]:
-                x = np.asarray(xs, float)
-                n = min(nperseg, len(x))
-                if not n:
-                    out.append(([], []))
-                    continue
-                win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-                step = max(1, n - n // 2)
-                segs = np.lib.stride_tricks.sliding_window_view(x, n)[::step]
-                q = np.abs(np.fft.rfft((segs - segs.mean(axis=1, keepdims=True)) * win, axis=1)) ** 2 / (sfreq * (win**2).sum())
-                q[:, 1 : -1 if n % 2 == 0 else None] *= 2
-                out.append((np.fft.rfftfreq(n, 1 / sfreq).tolist(), q.mean(axis=0).tolist()))
-            yield pd.DataFrame({"base": pdf["base"], "ch": pdf["ch"], "freqs": [o[0] for o in out], "p": [o[1] for o in out]})
-
-    types = dict(arrays.dtypes)
-    return arrays.select("base", "ch", values).mapInPandas(run, f"base {types['base']}, ch {types['ch']}, freqs array<double>, p array<double>")
-
-
-def band_power(psd: DataFrame, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
-    """(base, ch, band, power): trapezoid over the frequencies inside each band, both ends in; null without any."""
-    order = W.partitionBy("base", "ch", "band").orderBy("f")
-    names = F.array(*(F.struct(F.lit(n).alias("band"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for n, (a, b) in bands.items()))
-    inside = psd.withColumn("b", F.explode(names)).select("base", "ch", "f", "p", "b.*").where("f >= lo and f <= hi")
-    area = inside.withColumn("area", (F.col("p") + F.lead("p").over(order)) / 2 * (F.lead("f").over(order) - F.col("f")))
-    return area.groupBy("base", "ch", "band").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("power"))
-
-
-def spectral_entropy(psd: DataFrame) -> DataFrame:
-    """(base, ch, entropy) of the normalised spectrum, in nats."""
-    share = F.col("p") / (F.sum("p").over(W.partitionBy("base", "ch")) + F.lit(EPS))
-    s = psd.withColumn("s", share)
-    return s.groupBy("base", "ch").agg((-F.sum(F.col("s") * F.log(F.col("s") + F.lit(EPS)))).alias("entropy"))
-
-
-def heavy_summary(long: DataFrame, psd: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:
-    """Per run: mean rms, ptp, spectral entropy, Hjorth values and a mean power for each band."""
-    order = W.partitionBy("base", "ch").orderBy("i")
-    d = long.withColumn("d1", F.col("x") - F.lag("x").over(order)).withColumn("d2", F.col("d1") - F.lag("d1").over(order))
-    c = channel_features(d.withColumn("k", F.lit(0)))
+def band_power(arrays: DataFrame, sfreq: float, nperseg: int, bands: dict[str, tuple[float, float]] = BANDS, values: str = "xs") -> DataFrame:
+    """(base, ch, band, power): trapezoid over the frequencies inside each band, both ends in; no row for a band without
+    any. Made where the spectrum is made; nothing is moved."""
+    p = channel_spectra(arrays, sfreq, nperseg, bands, values)
+    names = F.array(*map(F.lit, bands))
+    return p.select("base", "ch", F.inline(F.arrays_zip(names.alias("band"), F.col("powers").alias("power")))).toDF("base", "ch", "band", "power").where("power is not null")
+
+
+def spectral_entropy(arrays: DataFrame, sfreq: float, nperseg: int, values: str = "xs") -> DataFrame:
+    """(base, ch, entropy) of the normalised spectrum, in nats; none for a channel without samples."""
+    return channel_spectra(arrays, sfreq, nperseg, {}, values).where("entropy is not null").select("base", "ch", "entropy")
+
+
+def heavy_summary(arrays: DataFrame, sfreq: float, nperseg: int, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
+    """Per run: mean rms, ptp, spectral entropy, Hjorth values and a mean power for each band. Two passes over the arrays,
+    of which only a row for each channel is moved."""
+    c = channel_features(window_sums(arrays, None, 1))
     a = c.groupBy("base").agg(F.count("*").alias("n_picks"), *(F.avg(x).alias(f"{x}_mean") for x in ("rms", "ptp", "activity", "mobility", "complexity")))
-    e = spectral_entropy(psd).groupBy("base").agg(F.avg("entropy").alias("spectral_entropy_mean"))
-    b = band_power(psd, bands).groupBy("base").pivot("band", sorted(bands)).agg(F.avg("power"))
-    return a.join(e, "base", "left").join(b.select("base", *(F.col(n).alias(f"bp_mean_{n}") for n in sorted(bands))), "base", "left")
+    p = channel_spectra(arrays, sfreq, nperseg, bands).groupBy("base")
+    s = p.agg(F.avg("entropy").alias("spectral_entropy_mean"), *(F.avg(F.get("powers", F.lit(i))).alias(f"bp_mean_{n}") for i, n in enumerate(bands)))
+    return a.join(s.select("base", "spectral_entropy_mean", *(f"bp_mean_{n}" for n in sorted(bands))), "base", "left")
 
 
-def window_table(long: DataFrame, w: int, step: int, sfreq: float, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
+def window_table(arrays: DataFrame, w: int, step: int, sfreq: float, bands: dict[str, tuple[float, float]] = WINDOW_BANDS) -> DataFrame:
     """(base, k, mean channel features, spectral_entropy, bp_<band>): spectra are those of the first channel's windows."""
-    f = framed(long, w, step)
-    one = first_channel(f).select("base", F.col("k").alias("ch"), "i", "x")
-    psd = welch(one, sfreq, min(w, int(2 * sfreq)))
-    power = band_power(psd, bands).groupBy("base", "ch").pivot("band", sorted(bands)).agg(F.first("power"))
-    spectral = spectral_entropy(psd).join(power, ["base", "ch"], "left").select("base", F.col("ch").alias("k"), F.col("entropy").alias("spectral_entropy"), *(F.col(n).alias(f"bp_{n}") for n in sorted(bands)))
-    return mean_over_channels(channel_features(f)).join(spectral, ["base", "k"], "left")
+    one = array_windows(first_channel(arrays), w, step)
+    p = channel_spectra(one, sfreq, min(w, int(2 * sfreq)), bands, keys=("base", "k"))
+    spectral = p.select("base", "k", F.col("entropy").alias("spectral_entropy"), *(F.get("powers", F.lit(i)).alias(f"bp_{n}") for i, n in enumerate(bands)))
+    return mean_over_channels(channel_features(window_sums(arrays, w, step))).join(spectral, ["base", "k"], "left")
 
 
 def with_robust_z(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:

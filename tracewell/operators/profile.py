@@ -42,8 +42,12 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with is_duplicate, true for all rows of a key that occurs more than once; nulls equal each other."""
-    return df.withColumn("is_duplicate", F.count("*").over(W.partitionBy(*keys)) > 1)
+    """df with is_duplicate, true for all rows of a key that occurs more than once; nulls equal each other. Keys are
+    counted with partial sums and only repeated ones come back, so that no task holds the rows of a hot key."""
+    names = [f"_key_{i}" for i in range(len(keys))]
+    again = df.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.count("*").alias("_key_times")).where("_key_times > 1")
+    same = [df[k].eqNullSafe(again[n]) for k, n in zip(keys, names, strict=True)]
+    return df.join(again, same, "left").select(*(df[c] for c in df.columns), again["_key_times"].isNotNull().alias("is_duplicate"))
 
 
 def summary_with_percentiles(df: DataFrame, cols: list[str], shares: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:

@@ -68,9 +68,9 @@ def framed(long: DataFrame, w: int, step: int) -> DataFrame:
     return s.select("base", "ch", "k", "i", "x", F.when(inside >= 1, F.col("d1")).alias("d1"), F.when(inside >= 2, F.col("d2")).alias("d2"))
 
 
-def first_channel(long: DataFrame) -> DataFrame:
-    """The samples of each run's first channel."""
-    return long.withColumn("c0", F.min("ch").over(W.partitionBy("base"))).where("ch = c0").drop("c0")
+def first_channel(rows: DataFrame) -> DataFrame:
+    """The rows (samples or arrays) of each run's first channel, found by an aggregate, so that no task holds a run."""
+    return rows.join(rows.groupBy("base").agg(F.min("ch").alias("ch")), ["base", "ch"], "left_semi")
 
 
 def first_channels(channels: DataFrame, n: int = 16) -> DataFrame:
@@ -86,13 +86,18 @@ def crop_samples(long: DataFrame, bounds: DataFrame, sfreq: float) -> DataFrame:
 
 
 def excerpt(long: DataFrame, sfreq: float, seconds: float = 10.0, onsets: DataFrame | None = None) -> DataFrame:
-    """So many seconds from the middle of each run, or from its onset where onsets (base, onset_s) has one; counted anew
-    from 0. A shorter run is taken whole."""
+    """So many seconds of each run, counted anew from 0: from its middle; or, where onsets (base, onset_s) is given, from
+    its onset on, both ends in, from the run's start where it has none (or one below 0). What lies beyond the end of the
+    run is cut off; an onset beyond it leaves nothing."""
     size = int(seconds * sfreq)
-    ends = long.groupBy("base").agg((F.max("i") + 1).alias("n"))
-    begin = F.greatest(F.floor((F.col("n") - size) / 2), F.lit(0))
-    if onsets is not None:
-        ends = ends.join(onsets.select("base", "onset_s"), "base", "left")
-        begin = F.coalesce(F.greatest(F.least(F.floor(F.col("onset_s") * sfreq), F.col("n") - size), F.lit(0)), begin)
-    j = long.join(ends.select("base", begin.alias("begin")), "base").where((F.col("i") >= F.col("begin")) & (F.col("i") < F.col("begin") + size))
+    if onsets is None:
+        ends = long.groupBy("base").agg((F.max("i") + 1).alias("n"))
+        first = ends.select("base", F.greatest(F.floor((F.col("n") - size) / 2), F.lit(0)).alias("begin"), F.lit(size - 1).alias("more"))
+    else:
+        at = F.when(F.col("onset_s").isNotNull() & ~F.isnan("onset_s"), F.greatest(F.col("onset_s"), F.lit(0.0))).otherwise(F.lit(0.0))
+        first = onsets.groupBy("base").agg(F.min("onset_s").alias("onset_s")).select("base", F.ceil(at * sfreq).alias("begin"), (F.floor((at + seconds) * sfreq) - F.ceil(at * sfreq)).alias("more"))
+        rest = F.coalesce("begin", F.lit(0)), F.coalesce("more", F.lit(size))
+        j = long.join(first, "base", "left").select("base", "ch", "i", "x", rest[0].alias("begin"), rest[1].alias("more"))
+        return j.where("i >= begin and i <= begin + more").select("base", "ch", (F.col("i") - F.col("begin")).alias("i"), "x")
+    j = long.join(first, "base").where("i >= begin and i <= begin + more")
     return j.select("base", "ch", (F.col("i") - F.col("begin")).alias("i"), "x")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import base_name, finite, json_first_number, seconds, to_number
+from ..operators import arrays as ar
 from ..operators import features as fe
 from ..operators import inventory as inv
 from ..operators import markers as mk
@@ -117,7 +118,7 @@ def long(spark, d) -> DataFrame:
 
 
 def framed(spark, d) -> DataFrame:
-    return wi.framed(long(spark, d), W, STEP)
+    return ar.window_sums(signal(spark, d), W, STEP)
 
 
 LONG_SQL = "long AS (SELECT label AS base, vec_id AS ch, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
@@ -546,7 +547,7 @@ wm AS (SELECT base, k, {', '.join(f'avg({n}) AS {n}' for n in 'rms ptp line_leng
 
 @query(f"WITH {WT_SQL} SELECT base, k, {_r('rms ptp line_length activity mobility complexity spectral_entropy')}, round(lo.power, 9) AS bp_low, round(hi.power, 9) AS bp_high FROM wm JOIN we USING (base, k) JOIN (SELECT * FROM wb WHERE b = 'low') lo USING (base, k) JOIN (SELECT * FROM wb WHERE b = 'high') hi USING (base, k)")
 def window_features_table(spark, d):
-    out = fe.window_table(long(spark, d), W, STEP, FS, SMALL_BANDS)
+    out = fe.window_table(signal(spark, d), W, STEP, FS, SMALL_BANDS)
     return out.select("base", "k", *r6("rms", "ptp", "line_length", "activity", "mobility", "complexity", "spectral_entropy"), *(F.round(c, 9).alias(c) for c in ("bp_low", "bp_high")))
 
 
@@ -574,7 +575,7 @@ def window_features_simple_labelled(spark, d):
 
 
 def _table(spark, d):
-    f = fe.window_table(long(spark, d), W, STEP, FS, SMALL_BANDS)
+    f = fe.window_table(signal(spark, d), W, STEP, FS, SMALL_BANDS)
     return fe.labelled_windows(f, W, STEP, FS, _intervals(spark, d), _meta(spark, d))
 
 
@@ -594,6 +595,16 @@ def excerpt_rms(spark, d):
     return e.groupBy("base", "ch").agg(F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 6).alias("rms"), F.min("i").alias("first_i"), F.max("i").alias("last_i"))
 
 
+@query(f"WITH {LONG_SQL}, o AS (SELECT label AS base, CASE WHEN label % 5 = 1 THEN NULL WHEN label % 5 = 2 THEN -1.0 WHEN label % 5 = 3 THEN 3.5 ELSE 0.77 * (label % 4) END AS onset_s FROM embeddings WHERE label % 5 <> 0 GROUP BY ALL), b AS (SELECT base, ceil(t0 * {FS})::BIGINT AS a, floor((t0 + 1) * {FS})::BIGINT AS z FROM (SELECT DISTINCT base, greatest(coalesce(onset_s, 0), 0) AS t0 FROM long LEFT JOIN o USING (base))) SELECT base, ch, round(sqrt(avg(x * x)), 6) AS rms, min(i - a) AS first_i, max(i - a) AS last_i FROM long JOIN b USING (base) WHERE i >= a AND i <= z GROUP BY ALL")
+def excerpt_from_onset(spark, d):
+    """Runs without onset or without a row, with an onset before their start, near their end, or inside."""
+    k = F.col("base") % 5
+    at = F.when(k == 1, F.lit(None).cast("double")).when(k == 2, -1.0).when(k == 3, 3.5).otherwise(F.lit(0.77) * (F.col("base") % 4))
+    onsets = signal(spark, d).select("base").distinct().where(k != 0).select("base", at.alias("onset_s"))
+    e = wi.excerpt(long(spark, d), FS, 1.0, onsets)
+    return e.groupBy("base", "ch").agg(F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 6).alias("rms"), F.min("i").alias("first_i"), F.max("i").alias("last_i"))
+
+
 @query(f"WITH {LONG_SQL}, b AS (SELECT label AS base, 0.25 * (label % 4) AS t_min, 2.0 + 0.25 * (label % 4) AS t_max FROM embeddings GROUP BY ALL), c AS (SELECT base, ch, i - ceil(t_min * {FS})::BIGINT AS i, x FROM long JOIN b USING (base) WHERE i >= ceil(t_min * {FS}) AND i <= t_max * {FS}) SELECT base, count(*) AS n, min(i) AS first_i, max(i) AS last_i, round(sum(x), 6) + 0.0 AS total FROM c GROUP BY 1")
 def crop_samples(spark, d):
     lo = F.lit(0.25) * (F.col("base") % 4)
@@ -634,23 +645,80 @@ def psd(spark, d):
     return fe.spectra(signal(spark, d), FS, NPERSEG).withColumn("p", F.round("p", 9))
 
 
+def _chunks(spark, d) -> DataFrame:
+    """Every channel cut in seven chunks of ten samples."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.slice("xs", k * 10 + 1, 10))
+    return signal(spark, d).select("base", "ch", F.posexplode(cut).alias("k", "xs")).select("base", "ch", (F.col("k") * 10).alias("i0"), "xs")
+
+
+@query(f"WITH {PSD_SQL} SELECT base, ch, bin, f, round(p, 9) AS p FROM psd")
+def psd_of_chunks(spark, d):
+    p = ar.chunk_spectra(_chunks(spark, d), FS, NPERSEG, {}, size=32)
+    return p.select("base", "ch", F.posexplode("p").alias("bin", "p"), "freqs").select("base", "ch", "bin", F.get("freqs", F.col("bin")).alias("f"), F.round("p", 9).alias("p"))
+
+
+@query(f"WITH {FRAMED_SQL} SELECT base, ch, k, {_r('rms ptp line_length activity mobility complexity')} FROM chan")
+def window_features_of_chunks(spark, d):
+    c = fe.channel_features(ar.chunk_window_sums(_chunks(spark, d), W, STEP, size=24))
+    return c.select("base", "ch", "k", *r6("rms", "ptp", "line_length", "activity", "mobility", "complexity"))
+
+
 @query(f"WITH {PSD_SQL} SELECT base, ch, band, round(power, 9) AS power FROM band")
 def bandpower(spark, d):
-    return fe.band_power(fe.spectra(signal(spark, d), FS, NPERSEG), SMALL_BANDS).withColumn("power", F.round("power", 9))
+    return fe.band_power(signal(spark, d), FS, NPERSEG, SMALL_BANDS).withColumn("power", F.round("power", 9))
 
 
 @query(f"WITH {PSD_SQL} SELECT base, ch, round(entropy, 6) AS entropy FROM ent")
 def spectral_entropy(spark, d):
-    return fe.spectral_entropy(fe.spectra(signal(spark, d), FS, NPERSEG)).withColumn("entropy", F.round("entropy", 6))
+    return fe.spectral_entropy(signal(spark, d), FS, NPERSEG).withColumn("entropy", F.round("entropy", 6))
 
 
 @query(f"WITH {PSD_SQL}, hd AS (SELECT *, x - lag(x) OVER (PARTITION BY base, ch ORDER BY i) AS d1 FROM long), hd2 AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY base, ch ORDER BY i) AS d2 FROM hd), hc AS (SELECT base, ch, sqrt(avg(x * x)) AS rms, max(x) - min(x) AS ptp, var_pop(x) + 1e-12 AS v0, var_pop(d1) + 1e-12 AS v1, var_pop(d2) + 1e-12 AS v2 FROM hd2 GROUP BY ALL), hs AS (SELECT base, count(*) AS n_picks, round(avg(rms), 6) AS rms_mean, round(avg(ptp), 6) AS ptp_mean, round(avg(v0), 6) AS activity_mean, round(avg(sqrt(v1 / v0)), 6) AS mobility_mean, round(avg(sqrt(v2 / v1) / (sqrt(v1 / v0) + 1e-12)), 6) AS complexity_mean FROM hc GROUP BY 1) SELECT hs.*, round((SELECT avg(entropy) FROM ent WHERE ent.base = hs.base), 6) AS spectral_entropy_mean, round((SELECT avg(power) FROM band WHERE band.base = hs.base AND band = 'low'), 6) AS bp_mean_low, round((SELECT avg(power) FROM band WHERE band.base = hs.base AND band = 'high'), 6) AS bp_mean_high FROM hs")
 def heavy_summary(spark, d):
-    s = long(spark, d)
-    out = fe.heavy_summary(s, fe.spectra(signal(spark, d), FS, NPERSEG), SMALL_BANDS)
+    out = fe.heavy_summary(signal(spark, d), FS, NPERSEG, SMALL_BANDS)
     return out.select("base", "n_picks", *r6(*(c for c in out.columns if c not in ("base", "n_picks"))))
 
 
+#: Spectra of whole arrays as of signals at 128 Hz, where the bands of the domain have frequencies.
+FAST, WHOLE = 128.0, 64
+FAST_SQL = LONG_SQL + f""", dif AS (SELECT *, x - lag(x) OVER w AS d1 FROM long WINDOW w AS (PARTITION BY base, ch ORDER BY i)),
+dif2 AS (SELECT *, d1 - lag(d1) OVER w AS d2 FROM dif WINDOW w AS (PARTITION BY base, ch ORDER BY i)),
+cs AS (SELECT base, ch, sqrt(avg(x * x)) AS rms, max(x) - min(x) AS ptp, sum(abs(d1)) AS line_length, var_pop(x) + 1e-12 AS v0, var_pop(d1) + 1e-12 AS v1, var_pop(d2) + 1e-12 AS v2 FROM dif2 GROUP BY ALL),
+cf AS (SELECT base, ch, rms, ptp, line_length, v0 AS activity, sqrt(v1 / v0) AS mobility, sqrt(v2 / v1) / (sqrt(v1 / v0) + 1e-12) AS complexity FROM cs),
+tap AS (SELECT base, ch, i AS j, (x - avg(x) OVER (PARTITION BY base, ch)) * (0.5 - 0.5 * cos(2 * pi() * i / {WHOLE})) AS y FROM long),
+psd AS (SELECT base, ch, bin * {FAST} / {WHOLE} AS f, (sum(y * cos(2 * pi() * ((bin * j) % {WHOLE}) / {WHOLE})) ^ 2 + sum(y * sin(2 * pi() * ((bin * j) % {WHOLE}) / {WHOLE})) ^ 2) * (CASE WHEN bin IN (0, {WHOLE // 2}) THEN 1.0 ELSE 2.0 END) / ({FAST} * {WHOLE * 0.375}) AS p FROM tap, (SELECT unnest(range(0, {WHOLE // 2 + 1})) AS bin) GROUP BY base, ch, bin),
+ent AS (SELECT base, ch, -sum(s * ln(s + 1e-12)) AS entropy FROM (SELECT base, ch, p / (sum(p) OVER (PARTITION BY base, ch) + 1e-12) AS s FROM psd) GROUP BY ALL)"""
+
+
+def _band_sql(name: str, lo: float, hi: float) -> str:
+    return f"(SELECT base, ch, sum(area) AS {name} FROM (SELECT base, ch, (p + lead(p) OVER w) / 2 * (lead(f) OVER w - f) AS area FROM psd WHERE f >= {lo} AND f <= {hi} WINDOW w AS (PARTITION BY base, ch ORDER BY f)) GROUP BY ALL) b_{name} USING (base, ch)"
+
+
+_WB = {f"bp_{n}": b for n, b in fe.WINDOW_BANDS.items()}
+
+
+@query(f"WITH {FAST_SQL}, m AS (SELECT base, {', '.join(f'avg({n}) AS {n}' for n in 'rms ptp line_length activity mobility complexity'.split())} FROM cf GROUP BY 1), one AS (SELECT base, min(ch) AS ch FROM long GROUP BY 1) SELECT base, 0::BIGINT AS k, {_r('rms ptp line_length activity mobility complexity')}, round(entropy, 6) AS spectral_entropy, {', '.join(f'round({n}, 9) AS {n}' for n in _WB)} FROM m JOIN one USING (base) JOIN ent USING (base, ch) {' '.join('JOIN ' + _band_sql(n, *b) for n, b in _WB.items())}")
+def window_table_bands(spark, d):
+    """The window table with its own five bands."""
+    out = fe.window_table(signal(spark, d), WHOLE, WHOLE, FAST)
+    return out.select("base", "k", *r6("rms", "ptp", "line_length", "activity", "mobility", "complexity", "spectral_entropy"), *(F.round(c, 9).alias(c) for c in _WB))
+
+
+_RB = {f"bp_mean_{n}": b for n, b in fe.BANDS.items() if n != "high_gamma"}
+
+
+@query(f"WITH {FAST_SQL}, {META_SQL}, r AS (SELECT base, subject, acq, run, 3.0 AS duration_s FROM meta), s AS (SELECT base, count(*) AS n_picks, {', '.join(f'round(avg({n}), 6) AS {n}_mean' for n in 'rms ptp activity mobility complexity'.split())}, round(avg(entropy), 6) AS spectral_entropy_mean, {', '.join(f'round(avg({n}), 9) AS {n}' for n in _RB)}, NULL::DOUBLE AS bp_mean_high_gamma FROM cf JOIN ent USING (base, ch) {' '.join('JOIN ' + _band_sql(n, *b) for n, b in _RB.items())} GROUP BY 1) SELECT r.base, subject, acq, run, {FAST}::DOUBLE AS sfreq, n_picks + 1 AS n_total_channels, duration_s::DOUBLE AS duration_s, greatest(0, coalesce(onset_s - 0.25, 0))::DOUBLE AS segment_tmin, CASE WHEN iv.base IS NULL THEN 1.0 ELSE least(offset_s + 0.5, duration_s) END::DOUBLE AS segment_tmax, iv.base IS NOT NULL AS has_onset_offset, s.* EXCLUDE (base) FROM r LEFT JOIN iv USING (base) JOIN s USING (base)")
+def run_signal_summary(spark, d):
+    """The run-level table of 22 columns and its base; at 128 Hz the highest band has no frequency."""
+    arrays = signal(spark, d)
+    n = arrays.groupBy("base").agg((F.count("*") + 1).alias("n_total_channels"))
+    runs = _meta(spark, d).join(n, "base").withColumn("sfreq", F.lit(FAST)).withColumn("duration_s", F.lit(3.0))
+    pairs = _intervals(spark, d)
+    out = fe.signal_summary(runs, fe.heavy_summary(arrays, FAST, WHOLE), wi.crop_bounds(runs, pairs, 0.25, 0.5, 1.0), pairs)
+    means = [c for c in out.columns if c.endswith("_mean")]
+    return out.select("base", "subject", "acq", "run", "sfreq", "n_total_channels", "duration_s", "segment_tmin", "segment_tmax", "has_onset_offset", "n_picks", *r6(*means), *(F.round(c, 9).alias(c) for c in (*_RB, "bp_mean_high_gamma")))
+
+
 @query(f"WITH {LONG_SQL}, c AS (SELECT base, ch, sqrt(avg(x * x)) AS rms, max(x) - min(x) AS ptp FROM long GROUP BY ALL), med AS (SELECT base, median(rms) AS m1, median(ptp) AS m2 FROM c GROUP BY 1), mad AS (SELECT base, median(abs(rms - m1)) AS a1, median(abs(ptp - m2)) AS a2 FROM c JOIN med USING (base) GROUP BY 1) SELECT base, ch, round(0.6745 * (ptp - m2) / (a2 + 1e-12), 4) AS z_ptp FROM c JOIN med USING (base) JOIN mad USING (base) WHERE abs(0.6745 * (ptp - m2) / (a2 + 1e-12)) > 2")
 def robust_z_channels(spark, d):
     c = long(spark, d).groupBy("base", "ch").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), (F.max("x") - F.min("x")).alias("ptp"))
