@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,14 +136,21 @@ class LanguageModel:
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200) -> LanguageModel | None:
-    """Learn from text and non-null lang of the documents that are not held out: a sample of about per_language texts
-    of each language, chosen by a hash of the id (at most 2 * per_language). Whole texts are reduced to trigram
-    shares by tasks; what reaches the driver is bounded by 2 * per_language * languages * 16 KiB. None without any row."""
+    """Learn from text and non-null lang of the documents that are not held out: of the different (id, text) of each
+    language about per_language, all where it has no more, and at most 2 * per_language, chosen by a hash of id and text.
+    So null and repeated ids make no difference, and no language that has a text with a letter is missed. Whole texts are
+    reduced to trigram shares by tasks, after the choice is made in Spark; what reaches the driver is bounded by
+    2 * per_language * languages * 16 KiB. None without any row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
-    chosen = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(per_language) / F.col("n")) * F.lit(1 << 30))
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text", F.lit("langid")).alias("h"))
+    counts = rows.groupBy("lang", "h").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(per_language) / F.col("n"))
+    # A row for each language, as many as the model itself has.
+    chosen = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * F.lit(1 << 30))
+    chosen = chosen.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    chosen = chosen.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= 2 * per_language)
     got = chosen.select("lang", "text").mapInArrow(_features, "lang string, x binary").toPandas()
-    got = got.assign(h=got["x"].map(zlib.crc32)).sort_values(["lang", "h", "x"]).groupby("lang").head(2 * per_language)
+    got = got.assign(h=got["x"].map(zlib.crc32)).sort_values(["lang", "h", "x"])
     if not len(got):
         return None
     return LanguageModel(np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), DIM), got["lang"].tolist())
