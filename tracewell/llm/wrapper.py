@@ -442,6 +442,50 @@ def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"host": pdf["host"], "sk": pdf["sk"], "slots": out})
 
 
+def _region(slots: list[int], chars: list[int], depths: list[int], names: list[str], share: float) -> int | None:
+    """The wrapper's node whose subtree is the article: the innermost one that holds share of the varying text or, where
+    that is one kind of paragraph, the element around it. None where that is the body itself."""
+    held, up, path = np.zeros(len(depths)), [-1] * len(depths), []
+    for i, d in enumerate(depths):
+        del path[d:]
+        up[i] = path[-1] if path else -1
+        path.append(i)
+    for slot, n in zip(slots, chars, strict=True):
+        held[slot] += n
+    total = held.sum()
+    inner = [0] * len(depths)
+    for i in range(len(depths) - 1, 0, -1):
+        held[up[i]] += held[i]
+        inner[up[i]] += names[i] != "#text" and names[i] != "#link"
+    best = max((i for i in range(len(depths)) if total and held[i] >= share * total), key=lambda i: (depths[i], -i), default=None)
+    while best is not None and best > 0 and (names[best][0] == "#" or not inner[best]):
+        best = up[best]
+    return None if best is None or names[best].split(".")[0] in ("#root", "html", "body") else best
+
+
+def _regions(share: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [_region(*row, share) for row in zip(pdf["slots"], pdf["chars"], pdf["to_depths"], pdf["to_names"], strict=True)]
+            yield pd.DataFrame({"host": pdf["host"], "region": pd.array(found, "Int64")})
+
+    return run
+
+
+def _within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Which nodes of each skeleton stand in an article element or in the host's region."""
+    for pdf in frames:
+        out = []
+        for depths, names, slots, region in zip(pdf["depths"], pdf["names"], pdf["slots"], pdf["region"], strict=True):
+            inside, path = [], []
+            for d, name, slot in zip(depths, names, slots, strict=True):
+                del path[d:]
+                path.append((path[-1] if path else False) or name.split(".")[0] == "article" or slot == region)
+                inside.append(path[-1])
+            out.append(inside)
+        yield pd.DataFrame({"host": pdf["host"], "sk": pdf["sk"], "inside": out})
+
+
 def hash_names(above: int, tag: str) -> int:
     """A number under 2^61 for a path of element names, the same in every process."""
     h = above
@@ -464,7 +508,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     different articles of all pages of the host (copies count once, pages without text not at all), a text that share
     of them hold in one slot is template, and a slot is a menu if half of them fill it with texts that are links by
     linked of their characters and of short characters in the mean (headings excepted). Both need least articles: a
-    host with fewer has no template. All else is content, in page order, joined by a blank line.
+    host with fewer has no template. All else is content, in page order, joined by a blank line; and so is whatever
+    stands inside an article element, or inside the host's region: the innermost element of the wrapper, below the body,
+    that holds share of the text that varies and is no menu. There headings, paragraphs and lists of links stay, recur
+    as they may.
 
     Alignments are made per distinct skeleton, counts per (host, slot, text); nothing is grouped by host but what was
     found to be template, and the texts are joined with that once. Null or empty html: empty text. Null or malformed
@@ -485,16 +532,24 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     leaf = leaf.select("host", F.get("slots", F.col("l.node")).alias("slot"), "article", F.col("l.text").alias("text"), F.col("l.chars").alias("chars"), F.col("l.linked").alias("linked"))
     told = materialise(leaf.groupBy("host", "slot", "text", "article").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked")))
     of_host = materialise(told.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= least))
-    often = told.groupBy("host", "slot", "text").agg(F.count("*").alias("articles")).where(F.col("articles") >= least).join(of_host, "host").where(F.col("articles") >= F.col("all") * share)
+    often = materialise(told.groupBy("host", "slot", "text").agg(F.count("*").alias("articles"), F.max("chars").alias("chars")).where(F.col("articles") >= least).join(of_host, "host").where(F.col("articles") >= F.col("all") * share))
     constant = often.groupBy("host").agg(F.collect_list(F.xxhash64("slot", "text")).alias("constant"))
-    filled = told.groupBy("host", "slot", "article").agg(F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).groupBy("host", "slot").agg(F.count("*").alias("articles"), F.sum("texts").alias("texts"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    filled = materialise(told.groupBy("host", "slot", "article").agg(F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).groupBy("host", "slot").agg(F.count("*").alias("articles"), F.sum("texts").alias("texts"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")))
     menus = filled.join(of_host, "host").where((F.col("articles") * 2 >= F.col("all")) & (F.col("linked") >= F.col("chars") * linked) & (F.col("chars") <= F.col("texts") * short))
     menu = menus.groupBy("host").agg(F.collect_list("slot").alias("menu"))
-    template = materialise(slots.join(constant.join(menu, "host", "full"), "host").select("host", "sk", "slots", "constant", "menu"))
+    fixed = often.groupBy("host", "slot").agg(F.sum(F.col("articles") * F.col("chars")).alias("fixed"))
+    # As many rows as a host's wrapper has nodes.
+    varying = filled.where("slot >= 0").join(menus.select("host", "slot"), ["host", "slot"], "left_anti").join(fixed, ["host", "slot"], "left")
+    varying = varying.select("host", "slot", (F.col("chars") - F.coalesce("fixed", F.lit(0))).alias("chars")).join(of_host.select("host"), "host", "left_semi")
+    varying = varying.groupBy("host").agg(F.collect_list("slot").alias("slots"), F.collect_list("chars").alias("chars"))
+    region = varying.join(wrapper, "host").mapInPandas(_regions(share), "host string, region long")
+    marks = constant.join(menu, "host", "full").join(region, "host", "left")
+    within = slots.join(skeletons, ["host", "sk"]).join(marks.select("host", "region"), "host").select("host", "sk", "depths", "names", "slots", "region").mapInPandas(_within, "host string, sk long, inside array<boolean>")
+    template = materialise(slots.join(marks, "host").join(within, ["host", "sk"]).select("host", "sk", "slots", "constant", "menu", "inside"))
 
     none = F.array().cast("array<long>")
-    joined = read.join(template, ["host", "sk"], "left").select("page_id", "url", "texts", "nodes", "slots", F.coalesce("constant", none).alias("constant"), F.coalesce("menu", none).alias("menu"))
+    joined = read.join(template, ["host", "sk"], "left").select("page_id", "url", "texts", "nodes", "slots", F.coalesce("constant", none).alias("constant"), F.coalesce("menu", none).alias("menu"), "inside")
     slot = lambda i: F.get("slots", F.get("nodes", i))
-    content = F.filter("texts", lambda t, i: ~(F.array_contains("menu", slot(i)) | F.array_contains("constant", F.xxhash64(slot(i), F.xxhash64(t)))))
+    content = F.filter("texts", lambda t, i: F.coalesce(F.get("inside", F.get("nodes", i)), F.lit(False)) | ~(F.array_contains("menu", slot(i)) | F.array_contains("constant", F.xxhash64(slot(i), F.xxhash64(t)))))
     text = F.array_join(F.when(F.col("slots").isNull(), F.col("texts")).otherwise(content), "\n\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
