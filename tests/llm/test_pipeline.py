@@ -103,6 +103,22 @@ def test_stages_with_clashing_and_null_columns(spark, tmp_path, corpus):
         assert {r.score for r in got} <= {0.5, None} and {r.redacted for r in got} <= {"r", None} and any(r.doc_id is None for r in got)
 
 
+def test_mix_of_repeated_ids_meets_its_targets(spark, tmp_path):
+    """Four rows of every id, of two sources: each row has copies of its own, whether or not the rows come from files."""
+    rng = random.Random(31)
+    rows = [(None if i % 9 == 0 else i // 4, " ".join(["w"] * rng.randint(1, 40)), "en", "ab"[i % 2], 1) for i in range(800)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    made.write.parquet(str(tmp_path / "docs"))
+    stage = dict(corpus_pipeline.STAGES)["mixing"]
+    total = {s: sum(len(t.split()) for _, t, _, of, _ in rows if of == s) for s in "ab"}
+    goal = {"a": sum(total.values()) * 5 / 7, "b": sum(total.values()) * 2 / 7}
+    for docs in (spark.read.parquet(str(tmp_path / "docs")), made):
+        taken = Counter()
+        for r in stage(spark, docs, str(tmp_path)).collect():
+            taken[r["source"]] += len(r["text"].split())
+        assert all(abs(taken[s] - goal[s]) <= 40 for s in "ab"), (taken, goal)
+
+
 def test_run_leaves_only_the_tables_it_still_reads(spark, tmp_path, corpus):
     from tracewell.llm.common import release, tables_made
 

@@ -36,8 +36,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
     return t.select("source", "source_size", "weight", F.when(F.col("capped"), F.col("limit")).otherwise(F.col("weight") * F.lit(unit)).alias("target"))
 
 
-def entropy_balance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5.0, 2.0, 1.0), cap: float = 3.0, tolerance: float = 1e-9, max_rounds: int = 60) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, rate, copies), a row for each row of docs.
+def entropy_balance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5.0, 2.0, 1.0), cap: float = 3.0, tolerance: float = 1e-9, max_rounds: int = 60, row_col: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, rate, copies), a row for each row of docs; and its row, where row_col
+    names a column that tells rows of one id apart.
 
     A document's rate r minimises the sum of r log r - r over all documents, subject to sum(size * r) = target in
     each source and r <= cap. Its dual is convex with one multiplier per source: r = min(cap, exp(lambda * size /
@@ -55,7 +56,9 @@ def entropy_balance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other, equal ids keep any order since they get the same rate. Empty input: no rows. Other columns of docs
     are not read.
     """
-    base = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64))).withColumn("row", F.monotonically_increasing_id()))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), row.alias("row"))
+    base = materialise(base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64))))
     cells = materialise(base.groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
     hist = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     targets = materialise(source_targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs")).drop("docs"), weights, cap))
@@ -101,7 +104,7 @@ def entropy_balance(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.withColumn("copies", copies).select("doc_id", "row", "source", "size", "source_size", "target", "rate", "part", "copies")
     for _ in range(2):
         out = _nudged(materialise(out))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "rate", "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "rate", "copies", *(["row"] if row_col else []))
 
 
 def _nudged(out: DataFrame) -> DataFrame:
