@@ -6,6 +6,7 @@ adds copy). run() writes each stage's result as Parquet in the shared folder and
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,23 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, source, key): all columns of docs in row, and a key that no two rows share: the file that a row
+    is read from and its number there. What is not read from Parquet files is written to some first."""
+    columns = docs.columns
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("number"))
+    out = [F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text", "source", key.alias("key")]
+    try:
+        return docs.select(*out)
+    except AnalysisException:
+        return materialise(docs).select(*out)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go; rows of one id go together, rows with null ids stay."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a passage of the benchmark go, whatever their ids; all others stay."""
+    rows = keyed(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(found, "key", "left_anti").select("row.*")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +68,12 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes of a document, numbered from 1 in copy (which takes the place of a column
-    of that name); documents with no copy go. Rows of one id get as many copies as the one with the most."""
-    taken = entropy_balance(docs).where("copies > 0").groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").cast("int").alias("times"))
-    rows = docs.select(F.col("doc_id").alias("row_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "copy")).alias("row"))
-    mixed = rows.join(taken, F.col("row_id").eqNullSafe(F.col("taken_id")))
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*", "copy")
+    of that name); documents with no copy go. Rows of one id, or of none, have copies of their own."""
+    rows = keyed(docs)
+    taken = entropy_balance(rows, row_col="key").where("copies > 0").select(F.col("row").alias("key"), F.col("copies").cast("int").alias("times"))
+    mixed = rows.select("row", "key").join(taken, "key")
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c != "copy"]
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*kept, "copy")
 
 
 STAGES = [
