@@ -95,3 +95,29 @@ def test_numbers_that_are_none_drop_their_rows(spark):
     rows = [(0, i, t, "onset") for i, t in enumerate(["1.5", "1d", "n/a", None, "nan", " 2 ", "1e1", "x"])]
     got = mk.markers(spark.createDataFrame(rows, "base int, row_idx int, onset string, trial_type string")).collect()
     assert sorted(r.t for r in got) == [1.5, 2.0, 10.0]
+
+
+def test_pairs_of_a_hot_run_in_bins(spark):
+    """One run with most of the markers, ties of onsets and offsets, runs without either: equal to the plain queue, and to
+    the form that sorts a run in one task."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(900):
+        base = 0 if rng.random() < 0.6 else rng.randrange(1, 6)
+        on = rng.random() < (0.5 if base < 4 else float(base == 4))
+        rows.append((base, i, float(rng.randrange(200)) * (1 if base else 7), "x", on, not on))
+    found = spark.createDataFrame(rows, "base int, row_idx int, t double, trial_type string, is_onset boolean, is_offset boolean").repartition(3)
+    want = []
+    for base in range(6):
+        mine = sorted((r for r in rows if r[0] == base), key=lambda r: (r[2], r[1]))
+        offs = [r[2] for r in mine if r[5]]
+        for r in mine:
+            if r[4]:
+                at = next((k for k, t in enumerate(offs) if t > r[2]), None)
+                if at is None:
+                    break
+                want.append((base, r[2], offs[at]))
+                offs = offs[at + 1 :]
+    for n in (None, 1, 40, 10_000):
+        got = sorted((r.base, r.onset_s, r.offset_s) for r in mk.pair_intervals(found, n).collect())
+        assert got == sorted(want) and len(want) > 100, n

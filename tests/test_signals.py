@@ -22,7 +22,7 @@ def test_framing_counts_and_labels(spark):
     f = wi.frames(runs, 2000, 1000, 1000.0)
     over = {r.base: (r["n"], r["pos"]) for r in wi.label_windows(f, iv).groupBy("base").agg({"y": "sum", "k": "count"}).toDF("base", "pos", "n").collect()}
     assert over == {1: (141, 23), 2: (337, 211)}
-    mid = {r[0]: r[1] for r in wi.label_windows(f, iv, "midpoint", bin_s=30.0).groupBy("base").agg({"y": "sum"}).collect()}
+    mid = {r[0]: r[1] for r in wi.label_windows(f, iv, "midpoint", rows_per_bin=30).groupBy("base").agg({"y": "sum"}).collect()}
     assert mid == {1: 21, 2: 209}
     assert wi.frames(runs, 2000, 1000, 1000.0, short=True).where("base = 3").count() == 1
 
@@ -235,3 +235,45 @@ def test_run_level_summary_has_all_columns(spark):
     assert all(getattr(got["a"], f"bp_mean_{b}") > 0 for b in fe.BANDS)
     x = [np.array(r.xs) for r in arrays.where("base = 'a'").collect()]
     assert np.isclose(got["a"].rms_mean, np.mean([np.sqrt(np.mean(v * v)) for v in x]))
+
+
+def test_labels_equal_all_pairs(spark):
+    """Overlapping, nested, touching, empty and inverted intervals, null bounds and bases, a run with most of the rows."""
+    rng = np.random.default_rng(7)
+    base = lambda: [0, 0, 0, 1, None][rng.integers(5)]
+    at = lambda: None if rng.random() < 0.05 else float(rng.integers(0, 400)) / 4
+    iv = [(base(), at(), at()) for _ in range(25)] + [(0, 10.0, 10.0), (0, 20.0, 30.0), (0, 30.0, 40.0)]
+    ws = [(base(), k, a, a + 2.0, a + 1.0) for k, a in enumerate(float(rng.integers(0, 440)) / 4 for _ in range(400))] + [(0, 900, None, None, None)]
+    w = spark.createDataFrame(ws, "base int, k int, t_start double, t_end double, t_mid double").repartition(3)
+    i = spark.createDataFrame(iv, "base int, onset_s double, offset_s double").repartition(3)
+    known = [x for x in iv if None not in x]
+    for mode in ("overlap", "midpoint"):
+        hit = lambda r, x: r[0] == x[0] and r[2] is not None and ((x[1] < r[3] and x[2] > r[2]) if mode == "overlap" else x[1] <= r[4] <= x[2])  # noqa: B023, E731
+        want = {r[1]: int(any(hit(r, x) for x in known)) for r in ws}
+        for rows in (None, 1, 7, 10_000):
+            got = wi.label_windows(w, i, mode, rows)
+            assert got.columns == [*w.columns, "y"] and {r.k: r.y for r in got.collect()} == want, (mode, rows)
+
+
+def test_series_in_blocks_equal_whole_ones(spark):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(k, datetime(2024, 3, 1) + timedelta(hours=h), int(rng.integers(0, 9))) for k, n in (("a", 300), ("b", 40), ("c", 1)) for h in range(n)]
+    s = spark.createDataFrame(rows, "k string, bucket timestamp_ntz, runs long").repartition(3)
+    for of in (lambda n: tl.rolling_stats(s, 7, ("k",), n), lambda n: tl.spikes(s, 14, 7, 2.0, ("k",), n), lambda n: tl.seasonal(s, 24, ("k",), n), lambda n: tl.rolling_stats(s.where("k = 'a'"), 7, (), n), lambda n: tl.seasonal(s.where("k = 'a'"), 7, (), n), lambda n: tl.linear_trend(s, ("k",), 10, n)):
+        whole = of(None)
+        key = [c for c in ("k", "bucket") if c in whole.columns]
+        want = whole.orderBy(*key).toPandas()
+        for n in (1, 9, 64, 10_000):
+            got = of(n).select(*whole.columns).orderBy(*key).toPandas()
+            assert len(got) == len(want)
+            for c in whole.columns:
+                same = np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True) if got[c].dtype.kind == "f" else (got[c] == want[c]).all()
+                assert same, (n, c)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = tl.rolling_stats(s.where("k = 'a'"), 7, (), 20).select(F.spark_partition_id()).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts > 1

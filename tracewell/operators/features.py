@@ -112,12 +112,12 @@ def suspicious_channels(channels: DataFrame, limit: float = 5.0) -> DataFrame:
     return with_robust_z(channels, ["rms", "ptp"]).where((F.abs("z_rms") > limit) | (F.abs("z_ptp") > limit))
 
 
-def labelled_windows(features: DataFrame, w: int, step: int, sfreq: float, intervals: DataFrame, runs: DataFrame, mode: str = "overlap", t0: float = 0.0) -> DataFrame:
+def labelled_windows(features: DataFrame, w: int, step: int, sfreq: float, intervals: DataFrame, runs: DataFrame, mode: str = "overlap", t0: float = 0.0, rows_per_bin: int | None = None) -> DataFrame:
     """features (base, k, ...) as shipped: with t_start, t_end, t_mid, the label y from intervals, and the columns of
     runs (base and metadata such as subject, acq, run); a run without metadata keeps its windows."""
     s0 = F.col("k") * step
     timed = features.withColumn("t_start", F.lit(t0) + s0 / F.lit(sfreq)).withColumn("t_end", F.lit(t0) + (s0 + w) / F.lit(sfreq)).withColumn("t_mid", F.lit(t0) + (s0 + F.lit((w - 1) / 2)) / F.lit(sfreq))
-    return label_windows(timed, intervals, mode).join(runs, "base", "left")
+    return label_windows(timed, intervals, mode, rows_per_bin).join(runs, "base", "left")
 
 
 def windowing_info(labelled: DataFrame, not_features: tuple[str, ...] = ("base", "k", "t_mid", "y", "subject", "acq", "run")) -> DataFrame:

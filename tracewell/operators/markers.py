@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_number
+from .scan import binned, carried
 
 
 @dataclass(frozen=True)
@@ -53,26 +54,50 @@ def markers(events: DataFrame, rules: MarkerRules = RULES_V2) -> DataFrame:
     return rows.where("(is_onset or is_offset) and t is not null").select("base", "row_idx", "t", "trial_type", "is_onset", "is_offset")
 
 
-def pair_slots(found: DataFrame) -> DataFrame:
+def pair_slots(found: DataFrame, rows_per_bin: int | None = None) -> DataFrame:
     """(base, place, onset_s, offset_s, onset_trial_type, offset_trial_type): pairs, onsets and offsets left alone.
 
     Each onset in order takes the first offset that is strictly later and not yet taken. With f(i) the number of
     offsets not later than onset i, the offset's place is i + max over k <= i of (f(k) - k). Onsets get that place,
     offsets their own, and rows of a run that share a place are a pair: running sums and a grouping over one
     shuffle by base, no loop and no join. File order decides ties.
+
+    With rows_per_bin a run's markers are not sorted by one task but in bins of time: i and f start at the counts of the
+    bins before, and the maximum at the greatest of theirs, which is that of their own plus f - k at their start.
     """
+    if rows_per_bin:
+        return _slots(_placed_in_bins(found, rows_per_bin))
     order = W.partitionBy("base").orderBy("t", "row_idx").rowsBetween(W.unboundedPreceding, 0)
     not_later = W.partitionBy("base").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
     on, off = F.col("is_onset").cast("long"), F.col("is_offset").cast("long")
     s = found.withColumn("i", F.sum(on).over(order) - 1).withColumn("j", F.sum(off).over(order) - 1).withColumn("f", F.sum(off).over(not_later))
     place = F.when(F.col("is_onset"), F.col("i") + F.max(F.when(F.col("is_onset"), F.col("f") - F.col("i"))).over(order)).otherwise(F.col("j"))
+    return _slots(s.withColumn("place", place))
+
+
+def _placed_in_bins(found: DataFrame, rows: int) -> DataFrame:
+    order = W.partitionBy("base", "bin").orderBy("t", "row_idx").rowsBetween(W.unboundedPreceding, 0)
+    not_later = W.partitionBy("base", "bin").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
+    on, off = F.col("is_onset").cast("long"), F.col("is_offset").cast("long")
+    s = binned(found, "t", rows).withColumn("i", F.sum(on).over(order) - 1).withColumn("f", F.sum(off).over(not_later)).withColumn("j", F.sum(off).over(order) - 1)
+    sums = {"_on": F.sum(on), "_off": F.sum(off)}
+    # The counts before a bin first; then the greatest lead before it, each lifted by what came before its own bin.
+    s = carried(s, ["base"], sums, {"on0": F.sum("_on"), "off0": F.sum("_off")}).fillna(0, ["on0", "off0"])
+    s = s.withColumn("i", F.col("i") + F.col("on0")).withColumn("j", F.col("j") + F.col("off0"))
+    s = s.withColumn("lead", F.when(F.col("is_onset"), F.col("f") + F.col("off0") - F.col("i")))
+    s = carried(s, ["base"], {"_most": F.max("lead")}, {"most0": F.max("_most")})
+    most = F.greatest(F.col("most0"), F.max("lead").over(order))
+    return s.withColumn("place", F.when(F.col("is_onset"), F.col("i") + most).otherwise(F.col("j")))
+
+
+def _slots(placed: DataFrame) -> DataFrame:
     of = lambda kind, c: F.max(F.when(F.col(f"is_{kind}"), F.col(c)))
-    return s.withColumn("place", place).groupBy("base", "place").agg(of("onset", "t").alias("onset_s"), of("offset", "t").alias("offset_s"), of("onset", "trial_type").alias("onset_trial_type"), of("offset", "trial_type").alias("offset_trial_type"))
+    return placed.groupBy("base", "place").agg(of("onset", "t").alias("onset_s"), of("offset", "t").alias("offset_s"), of("onset", "trial_type").alias("onset_trial_type"), of("offset", "trial_type").alias("offset_trial_type"))
 
 
-def pair_intervals(found: DataFrame) -> DataFrame:
+def pair_intervals(found: DataFrame, rows_per_bin: int | None = None) -> DataFrame:
     """(base, onset_s, offset_s, duration_s, onset_trial_type, offset_trial_type) of the pairs among pair_slots()."""
-    pairs = pair_slots(found).where("onset_s is not null and offset_s is not null")
+    pairs = pair_slots(found, rows_per_bin).where("onset_s is not null and offset_s is not null")
     return pairs.select("base", "onset_s", "offset_s", (F.col("offset_s") - F.col("onset_s")).alias("duration_s"), "onset_trial_type", "offset_trial_type")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .profile import summary_with_percentiles
+from .scan import in_blocks, numbered
 
 
 def resample(scans: DataFrame, unit: str = "day", ts: str = "ts", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -23,24 +24,35 @@ def _frame(keys: tuple[str, ...], back: int):
     return W.partitionBy(*(keys or (F.lit(0),))).orderBy("bucket").rowsBetween(-back, 0)
 
 
-def rolling_stats(series: DataFrame, rows: int = 7, keys: tuple[str, ...] = ()) -> DataFrame:
+def _rolled(series: DataFrame, rows: int, keys: tuple[str, ...], per_block: int | None, of) -> DataFrame:
+    """series with the columns that of(window) gives over the last rows values. With per_block a series lies in blocks of
+    so many rows, each with the rows before it that its frames reach back to: as many tasks as blocks, equal results."""
+    if not per_block:
+        return series.withColumns(of(_frame(keys, rows - 1)))
+    b = in_blocks(numbered(series, [*keys], "bucket", per_block), rows - 1, size=per_block)
+    return b.withColumns(of(W.partitionBy(*keys, "block").orderBy("i").rowsBetween(1 - rows, 0))).where("not halo").drop("i", "block", "halo")
+
+
+def rolling_stats(series: DataFrame, rows: int = 7, keys: tuple[str, ...] = (), per_block: int | None = None) -> DataFrame:
     """series with the mean and sample deviation of the last rows values; one value has no deviation."""
-    w = _frame(keys, rows - 1)
-    return series.withColumn("roll_mean", F.avg("runs").over(w)).withColumn("roll_std", F.stddev_samp("runs").over(w))
+    return _rolled(series, rows, keys, per_block, lambda w: {"roll_mean": F.avg("runs").over(w), "roll_std": F.stddev_samp("runs").over(w)})
 
 
-def spikes(series: DataFrame, rows: int = 14, least: int = 7, limit: float = 3.0, keys: tuple[str, ...] = ()) -> DataFrame:
+def spikes(series: DataFrame, rows: int = 14, least: int = 7, limit: float = 3.0, keys: tuple[str, ...] = (), per_block: int | None = None) -> DataFrame:
     """series with z against the last rows values (least of them at least, deviation above 0, else null) and is_spike."""
-    w = _frame(keys, rows - 1)
-    z = F.when(F.count("runs").over(w) >= least, (F.col("runs") - F.avg("runs").over(w)) / F.nullif(F.stddev_samp("runs").over(w), F.lit(0.0)))
-    s = series.withColumn("z", z)
+    z = lambda w: F.when(F.count("runs").over(w) >= least, (F.col("runs") - F.avg("runs").over(w)) / F.nullif(F.stddev_samp("runs").over(w), F.lit(0.0)))
+    s = _rolled(series, rows, keys, per_block, lambda w: {"z": z(w)})
     return s.withColumn("is_spike", F.coalesce(F.abs("z") > limit, F.lit(False)))
 
 
-def linear_trend(series: DataFrame, keys: tuple[str, ...] = (), least: int = 10) -> DataFrame:
-    """(keys, n, slope, intercept) of runs on their place in time; null under least points."""
-    i = (F.row_number().over(W.partitionBy(*(keys or (F.lit(0),))).orderBy("bucket")) - 1).cast("double")
-    s = series.withColumn("i", i)
+def linear_trend(series: DataFrame, keys: tuple[str, ...] = (), least: int = 10, per_block: int | None = None) -> DataFrame:
+    """(keys, n, slope, intercept) of runs on their place in time; null under least points. With per_block places are
+    counted in blocks of about so many rows."""
+    if per_block:
+        s = numbered(series, [*keys], "bucket", per_block)
+    else:
+        s = series.withColumn("i", F.row_number().over(W.partitionBy(*(keys or (F.lit(0),))).orderBy("bucket")) - 1)
+    s = s.withColumn("i", F.col("i").cast("double"))
     y = F.col("runs").cast("double")
     few = F.count("*") >= least
     return s.groupBy(*keys).agg(F.count("*").alias("n"), F.when(few, F.regr_slope(y, F.col("i"))).alias("slope"), F.when(few, F.regr_intercept(y, F.col("i"))).alias("intercept"))
@@ -130,23 +142,29 @@ def partial_autocorrelation(acf: DataFrame, key: str) -> DataFrame:
     return acf.groupBy(key).applyInPandas(levinson, f"{key} {dict(acf.dtypes)[key]}, lag int, pacf double")
 
 
-def seasonal(series: DataFrame, period: int = 24, keys: tuple[str, ...] = ()) -> DataFrame:
+def seasonal(series: DataFrame, period: int = 24, keys: tuple[str, ...] = (), per_block: int | None = None) -> DataFrame:
     """series with trend, season and residual: a centred moving mean over one period (half weights at the ends of an
-    even one), the mean of what is left per phase, made to sum to 0, and the rest. Trend is null near the ends."""
+    even one), the mean of what is left per phase, made to sum to 0, and the rest. Trend is null near the ends. With
+    per_block a series lies in blocks of so many rows and half a period to either side."""
     by = keys or (F.lit(0),)
-    w = W.partitionBy(*by).orderBy("bucket")
     half = period // 2
-    s = series.withColumn("i", F.row_number().over(w) - 1)
+    if per_block:
+        s = in_blocks(numbered(series, [*keys], "bucket", per_block), half, half, per_block)
+        w = W.partitionBy(*keys, "block").orderBy("i")
+    else:
+        w = W.partitionBy(*by).orderBy("bucket")
+        s = series.withColumn("i", F.row_number().over(w) - 1)
     wide = w.rowsBetween(-half, half)
     total = F.sum("runs").over(wide)
     ends = (F.lag("runs", half).over(w) + F.lead("runs", half).over(w)) / 2
     mean = (total - ends) / period if period % 2 == 0 else total / period
     s = s.withColumn("trend", F.when(F.count("runs").over(wide) == 2 * half + 1, mean)).withColumn("phase", F.pmod(F.col("i"), F.lit(period)))
-    raw = F.avg(F.col("runs") - F.col("trend")).over(W.partitionBy(*by, "phase"))
-    s = s.withColumn("raw", raw)
-    phases = s.groupBy(*keys, "phase").agg(F.first("raw").alias("raw")).groupBy(*keys).agg(F.avg("raw").alias("centre"))
-    s = s.join(phases, [*keys]) if keys else s.join(F.broadcast(phases), how="cross")
-    return s.withColumn("season", F.col("raw") - F.col("centre")).withColumn("resid", F.col("runs") - F.col("trend") - F.col("season")).drop("raw", "centre", "i")
+    s = s.where("not halo").drop("block", "halo") if per_block else s
+    # As many means as a period has phases; they come back by phase.
+    raw = s.groupBy(*keys, "phase").agg(F.avg(F.col("runs") - F.col("trend")).alias("raw"))
+    phases = raw.withColumn("raw", F.col("raw") - F.avg("raw").over(W.partitionBy(*by)))
+    s = s.join(phases, [*keys, "phase"]) if keys else s.join(F.broadcast(phases), "phase")
+    return s.withColumn("season", F.col("raw")).withColumn("resid", F.col("runs") - F.col("trend") - F.col("season")).drop("raw", "i")
 
 
 def sparsity(series: DataFrame, keys: tuple[str, ...] = (), burst: int = 2) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import binned, carried
+
 
 def crop_bounds(runs: DataFrame, intervals: DataFrame, pre: float = 120.0, post: float = 120.0, otherwise: float = 300.0) -> DataFrame:
     """(base, t_min, t_max): from pre before a run's first onset to post after its last offset, inside the run; the
@@ -29,24 +31,32 @@ def frames(runs: DataFrame, w: int, step: int, sfreq: float, t0: float = 0.0, sh
     return out.select("base", "k", s0.alias("s0"), (F.lit(t0) + s0 / F.lit(sfreq)).alias("t_start"), (F.lit(t0) + end / F.lit(sfreq)).alias("t_end"), (F.lit(t0) + (s0 + F.lit((w - 1) / 2)) / F.lit(sfreq)).alias("t_mid"))
 
 
-def label_windows(windows: DataFrame, intervals: DataFrame, mode: str = "overlap", bin_s: float | None = None) -> DataFrame:
+def label_windows(windows: DataFrame, intervals: DataFrame, mode: str = "overlap", rows_per_bin: int | None = None) -> DataFrame:
     """windows with y = 1 where some interval of the run overlaps (or, mode midpoint, holds) the window, else 0.
 
-    Bounds that are null give 0. bin_s cuts time in bins, so that a run of very many windows and intervals meets by
-    (base, bin) instead of by base alone.
+    Some interval that begins before the window's end ends after its start exactly if the latest end of those does. So
+    windows and intervals are put in one order, by window end (or middle) and onset, and a running maximum of the ends
+    decides: linear in both, whatever overlaps, and nothing is joined. Bounds that are null give 0. With rows_per_bin
+    the order is cut in bins of time, and the maximum carried between them, so that no task holds a run.
     """
-    iv = intervals.where("onset_s is not null and offset_s is not null").select("base", "onset_s", "offset_s")
-    lo, hi = (F.col("t_start"), F.col("t_end")) if mode == "overlap" else (F.col("t_mid"), F.col("t_mid"))
-    hit = (hi > F.col("onset_s")) & (lo < F.col("offset_s")) if mode == "overlap" else (F.col("onset_s") <= lo) & (lo <= F.col("offset_s"))
+    overlap = mode == "overlap"
+    lo, hi = ("t_start", "t_end") if overlap else ("t_mid", "t_mid")
+    names = windows.columns
+    w = windows.select("base", F.col(hi).cast("double").alias("_at"), F.lit(0 if overlap else 1).alias("_order"), F.lit(None).cast("double").alias("_end"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
+    iv = intervals.where("base is not null and onset_s is not null and offset_s is not null")
+    iv = iv.select("base", F.col("onset_s").cast("double").alias("_at"), F.lit(1 if overlap else 0).alias("_order"), F.col("offset_s").cast("double").alias("_end"), F.lit(None).cast(w.schema["_row"].dataType).alias("_row"))
+    rows = w.unionByName(iv)
     keys = ["base"]
-    left = windows
-    if bin_s:
-        span = lambda a, b: F.explode(F.sequence(F.floor(a / bin_s), F.floor(b / bin_s)))
-        iv = iv.where("offset_s >= onset_s").withColumn("bin", span(F.col("onset_s"), F.col("offset_s")))
-        left = windows.withColumn("bin", span(lo, hi))
+    latest = F.max("_end")
+    if rows_per_bin:
+        rows = carried(binned(rows, "_at", rows_per_bin), keys, {"_latest": latest}, {"_carried": F.max("_latest")})
         keys = ["base", "bin"]
-    found = left.join(iv, keys).where(hit).select("base", "k").distinct().withColumn("y", F.lit(1))
-    return windows.join(found, ["base", "k"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    order = W.partitionBy(*keys).orderBy(F.asc_nulls_first("_at"), "_order").rowsBetween(W.unboundedPreceding, 0)
+    end = latest.over(order)
+    end = F.greatest(end, F.col("_carried")) if rows_per_bin else end
+    out = rows.withColumn("_end", end).where("_row is not null").select("_row", "_end")
+    hit = F.col("_end") > F.col(f"_row.{lo}") if overlap else F.col("_end") >= F.col(f"_row.{lo}")
+    return out.select(*(F.col(f"_row.`{c}`") for c in names), F.when(hit & F.col(f"_row.{hi}").isNotNull(), 1).otherwise(0).alias("y"))
 
 
 def samples(arrays: DataFrame, values: str = "xs") -> DataFrame:

@@ -187,6 +187,11 @@ def marker_pairs(spark, d):
     return mk.pair_intervals(marks(spark, d)).select("base", *r6("onset_s", "offset_s", "duration_s"), "onset_trial_type", "offset_trial_type")
 
 
+@query(f"WITH {PAIR_SQL} SELECT base, round(onset_s, 6) AS onset_s, round(offset_s, 6) AS offset_s, round(duration_s, 6) AS duration_s, onset_trial_type, offset_trial_type FROM pairs")
+def marker_pairs_in_bins(spark, d):
+    return mk.pair_intervals(marks(spark, d), rows_per_bin=50).select("base", *r6("onset_s", "offset_s", "duration_s"), "onset_trial_type", "offset_trial_type")
+
+
 @query(f"WITH {FIRST_SQL} SELECT base, round(first_onset, 6) AS first_onset, round(first_offset, 6) AS first_offset FROM first")
 def first_onset_offset(spark, d):
     return mk.first_onset_offset(marks(spark, d)).select("base", *r6("first_onset", "first_offset"))
@@ -510,9 +515,19 @@ def label_midpoint(spark, d):
     return wi.label_windows(_hour_frames(spark, d), mk.pair_intervals(marks(spark, d)), "midpoint").select("base", "k", "y")
 
 
+@query(f"WITH {FRAME_SQL} SELECT base, k, max(CASE WHEN onset_s <= t_mid AND t_mid <= offset_s THEN 1 ELSE 0 END) AS y FROM fr LEFT JOIN pairs USING (base) GROUP BY ALL")
+def label_midpoint_in_bins(spark, d):
+    return wi.label_windows(_hour_frames(spark, d), mk.pair_intervals(marks(spark, d)), "midpoint", rows_per_bin=300).select("base", "k", "y")
+
+
 @query(f"WITH {FRAME_SQL} SELECT base, k, max(CASE WHEN t_end > onset_s AND t_start < offset_s THEN 1 ELSE 0 END) AS y FROM fr LEFT JOIN pairs USING (base) GROUP BY ALL")
 def label_overlap(spark, d):
-    return wi.label_windows(_hour_frames(spark, d), mk.pair_intervals(marks(spark, d)), "overlap", bin_s=86400.0).select("base", "k", "y")
+    return wi.label_windows(_hour_frames(spark, d), mk.pair_intervals(marks(spark, d)), "overlap").select("base", "k", "y")
+
+
+@query(f"WITH {FRAME_SQL} SELECT base, k, max(CASE WHEN t_end > onset_s AND t_start < offset_s THEN 1 ELSE 0 END) AS y FROM fr LEFT JOIN pairs USING (base) GROUP BY ALL")
+def label_overlap_in_bins(spark, d):
+    return wi.label_windows(_hour_frames(spark, d), mk.pair_intervals(marks(spark, d)), "overlap", rows_per_bin=300).select("base", "k", "y")
 
 
 @query(f"WITH {FRAME_SQL}, y AS (SELECT base, k, max(CASE WHEN t_end > onset_s AND t_start < offset_s THEN 1 ELSE 0 END) AS y FROM fr LEFT JOIN pairs USING (base) GROUP BY ALL) SELECT base, count(*) AS n_windows, count(*) FILTER (y = 1) AS y_pos, count(*) FILTER (y = 0) AS y_neg, round(avg(y), 6) AS positive_rate FROM y GROUP BY 1")
@@ -779,16 +794,31 @@ def rolling_stats(spark, d):
     return tl.rolling_stats(_daily(spark, d)).select("bucket", "runs", *r6("roll_mean", "roll_std"))
 
 
+@query(f"WITH {DAILY} SELECT bucket, runs, round(avg(runs) OVER w, 6) AS roll_mean, round(stddev_samp(runs) OVER w, 6) AS roll_std FROM s WINDOW w AS (ORDER BY bucket ROWS 6 PRECEDING)")
+def rolling_stats_in_blocks(spark, d):
+    return tl.rolling_stats(_daily(spark, d), per_block=5).select("bucket", "runs", *r6("roll_mean", "roll_std"))
+
+
 @query(f"WITH {DAILY}, w AS (SELECT bucket, runs, count(*) OVER w AS c, avg(runs) OVER w AS m, stddev_samp(runs) OVER w AS sd FROM s WINDOW w AS (ORDER BY bucket ROWS 13 PRECEDING)) SELECT bucket, runs, round((runs - m) / sd, 6) AS z FROM w WHERE c >= 7 AND sd > 0 AND abs((runs - m) / sd) > 2.5")
 def spike_days(spark, d):
     return tl.spikes(_daily(spark, d), limit=2.5).where("is_spike").select("bucket", "runs", *r6("z"))
 
 
+@query(f"WITH {DAILY}, w AS (SELECT bucket, runs, count(*) OVER w AS c, avg(runs) OVER w AS m, stddev_samp(runs) OVER w AS sd FROM s WINDOW w AS (ORDER BY bucket ROWS 13 PRECEDING)) SELECT bucket, runs, round((runs - m) / sd, 6) AS z FROM w WHERE c >= 7 AND sd > 0 AND abs((runs - m) / sd) > 2.5")
+def spike_days_in_blocks(spark, d):
+    return tl.spikes(_daily(spark, d), limit=2.5, per_block=5).where("is_spike").select("bucket", "runs", *r6("z"))
+
+
 @query(f"WITH {DAILY} SELECT count(*) AS n, round(regr_slope(runs, i), 9) AS slope, round(regr_intercept(runs, i), 6) AS intercept FROM s")
 def linear_trend(spark, d):
     return tl.linear_trend(_daily(spark, d)).select("n", F.round("slope", 9).alias("slope"), *r6("intercept"))
 
 
+@query(f"WITH {DAILY} SELECT count(*) AS n, round(regr_slope(runs, i), 9) AS slope, round(regr_intercept(runs, i), 6) AS intercept FROM s")
+def linear_trend_in_blocks(spark, d):
+    return tl.linear_trend(_daily(spark, d), per_block=5).select("n", F.round("slope", 9).alias("slope"), *r6("intercept"))
+
+
 @query(f"WITH {DAILY} SELECT date_trunc('month', bucket)::TIMESTAMP AS month, round(avg(runs), 6) AS mean_runs, median(runs) AS median_runs, sum(runs)::BIGINT AS sum_runs FROM s GROUP BY 1")
 def monthly_rollup(spark, d):
     return tl.monthly(_daily(spark, d)).withColumn("mean_runs", F.round("mean_runs", 6))
@@ -864,6 +894,12 @@ def seasonal_classical(spark, d):
     return s.select("event_type", "bucket", "runs", "phase", *(F.round(c, 9).alias(c) for c in ("trend", "season", "resid")))
 
 
+@query(f"WITH {SEASON_SQL} SELECT event_type, bucket, runs, phase, round(trend, 9) AS trend, round(raw - centre, 9) AS season, round(runs - trend - (raw - centre), 9) AS resid FROM tr JOIN ph USING (event_type, phase) JOIN ce USING (event_type)")
+def seasonal_in_blocks(spark, d):
+    s = tl.seasonal(_typed(spark, d), 24, ("event_type",), per_block=50)
+    return s.select("event_type", "bucket", "runs", "phase", *(F.round(c, 9).alias(c) for c in ("trend", "season", "resid")))
+
+
 @query(f"WITH {TYPED} SELECT event_type, count(*) AS buckets, round(avg((runs > 0)::INT), 6) AS active_share, count(*) FILTER (runs >= 4) AS bursts FROM s GROUP BY 1")
 def sparsity(spark, d):
     return tl.sparsity(_typed(spark, d), ("event_type",), 4).withColumn("active_share", F.round("active_share", 6))
