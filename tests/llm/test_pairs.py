@@ -203,3 +203,29 @@ def test_hot_label_of_tight_groups(spark, monkeypatch):
 
 def test_vectors_empty(spark):
     assert embedding.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_given_vectors_are_compared_once(folder):
+    """Where nothing prunes, as among the given vectors, every pair of a label is looked at once, and planted near copies
+    are found among them."""
+    import pyarrow.parquet as pq
+
+    pdf = pq.read_table(f"/root/testdata/{folder}/embeddings.parquet", columns=["embedding", "label"]).to_pandas()
+    rng = np.random.default_rng(3)
+    looked = pairs = 0
+    for _, part in pdf.groupby("label"):
+        x = np.stack(part["embedding"].to_numpy()).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        t = embedding.CoverTree(x)
+        assert all(sure is not True for _, _, sure in embedding.dual_pairs(t, t, 0.374))
+        looked, pairs = looked + t.compared, pairs + len(x) * (len(x) - 1) // 2
+        more = x[: len(x) // 3] + rng.normal(size=(len(x) // 3, x.shape[1])) * 0.02
+        y = np.vstack([x, more / np.linalg.norm(more, axis=1, keepdims=True)])
+        t = embedding.CoverTree(y)
+        found = set()
+        for p, q, sure in embedding.dual_pairs(t, t, 0.374):
+            found |= {frozenset(ab) for ab in (zip(p.tolist(), q.tolist(), strict=True) if sure is None else ((a, b) for a in p.tolist() for b in q.tolist()))}
+        cos = y @ y.T
+        assert {frozenset((a, b)) for a, b in np.argwhere(cos >= 0.93).tolist() if a != b} <= found
+    assert looked <= 1.06 * pairs, looked / pairs

@@ -108,27 +108,31 @@ def dual_pairs(one: CoverTree, two: CoverTree, reach: float) -> Iterator[tuple[n
         many, others = todo.pop()
         own = same and many is others
         (a1, balls1), (a2, balls2) = ((nodes[t.lone[nodes]], nodes[~t.lone[nodes]]) for t, nodes in ((one, many), (two, others)))
-        for first in range(0, len(a1) if len(a2) else 0, TILE):
-            p, q = one.center[a1[first : first + TILE]], two.center[a2]
+        # A list against itself: each tile meets what is not before it, in tiles so small that little comes twice.
+        tile = min(TILE, max(1, len(a1) // 32)) if own else TILE
+        for first in range(0, len(a1) if len(a2) else 0, tile):
+            p, q = one.center[a1[first : first + tile]], two.center[a2[first if own else 0 :]]
             i, j = np.nonzero(one.coarse[p] @ two.coarse[q].T >= lone_reach)
             one.compared += len(p) * len(q)
             if own:
-                i, j = i[i + first < j], j[i + first < j]
+                i, j = i[i < j], j[i < j]
             if len(i):
                 yield p[i], q[j], None
         tables = [(balls1, balls2), (balls1, a2)] + ([] if own else [(a1, balls2)])
         for left, right in tables:
-            for first in range(0, len(left) if len(right) else 0, TILE):
-                rows = left[first : first + TILE]
-                gap = distances(one.x[one.center[rows]], two.x[two.center[right]])
+            half = own and right is balls2
+            tile = min(TILE, max(1, len(left) // 32)) if half else TILE
+            for first in range(0, len(left) if len(right) else 0, tile):
+                rows, cols = left[first : first + tile], right[first:] if half else right
+                gap = distances(one.x[one.center[rows]], two.x[two.center[cols]])
                 one.compared += gap.size
-                around = one.radius[rows][:, None] + two.radius[right][None, :]
+                around = one.radius[rows][:, None] + two.radius[cols][None, :]
                 near = gap <= reach + around + 1e-6
-                if own and right is balls2:
-                    near &= np.arange(first, first + len(rows))[:, None] <= np.arange(len(right))[None, :]
+                if half:
+                    near &= np.arange(len(rows))[:, None] <= np.arange(len(cols))[None, :]
                 whole = gap + around <= reach - 1e-5
                 for i, j in zip(*np.nonzero(near), strict=True):
-                    a, b = int(rows[i]), int(right[j])
+                    a, b = int(rows[i]), int(cols[j])
                     ca, cb = one.children[a], two.children[b]
                     if same and a == b:
                         if ca is None:
