@@ -52,18 +52,24 @@ def _framed(v: np.ndarray, starts: np.ndarray, length: int, grain: int) -> tuple
 
 
 def _channel_sums(x: np.ndarray, w: int, step: int) -> list[np.ndarray]:
-    starts = np.arange(0, len(x) - w + 1, step) if w else np.zeros(0, int)
-    if not len(starts):
+    """The sums of all windows of channels of one length (rows of x), channel by channel. Rows are filled up with unknown
+    samples to whole grains; no window reaches them."""
+    m, n = x.shape
+    first = np.arange(0, n - w + 1, step) if w else np.zeros(0, int)
+    if not len(first):
         return [np.zeros(0)] * 10
-    grain = int(np.gcd(w, step)) if len(starts) > 1 else w
-    d1 = np.diff(x)
+    grain = int(np.gcd(w, step)) if len(first) > 1 else w
+    wide = n + -n % grain
+    flat = lambda y: np.pad(y, ((0, 0), (0, wide - y.shape[1])), constant_values=np.nan).ravel()
+    starts = (np.arange(m)[:, None] * wide + first).ravel()
+    d1 = np.diff(x, axis=1)
     none = np.zeros(len(starts))
-    n, v0, s2, lo, hi, _ = _framed(x, starts, w, grain)
-    n1, v1 = _framed(d1, starts, w - 1, grain)[:2] if w > 1 else (none, none)
-    steps = _framed(np.abs(d1), starts, w - 1, grain)[5] if w > 1 else none
-    v2 = _framed(np.diff(d1), starts, w - 2, grain)[1] if w > 2 else none
-    gone = np.where(n > 0, 0.0, np.nan)
-    return [np.arange(len(starts)), n, s2 + gone, lo + gone, hi + gone, np.where(n1 > 0, steps, np.nan), n1, v0, v1, v2]
+    k, v0, s2, lo, hi, _ = _framed(flat(x), starts, w, grain)
+    n1, v1 = _framed(flat(d1), starts, w - 1, grain)[:2] if w > 1 else (none, none)
+    steps = _framed(flat(np.abs(d1)), starts, w - 1, grain)[5] if w > 1 else none
+    v2 = _framed(flat(np.diff(d1, axis=1)), starts, w - 2, grain)[1] if w > 2 else none
+    gone = np.where(k > 0, 0.0, np.nan)
+    return [np.tile(np.arange(len(first)), m), k, s2 + gone, lo + gone, hi + gone, np.where(n1 > 0, steps, np.nan), n1, v0, v1, v2]
 
 
 def _each(column: pa.Array) -> Iterator[np.ndarray]:
@@ -82,16 +88,23 @@ def window_sums(arrays: DataFrame, w: int | None, step: int, values: str = "xs",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_channel_sums(x, len(x) if w is None else w, step) for x in _each(batch.column(values))]
+            xs = [*_each(batch.column(values))]
+            lengths, made, of = np.array([len(x) for x in xs], int), [], []
+            for n in np.unique(lengths).tolist():
+                alike, most = np.flatnonzero(lengths == n), max(1, GROUP // max(n, 1))
+                for a in range(0, len(alike), most):
+                    some = alike[a : a + most]
+                    made.append(_channel_sums(np.stack([xs[i] for i in some]), n if w is None else w, step))
+                    of.append(np.repeat(some, len(made[-1][0]) // len(some)))
             if not made:
                 continue
-            size = np.array([len(m[0]) for m in made])
-            of = pa.array(np.repeat(np.arange(len(made)), size))
+            of = np.concatenate(of)
             columns = [np.concatenate(c) for c in zip(*made, strict=True)]
             if first:
-                columns[0] = columns[0] + np.repeat(batch.column(first).to_numpy(zero_copy_only=False), size)
+                columns[0] = columns[0] + batch.column(first).to_numpy(zero_copy_only=False)[of]
             kinds = [f.split()[1] for f in _SUMS.split(", ")]
             data = [pa.array(c.astype(np.int64)) if kind == "long" else pa.array(c, from_pandas=True) for c, kind in zip(columns, kinds, strict=True)]
+            of = pa.array(of)
             yield pa.RecordBatch.from_arrays([batch.column("base").take(of), batch.column("ch").take(of), *data], names=["base", "ch", *(f.split()[0] for f in _SUMS.split(", "))])
 
     types = dict(arrays.dtypes)
