@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import EPS, array_windows, channel_spectra, window_sums
+from .groups import group_percentiles, join_groups
 from .windows import first_channel, label_windows
 
 #: The frequency bands in Hz.
@@ -90,19 +91,33 @@ def window_table(arrays: DataFrame, w: int, step: int, sfreq: float, bands: dict
     return mean_over_channels(channel_features(window_sums(arrays, w, step))).join(spectral, ["base", "k"], "left")
 
 
-def with_robust_z(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """df with z_<col> = 0.6745 (x - median) / (MAD + 1e-12) within keys (a run by default); medians are exact."""
+def with_robust_z(df: DataFrame, cols: list[str], keys: list[str] | None = None, split: bool = False) -> DataFrame:
+    """df with z_<col> = 0.6745 (x - median) / (MAD + 1e-12) within keys (a run by default); medians are exact. Plain, the
+    distinct values of a group are in one task and rows of a null key go; with split no task holds a group, however
+    large, and the null key is a group."""
     keys = keys or ["base"]
-    med = df.groupBy(*keys).agg(*(F.median(c).alias(f"med_{c}") for c in cols))
-    j = df.join(med, keys)
-    mad = j.groupBy(*keys).agg(*(F.median(F.abs(F.col(c) - F.col(f"med_{c}"))).alias(f"mad_{c}") for c in cols))
-    j = j.join(mad, keys)
+    if split:
+        j = _joined_medians(df, df, keys, {c: f"med_{c}" for c in cols})
+        off = j.select(*keys, *(F.abs(F.col(c) - F.col(f"med_{c}")).alias(c) for c in cols))
+        j = _joined_medians(j, off, keys, {c: f"mad_{c}" for c in cols})
+    else:
+        j = df.join(df.groupBy(*keys).agg(*(F.median(c).alias(f"med_{c}") for c in cols)), keys)
+        mad = j.groupBy(*keys).agg(*(F.median(F.abs(F.col(c) - F.col(f"med_{c}"))).alias(f"mad_{c}") for c in cols))
+        j = j.join(mad, keys)
     return j.select(*df.columns, *((F.lit(0.6745) * (F.col(c) - F.col(f"med_{c}")) / (F.col(f"mad_{c}") + F.lit(EPS))).alias(f"z_{c}") for c in cols))
 
 
-def outlier_windows(windows: DataFrame, cols=("rms", "ptp", "line_length"), limit: float = 6.0) -> DataFrame:
-    """windows with the largest absolute robust z of the features within the run, and is_outlier from limit on."""
-    z = with_robust_z(windows, list(cols))
+def _joined_medians(df: DataFrame, of: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    total = "_rows" + "_" * max(map(len, df.columns))
+    m = group_percentiles(of, keys, list(names))
+    m = m.select(*keys, F.col("rows").alias(total), *(F.get(c, F.lit(0)).alias(n) for c, n in names.items()))
+    return join_groups(df, m, keys, total).drop(total)
+
+
+def outlier_windows(windows: DataFrame, cols=("rms", "ptp", "line_length"), limit: float = 6.0, split: bool = False) -> DataFrame:
+    """windows with the largest absolute robust z of the features within the run, and is_outlier from limit on; with
+    split a run may be of any size."""
+    z = with_robust_z(windows, list(cols), split=split)
     score = F.greatest(*(F.abs(f"z_{c}") for c in cols)) if len(cols) > 1 else F.abs(f"z_{cols[0]}")
     return z.withColumn("outlier_score", score).withColumn("is_outlier", F.coalesce(score >= limit, F.lit(False))).drop(*(f"z_{c}" for c in cols))
 

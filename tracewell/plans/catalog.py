@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import base_name, finite, json_first_number, seconds, to_number
 from ..operators import arrays as ar
 from ..operators import features as fe
+from ..operators import groups as gr
 from ..operators import inventory as inv
 from ..operators import markers as mk
 from ..operators import profile as pr
@@ -758,6 +759,18 @@ def outlier_windows(spark, d):
     return _outliers(spark, d).where("is_outlier").select("base", "event_id", F.round("outlier_score", 4).alias("outlier_score"))
 
 
+@query(f"WITH {OUT_SQL} SELECT base, event_id, round(outlier_score, 4) AS outlier_score FROM z WHERE outlier_score >= 6")
+def outlier_windows_of_large_runs(spark, d):
+    z = fe.outlier_windows(t(spark, d, "events").select(F.col("user_id").alias("base"), "event_id", "value"), ("value",), split=True)
+    return z.where("is_outlier").select("base", "event_id", F.round("outlier_score", 4).alias("outlier_score"))
+
+
+@query("SELECT event_type, count(*) AS n, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for q, n in ((0.05, "p5"), (0.5, "p50"), (0.95, "p95"))) + " FROM events GROUP BY 1")
+def value_percentiles_by_type(spark, d):
+    p = gr.group_percentiles(t(spark, d, "events"), ["event_type"], ["value"], (0.05, 0.5, 0.95), accuracy=1000)
+    return p.select("event_type", F.col("rows").alias("n"), *(F.round(F.get("value", F.lit(i)), 6).alias(n) for i, n in enumerate(("p5", "p50", "p95"))))
+
+
 @query(f"WITH {OUT_SQL} SELECT base, round(avg((outlier_score >= 6)::INT), 6) AS outlier_rate FROM z GROUP BY 1")
 def outlier_rate(spark, d):
     return _outliers(spark, d).groupBy("base").agg(F.round(F.avg(F.col("is_outlier").cast("double")), 6).alias("outlier_rate"))
