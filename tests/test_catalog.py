@@ -43,4 +43,5 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == set()
+    # Held against plain loops in test_stl.
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"robust_seasonal_hourly"}

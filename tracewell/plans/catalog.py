@@ -19,6 +19,7 @@ from ..operators import inventory as inv
 from ..operators import markers as mk
 from ..operators import profile as pr
 from ..operators import selection as sel
+from ..operators import stl
 from ..operators import timeline as tl
 from ..operators import windows as wi
 from ..sources import files
@@ -846,6 +847,11 @@ def gap_profile(spark, d):
     return p.select("n", *r6(*(c for c in p.columns if c != "n")))
 
 
+@query()
+def robust_seasonal_hourly(spark, d):
+    return stl.robust_seasonal(_hourly(spark, d), 24).select("bucket", "runs", *r6("trend", "season", "resid", "weight"))
+
+
 @query("SELECT h AS hour, (SELECT count(*) FROM events WHERE hour(ts) = h) AS runs FROM (SELECT unnest(range(0, 24)) AS h)")
 def hour_of_day(spark, d):
     return tl.by_hour(t(spark, d, "events"))
