@@ -4,6 +4,7 @@ import pytest
 
 from tracewell.operators import inventory as inv
 from tracewell.operators import markers as mk
+from tracewell.operators import windows as wi
 from tracewell.sources import files
 from tracewell.streaming import stream
 
@@ -101,3 +102,28 @@ def test_columns_of_one_name(spark, tmp_path):
 def test_siblings(spark):
     df = spark.createDataFrame([("/d/sub-a_run-01_ieeg",)], "base string")
     assert tuple(df.select(*(files.sibling(df.base, k) for k in ("events", "channels", "vhdr", "json"))).first()) == ("/d/sub-a_run-01_events.tsv", "/d/sub-a_run-01_channels.tsv", "/d/sub-a_run-01_ieeg.vhdr", "/d/sub-a_run-01_ieeg.json")
+
+
+def test_written_texts_come_back(spark, tmp_path):
+    rows = [("sub-a/x_events.tsv", "onset\ttrial_type\n1\tsz onset"), ("sub-b/y_events.tsv", None), ("é_events.tsv", "trial_type\tonset\n"), (None, "lost")]
+    df = spark.createDataFrame(rows, "path string, value string").repartition(3)
+    for root in (str(tmp_path / "one"), f"file:{tmp_path}/two", f"file://{tmp_path}/three"):
+        assert files.write_texts(df, root) == 3
+        got = files.events_from_tsv(files.read_tsv(spark, root)).collect()
+        assert [(r.onset, r.trial_type) for r in got] == [("1", "sz onset")] and got[0].base.endswith("sub-a/x_ieeg")
+        found = files.list_files(spark, root)
+        assert {r.length for r in found.collect()} == {27, 17}
+    assert files.write_texts(df.where("false"), str(tmp_path / "none")) == 0
+
+
+def test_participants(spark, tmp_path):
+    files.write_texts(spark.createDataFrame([("participants.tsv", "participant_id\tage\tsite\nsub-a\t31\tjh\nsub-b\tn/a\tn/a\n")], "path string, value string"), str(tmp_path))
+    got = files.read_participants(spark, str(tmp_path / "participants.tsv"))
+    assert dict(got.dtypes)["age"] == "int"
+    assert [tuple(r) for r in got.orderBy("participant_id").collect()] == [("sub-a", 31, "jh"), ("sub-b", None, None)]
+
+
+def test_first_channels(spark):
+    ch = spark.createDataFrame([(b, i, s) for b in ("p", "q") for i, s in ((2, "good"), (0, "bad"), (1, None), (None, "good"))], "base string, ch_idx int, status string")
+    assert sorted(tuple(r) for r in wi.first_channels(ch, 2).select("base", "ch_idx").collect()) == [("p", 0), ("p", 1), ("q", 0), ("q", 1)]
+    assert wi.first_channels(ch).count() == 6

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
+
 #: A key with more than one in so many rows is hot. There are fewer of these than the number says, whatever the input.
 HOT = 1000
 #: A bracket of values is cut in so many widths before anything is ranked.
@@ -20,14 +21,10 @@ def _same(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Column:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, a row or so a group, written to the shared folder in spark.checkpoint.dir, so that what builds on it neither
-    repeats its work nor grows its plan. Without that setting a local session gets a folder, a cluster an error."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="groups-"))
+    """df, a row or so a group, written to the shared folder, so that what builds on it neither repeats its work nor
+    grows its plan."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

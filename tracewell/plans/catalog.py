@@ -6,12 +6,14 @@ participants from customer.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import base_name, finite, json_first_number, seconds, to_number
+from ..functions.shared import shared_folder
 from ..operators import arrays as ar
 from ..operators import features as fe
 from ..operators import groups as gr
@@ -777,6 +779,71 @@ def outlier_rate(spark, d):
     return _outliers(spark, d).groupBy("base").agg(F.round(F.avg(F.col("is_outlier").cast("double")), 6).alias("outlier_rate"))
 
 
+# --- files, written from the tables and read back ---------------------------------------------------------------------
+def _recordings(spark: SparkSession, d: str, *kinds: str) -> str:
+    """A folder with files of these kinds, a run for each event type and day: tables with their columns in either order
+    and unknown values, tables without a needed column, sidecars and headers that are broken, signals of two sizes."""
+    e = t(spark, d, "events").withColumn("day", F.date_format("ts", "yyyyMMdd")).withColumn("even", F.dayofmonth("ts") % 2 == 0).withColumn("first", F.dayofmonth("ts") == 1)
+    onset = F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("user_id").cast("string"))
+    rows = F.array_sort(F.collect_list(F.struct("event_id", onset.alias("onset"))))
+    users = F.array_sort(F.collect_set("user_id"))
+    runs = e.groupBy("event_type", "day", "even", "first").agg(rows.alias("rows"), users.alias("users"))
+    line = lambda *cells: F.concat_ws("\t", *cells)
+    table = lambda head, lines: F.concat_ws("\n", F.array(F.lit(head)), lines)
+    kind = F.col("event_type")
+    two = F.when(kind == "view", table("onset\tduration", F.transform("rows", lambda r: line(r["onset"], F.lit("0")))))
+    two = two.when(F.col("even"), table("onset\tduration\ttrial_type", F.transform("rows", lambda r: line(r["onset"], F.lit("0"), kind))))
+    of = {
+        "events": two.otherwise(table("trial_type\tonset", F.transform("rows", lambda r: line(kind, r["onset"])))),
+        "channels": table("name\tstatus\ttype", F.transform("users", lambda u: line(F.concat(F.lit("U"), u.cast("string")), F.when(u % 5 == 0, "bad").otherwise("good"), F.lit("n/a")))),
+        "json": F.when(kind == "click", "{no json").otherwise(F.format_string('{"SamplingFrequency": %d}', F.size("rows"))),
+        "vhdr": F.when(kind == "error", "broken").otherwise("x\n[Common Infos]\n"),
+        "eeg": F.repeat(F.lit("0"), F.when(F.col("first"), 1_048_577).otherwise(9)),
+    }
+    base = F.format_string("sub-%s/ses-%s/sub-%s_ses-%s_task-t_acq-a_run-01_ieeg", kind, "day", kind, "day")
+    texts = runs.select(F.explode(F.array(*(F.struct(files.sibling(base, k).alias("path"), of[k].alias("value")) for k in kinds))).alias("f")).select("f.*")
+    root = f"{shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    files.write_texts(texts, root)
+    return root
+
+
+def _run(df: DataFrame) -> DataFrame:
+    part = lambda k: F.regexp_extract("base", rf"_?{k}-([^_/]+)_[^/]*$", 1)
+    return df.withColumns({"event_type": part("sub"), "day": part("ses")}).drop("base")
+
+
+RUN_SQL = "e AS (SELECT *, strftime(ts, '%Y%m%d') AS day, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id) - 1 AS row_idx FROM events)"
+
+
+@query(f"WITH {RUN_SQL} SELECT event_type, day, row_idx, CASE WHEN event_id % 7 <> 0 THEN user_id::VARCHAR END AS onset, event_type AS trial_type FROM e WHERE event_type <> 'view'")
+def events_from_files(spark, d):
+    return _run(files.events_from_tsv(files.read_tsv(spark, _recordings(spark, d, "events"))))
+
+
+@query(f"WITH {RUN_SQL} SELECT event_type, day, 'U' || user_id AS name, CASE WHEN user_id % 5 = 0 THEN 'bad' ELSE 'good' END AS status, row_number() OVER (PARTITION BY event_type, day ORDER BY user_id) - 1 AS ch_idx FROM (SELECT DISTINCT event_type, day, user_id FROM e)")
+def channels_from_files(spark, d):
+    read = files.channels_from_tsv(files.read_tsv(spark, _recordings(spark, d, "channels"), "*_channels.tsv"))
+    return _run(read.where("type is null and sampling_frequency is null").select("base", "name", "status", F.col("ch_idx").cast("long").alias("ch_idx")))
+
+
+@query(f"WITH {RUN_SQL} SELECT event_type, day, CASE WHEN event_type <> 'click' THEN count(*)::DOUBLE END AS sfreq FROM e GROUP BY event_type, day")
+def sidecars_from_files(spark, d):
+    raw = files.read_json(spark, _recordings(spark, d, "json"))
+    return _run(raw.select("base", json_first_number("raw", ["SamplingFrequency"]).alias("sfreq")))
+
+
+@query(f"WITH {RUN_SQL} SELECT DISTINCT event_type, day, event_type <> 'error' AS is_valid FROM e")
+def headers_from_files(spark, d):
+    return _run(files.valid_headers(spark, _recordings(spark, d, "vhdr")))
+
+
+@query(f"WITH {RUN_SQL} SELECT DISTINCT event_type, day, day(ts) = 1 AS eeg_present, 3::BIGINT AS n_kinds FROM e")
+def listed_files(spark, d):
+    found = files.list_files(spark, _recordings(spark, d, "events", "eeg", "json"))
+    kinds = found.groupBy("base").agg(F.count_distinct("kind").alias("n_kinds"))
+    return _run(files.content_present(found).join(kinds, "base"))
+
+
 # --- timeline -------------------------------------------------------------------------------------------------------
 def _dense(table: str, ts: str, unit: str) -> str:
     return f"n AS (SELECT date_trunc('{unit}', {ts})::TIMESTAMP AS bucket, count(*) AS runs FROM {table} GROUP BY 1), spine AS (SELECT unnest(generate_series((SELECT min(bucket) FROM n), (SELECT max(bucket) FROM n), INTERVAL 1 {unit})) AS bucket), s AS (SELECT bucket, coalesce(runs, 0) AS runs, row_number() OVER (ORDER BY bucket) - 1 AS i FROM spine LEFT JOIN n USING (bucket))"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +27,7 @@ def sibling(base, kind: str) -> F.Column:
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, length, kind, base) of the files below root; contents are not read."""
+    """(path, length, kind, base) of the files below root; contents are not read. Spark lists no files of 0 bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path", "length")
     kind = F.coalesce(*(F.when(F.col("path").rlike(rx), F.lit(k)) for k, rx in KINDS.items()))
     return files.withColumn("kind", kind).where("kind is not null").withColumn("base", run_base(F.col("path")))
@@ -87,3 +91,24 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_parquet(df: DataFrame, path: str, *partition: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition).parquet(path)
+
+
+def write_texts(texts: DataFrame, root: str) -> int:
+    """Write each row (path, value) to a file of that name below root, and tell how many there were. Files are written
+    in tasks, on every file system that Arrow knows; a repeated task writes the same again. Paths must differ, a row
+    without path goes, a null value is an empty file."""
+    where = re.sub("^file:/+", "file:///", root.rstrip("/"))
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(where)
+        for pdf in batches:
+            for path, value in zip(pdf["path"], pdf["value"], strict=True):
+                name = f"{base}/{path}"
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(name) as out:
+                    out.write((value or "").encode())
+            yield pdf[["path"]]
+
+    return texts.select("path", "value").where("path is not null").mapInPandas(put, "path string").count()
