@@ -16,6 +16,7 @@ from ..functions.columns import base_name, finite, json_first_number, seconds, t
 from ..functions.shared import shared_folder
 from ..operators import arrays as ar
 from ..operators import features as fe
+from ..operators import frequent as fq
 from ..operators import groups as gr
 from ..operators import inventory as inv
 from ..operators import markers as mk
@@ -25,6 +26,7 @@ from ..operators import stl
 from ..operators import timeline as tl
 from ..operators import windows as wi
 from ..sources import files
+from ..streaming import pairing
 
 EPOCH = 1704067200.0  # 2024-01-01, where the events begin
 RULES = mk.MarkerRules(onset=r"(?i)\bsignup\b", offset=r"(?i)\berror\b")
@@ -196,6 +198,23 @@ def marker_pairs_in_bins(spark, d):
     return mk.pair_intervals(marks(spark, d), rows_per_bin=50).select("base", *r6("onset_s", "offset_s", "duration_s"), "onset_trial_type", "offset_trial_type")
 
 
+@query(f"WITH {PAIR_SQL} SELECT base, round(onset_s, 6) AS onset_s, round(offset_s, 6) AS offset_s, round(duration_s, 6) AS duration_s, onset_trial_type, offset_trial_type FROM pairs")
+def marker_pairs_streamed(spark, d):
+    """The same pairs from a stream that is stopped in between, every tenth marker up to 15 days late; a last marker far
+    behind all others moves the watermark past them."""
+    e = t(spark, d, "events").select(F.col("user_id").alias("base"), F.col("event_id").alias("row_idx"), "ts", F.col("event_type").alias("trial_type"))
+    second = (F.dayofmonth("ts") > 15) | (F.col("row_idx") % 10 == 0)
+    end = e.agg((F.max("ts") + F.expr("interval 17 days")).alias("ts")).where("ts is not null").select(F.lit(None).cast("long").alias("base"), F.lit(0).cast("long").alias("row_idx"), "ts", F.lit("signup").alias("trial_type"))
+    folder = f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}"
+    for part in (e.where(~F.coalesce(second, F.lit(False))), e.where(second).union(end)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        pairs = pairing.pair_stream(spark.readStream.schema(e.schema).parquet(f"{folder}/in"), RULES, "16 days")
+        pairing.append_available(pairs, f"{folder}/out", f"{folder}/state")
+    found = spark.read.schema(pairs.schema).parquet(f"{folder}/out")
+    at = lambda c: F.round(seconds(F.col(c)) - EPOCH, 6)
+    return found.select("base", at("onset_ts").alias("onset_s"), at("offset_ts").alias("offset_s"), *r6("duration_s"), "onset_trial_type", "offset_trial_type")
+
+
 @query(f"WITH {FIRST_SQL} SELECT base, round(first_onset, 6) AS first_onset, round(first_offset, 6) AS first_offset FROM first")
 def first_onset_offset(spark, d):
     return mk.first_onset_offset(marks(spark, d)).select("base", *r6("first_onset", "first_offset"))
@@ -245,6 +264,22 @@ def vocab_topn(spark, d):
     return mk.vocabulary(t(spark, d, "documents"), "text", 20)
 
 
+@query("SELECT coalesce(text, 'nan') AS trial_type, count(*) AS count FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def vocab_topn_by_hash(spark, d):
+    """Nearly all texts occur once, so that no sketch can name the top ones."""
+    return fq.top_values(t(spark, d, "documents"), "text", 20, "nan", value="trial_type")
+
+
+@query("SELECT concat_ws(' ', l_partkey, l_linenumber) AS value, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def top_values_of_many(spark, d):
+    return fq.top_values(t(spark, d, "lineitem").select(F.concat_ws(" ", "l_partkey", "l_linenumber").alias("part_line")), "part_line")
+
+
+@query("SELECT coalesce(event_type, '<NA>') || ' ' || hour(ts) AS value, count(*) AS count FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def top_values_by_sketch(spark, d):
+    return fq.top_values(t(spark, d, "events").select(F.concat_ws(" ", F.coalesce("event_type", F.lit("<NA>")), F.hour("ts")).alias("type_hour")), "type_hour")
+
+
 AGREE_SQL = FIRST_SQL + """, summ AS (SELECT base, first_onset + CASE WHEN base % 3 = 0 THEN 0.75 ELSE 0.25 END AS first_onset, CASE WHEN base % 4 = 0 THEN first_onset - 1 ELSE first_offset END AS first_offset FROM first),
 agree AS (SELECT base, s.first_onset - f.first_onset AS onset_diff, s.first_offset - f.first_offset AS offset_diff, abs(s.first_onset - f.first_onset) <= 0.5 AS onset_match, abs(s.first_offset - f.first_offset) <= 0.5 AS offset_match FROM summ s JOIN first f USING (base))"""
 
