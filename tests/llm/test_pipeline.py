@@ -103,6 +103,30 @@ def test_stages_with_clashing_and_null_columns(spark, tmp_path, corpus):
         assert {r.score for r in got} <= {0.5, None} and {r.redacted for r in got} <= {"r", None} and any(r.doc_id is None for r in got)
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
+    """Rows, not ids, stay or go: of each group the row with the smallest id, null ids last; other rows of its id stay."""
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(30)) for _ in range(40)]
+    rows = [(rng.choice([None, *range(12)]), rng.choice(texts) + rng.choice(["", " end"]), "en", "s", 1) for _ in range(150)] + [(5, None, "en", "s", 1), (5, "", "en", "s", 1), (None, None, "en", "s", 1)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    made.write.parquet(str(tmp_path / "docs"))
+    sets = [_set(r[1]) for r in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    groups = {}
+    for i, root in enumerate(_smallest(len(rows), links)):
+        groups.setdefault(root, []).append(i)
+    by_group = {i: root for root, members in groups.items() for i in members}
+    first = {root: min((rows[i][0] is None, rows[i][0] or 0) for i in members) for root, members in groups.items()}
+    at = {(r[0], r[1]): by_group[i] for i, r in enumerate(rows) if r[1]}
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    for docs in (spark.read.parquet(str(tmp_path / "docs")), made):
+        got = stage(spark, docs, str(tmp_path)).collect()
+        full = [r for r in got if r.text]
+        assert Counter(at[r.doc_id, r.text] for r in full) == Counter({g: 1 for g in at.values()})
+        assert all((r.doc_id is None, r.doc_id or 0) == first[at[r.doc_id, r.text]] for r in full)
+        assert sum(not r.text for r in got) == 3
+
+
 def test_mix_of_repeated_ids_meets_its_targets(spark, tmp_path):
     """Four rows of every id, of two sources: each row has copies of its own, whether or not the rows come from files."""
     rng = random.Random(31)
