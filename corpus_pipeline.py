@@ -32,13 +32,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where("lang_pred != 'und'").select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays. Rows with null ids all stay; rows of one
-    id stay or go together."""
-    dropped = minhash_components(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text, source, key): all columns of docs in row, and a key that no two rows share: the file that a row
     is read from and its number there. What is not read from Parquet files is written to some first."""
@@ -51,6 +44,23 @@ def keyed(docs: DataFrame) -> DataFrame:
         return materialise(docs).select(*out)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id, null ids after all others, the
+    first row read among equal ids. Where ids repeat or are null, rows are numbered in that order, and the numbers serve
+    as ids; where they do not, ids are in that order already."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").isEmpty():
+        dropped = minhash_components(docs).where("not kept").select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    order = [F.col("doc_id").asc_nulls_last(), F.col("key").asc()]
+    ordered = rows.select("doc_id", "key").repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written before it is used, so that a lost executor cannot deal numbers anew.
+    numbers = materialise(ordered.select("key", F.monotonically_increasing_id().alias("number")))
+    numbered = materialise(rows.join(numbers, "key").select("row", "number"))
+    dropped = minhash_components(numbered.select("number", "row.text"), id_col="number").where("not kept").select(F.col("doc_id").alias("number"))
+    return numbered.join(dropped, "number", "left_anti").select("row.*")
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go, whatever their ids; all others stay."""
     rows = keyed(docs)
