@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import chat, decontaminate, kneser, langid, mixing, secrets, toxicity, wrapper
+from tracewell.llm import textkit as tk
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -118,6 +119,75 @@ def test_toxicity_held_out_and_swaps(spark):
     assert not toxicity.fit_toxicity(d, lab.where("toxic = 0")).any()
 
 
+def _word_hash(word):
+    """A word's hash in whole numbers, byte by byte."""
+    total = sum(int(tk.BYTE_VALUE[b + 32 if 65 <= b <= 90 else b]) * pow(int(tk.BASE), i, 1 << 64) for i, b in enumerate(word))
+    return int(tk.mix(np.array([(total + len(word)) % (1 << 64)], np.uint64))[0])
+
+
+def test_toxicity_scores_equal_plain_sums(spark):
+    """Whole texts, long, empty and null ones too, against a loop over their words."""
+    rng = random.Random(12)
+    w = np.random.default_rng(1).normal(size=(1 << toxicity.BITS) + 1)
+    words = ["idiot", "Table", "élan", "a", "x" * 9, "I'm", "12", "-", "Straße,", "日本"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", " \n", "word " * 300_000, "y" * 1_200_000]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), w).collect()}
+    known, w = {}, w.astype(np.float32)
+    for i, text in enumerate(texts):
+        total, found = 0.0, re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+        for word in found:
+            if word not in known:
+                heads = [int(tk.mix(np.array([(_word_hash(word[:n]) + n) % (1 << 64)], np.uint64))[0]) for n in toxicity.PREFIXES]
+                known[word] = sum(float(w[h >> (64 - toxicity.BITS)]) for h in [_word_hash(word), *heads])
+            total += known[word]
+        z = min(40, max(-40, total / np.sqrt(max(1, len(found))) + float(w[-1])))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-5, text and text[:50]
+
+
+def test_rows_of_one_id_are_bounded(spark, monkeypatch):
+    """Many texts of one labelled id, and one text many times, pass neither bound of the sample."""
+    rows = [(1, f"idiot number {i}") for i in range(3000)] + [(2, "a quiet river garden")] * 3000 + [(i, f"quiet {i}") for i in range(3, 40)]
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, toxic int")
+    seen, fit = [], toxicity.fit_weights
+    monkeypatch.setattr(toxicity, "fit_weights", lambda y, *a, **k: seen.append((int(y.sum()), len(y))) or fit(y, *a, **k))
+    toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample=200)
+    assert 50 < seen[0][0] <= seen[0][1] < 400
+
+
+def _plain_language(model, text):
+    """Family by margin, then the votes of its machines, over the trigrams of one text."""
+    low = bytes(32 if b in b" \t\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    share = np.zeros(langid.DIM)
+    for a, b, c in zip(low, (low + b" ")[1:], (low + b"  ")[2:], strict=True):
+        h = ((((a * 0x01000193) % 2**32 ^ b) * 0x9E3779B1) % 2**32 ^ c) * 0x85EBCA6B % 2**32
+        share[h >> 20] += 1 / len(low)
+    margin = [float(share @ w[:-1] + w[-1]) for w in model.weights]
+    k = len(model.families)
+    family = int(np.argmax(margin[:k]))
+    own = [i for i, lang in enumerate(model.langs) if langid._FAMILY.get(lang, lang) == model.families[family]]
+    points = dict.fromkeys(own, 0.0)
+    support = dict.fromkeys(own, 0.0)
+    for m, (f, a, b) in zip(margin[k:], model.pairs, strict=True):
+        if f == family:
+            points[a if m >= 0 else b] += 1
+            support[a] += m
+            support[b] -= m
+    return model.langs[max(own, key=lambda i: (points[i], support[i], -i))]
+
+
+def test_languages_equal_plain_votes(spark):
+    more = {"it": "il di che e la per un in con non una su le da si come", "nl": "de het een van en in is dat op te voor met zijn", "xx": "zug zag zig zog zeg", "sv": "och att det som en på är av för med"}
+    rng = random.Random(8)
+    pool = {**WORDS, **more}
+    rows = [(i, " ".join(rng.choice(pool[lang].split()) for _ in range(rng.randint(1, 25))), lang) for i in range(500) for lang in [rng.choice([*pool])]]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model.langs) == sorted(pool)
+    texts = [t for _, t, _ in rows[:150]] + ["é", "a", "Der", "x" * 50, "the " * 40_000, " la\nIL ", "日本語", "och the de"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(texts))] == [_plain_language(model, t) for t in texts]
+    assert len(set(got.values())) == len(pool)
+
+
 def test_toxicity_and_language_on_the_given_tables(spark):
     """Held-out accuracy on whole tables that neither model has learnt from."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
@@ -227,7 +297,7 @@ def test_quality_of_documents_never_seen(spark):
     assert seen > 0.9 and new > seen - 0.05, (seen, new)
     whole = kneser.quality_by_perplexity(docs, good).join(labels, "doc_id").toPandas()
     print("kept", seen, new, whole.groupby("quality").kept.mean().to_dict())
-    assert whole[whole.quality == 1].kept.mean() > 0.9 and whole[whole.quality == 0].kept.mean() < 0.6
+    assert whole[whole.quality == 1].kept.mean() > 0.9 and whole[whole.quality == 0].kept.mean() < 0.15
 
 
 def _overlaps(text, item, window=13, share=0.7):

@@ -116,8 +116,9 @@ def fit_weights(y: np.ndarray, x: _Matrix, swap: _Matrix, has_swap: np.ndarray,
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, sample_bytes: int = 64 << 20) -> np.ndarray:
-    """Learn from labelled documents that are not held out: all of them, or about sample documents of about
-    sample_bytes of text in all, chosen by a hash of the id.
+    """Learn from labelled documents that are not held out: from all of them, or from about sample ids, chosen by a hash
+    of the id, and of their different texts about as many, of about sample_bytes in all, chosen by a hash of id and text.
+    So many rows of one id, or of one id and text, pass neither bound.
 
     Tasks turn whole texts, and their swapped forms, into hashed features; what reaches the driver is bounded by
     both (at most eight bytes for each of five features of a word, twice where a text has a swapped form). Null labels and texts teach nothing. Without both classes the weights are 0.
@@ -127,11 +128,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30))
     some = known.where(place < F.lit(int(sample / n * (1 << 30)))) if n > sample else known
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    # some holds about sample rows by construction
-    size = texts.join(F.broadcast(some), "doc_id").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > sample_bytes:
-        some = some.where(place < F.lit(int(min(1, sample / n) * sample_bytes / size * (1 << 30))))
-    got = texts.join(F.broadcast(some), "doc_id").select("y", "text").mapInArrow(_rows, "y double, ids binary, values binary, swap_ids binary, swap_values binary").toPandas()
+    # some holds about sample ids by construction
+    rows = texts.join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("doc_id", "text", F.lit("toxicity")))
+    whole = rows.groupBy("h").agg(F.first(F.octet_length("text")).alias("bytes")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    share = min(1.25 * sample / max(1, whole["n"]), sample_bytes / max(1, whole["bytes"] or 0))
+    if share < 1:
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    chosen = rows.groupBy("h").agg(F.first("y").alias("y"), F.first("text").alias("text"))
+    got = chosen.select("y", "text").mapInArrow(_rows, "y double, ids binary, values binary, swap_ids binary, swap_values binary").toPandas()
     got = got.assign(k=got["ids"].map(len)).sort_values(["y", "k", "ids"])
     y = (got["y"].to_numpy() > 0.5).astype(float)
     if len(set(y)) < 2:
