@@ -191,6 +191,18 @@ def test_diverse_selection_caps_subjects(spark):
     assert len({(r.base) for r in sel.tiered_fill(df, [df.base < 2, df.base < 4, df.base >= 0], full=3, least=6).collect()}) == 6
 
 
+def test_diverse_selection_ties_by_the_score_shown(spark, tmp_path):
+    """Runs of equal scores whose sums differ in the last bits: 4 lines of which 2 are bad, and 5 of which 3 are."""
+    from tracewell.plans import catalog
+
+    lines = [(o, i + 1, 0, "R" if i < bad else "N", "F") for o, n, bad in ((1, 4, 2), (2, 5, 3), (3, 6, 4), (4, 7, 5), (5, 4, 2), (6, 5, 3)) for i in range(n)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o, "1-URGENT", 1.0) for o in range(1, 7)], "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    raw = {r.score for r in catalog._scored(spark, str(tmp_path)).collect()}
+    got = catalog.queries()["select_diverse"](spark, str(tmp_path)).collect()
+    assert len(raw) > 1 and [(r.base, r.score) for r in got] == [(o, 30.04) for o in range(1, 7)]
+
+
 def test_empty_inputs(spark):
     e = spark.createDataFrame([], "base int, ch int, xs array<double>")
     assert wi.framed(wi.samples(e), 4, 2).count() == 0

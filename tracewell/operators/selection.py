@@ -38,10 +38,12 @@ def first_tier(df: DataFrame, *tiers: Column) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.min("tier").alias("tier"))), "tier")
 
 
-def select_diverse(df: DataFrame, n: int, score: str = "score", subject: str = "subject", key: str = "base", most: int = 2) -> DataFrame:
-    """The n best rows with at most most of a subject; ties by key. The cap is per subject alone, so a rank suffices."""
+def select_diverse(df: DataFrame, n: int, score: str = "score", subject: str = "subject", key: str = "base", most: int = 2, order: str | None = None) -> DataFrame:
+    """The n best rows with at most most of a subject; ties by key. The cap is per subject alone, so a rank suffices. Rows
+    of all subjects are compared by order where it is given, such as a rounded score, in which sums that differ in the last
+    bits alone are ties."""
     r = F.row_number().over(W.partitionBy(subject).orderBy(F.desc(score), key))
-    return df.withColumn("subject_rank", r).where(F.col("subject_rank") <= most).orderBy(F.desc(score), key).limit(n)
+    return df.withColumn("subject_rank", r).where(F.col("subject_rank") <= most).orderBy(F.desc(order or score), key).limit(n)
 
 
 def tiered_fill(df: DataFrame, pools: list[Column], full: int = 15, least: int = 10, **how) -> DataFrame:

@@ -376,7 +376,9 @@ def top_runs(spark, d):
 
 @query(f"WITH {SCORED_SQL} SELECT base, subject, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, base) AS r FROM scored) WHERE r <= 2 ORDER BY score DESC, base LIMIT 15")
 def select_diverse(spark, d):
-    return sel.select_diverse(_scored(spark, d), 15).select("base", "subject", F.round("score", 6).alias("score"))
+    """Ranked within a subject by the score, among all by the score as it is shown."""
+    shown = _scored(spark, d).withColumn("shown", F.round("score", 6))
+    return sel.select_diverse(shown, 15, order="shown").select("base", "subject", F.col("shown").alias("score"))
 
 
 TIER_SQL = SCORED_SQL + """, a AS (SELECT *, 1 AS pool FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, base) AS r FROM scored WHERE n_channels >= 7 AND eeg_present AND has_onset AND has_offset AND lower(acq) = 'ecog') WHERE r <= 2 ORDER BY score DESC, base LIMIT 15),
