@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from tracewell.operators import markers as mk
@@ -72,3 +73,82 @@ def test_settings_are_as_before(spark, tmp_path):
     before = spark.conf.get(key)
     assert streamed(spark, tmp_path, [[]], "1 second") == []
     assert spark.conf.get(key) == before
+
+
+class Calls:
+    """A handle whose states and timers count the calls to them."""
+
+    def __init__(self):
+        self.n, self.lists, self.maps, self.timers = 0, {}, {}, []
+
+    def _count(self):
+        self.n += 1
+
+    def getListState(self, name, schema):
+        return self._State(self, self.lists.setdefault(name, []))
+
+    def getMapState(self, name, key, value):
+        return self._State(self, self.maps.setdefault(name, {}))
+
+    def listTimers(self):
+        self._count()
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self._count()
+        self.timers.append(at)
+
+    class _State:
+        def __init__(self, calls, rows):
+            self.calls, self.rows = calls, rows
+
+        def __getattr__(self, name):
+            own = {
+                "appendValue": lambda v: self.rows.append(v), "appendList": lambda v: self.rows.extend(v), "clear": lambda: self.rows.clear(),
+                "get": lambda: iter(list(self.rows)), "getValue": lambda k: self.rows.get(k), "updateValue": lambda k, v: self.rows.update({k: v}),
+            }
+            self.calls._count()
+            return own[name]
+
+
+@pytest.mark.parametrize("runs", [1, 90])
+def test_calls_to_the_state_do_not_grow_with_markers(runs):
+    """Each of them goes to the JVM and back."""
+    calls = Calls()
+    p = pairing.Pairing()
+    p.init(calls)
+    n = 900
+    pdf = pd.DataFrame({"run": [f"={i % runs}" for i in range(n)], "at": [START + i for i in range(n)], "row_idx": range(n), "is_onset": [i // runs % 2 == 0 for i in range(n)], "trial_type": "x"})
+    list(p.handleInputRows((0,), iter([pdf]), None))
+    assert calls.n < 10
+    assert calls.timers == [pairing._due(START)]
+
+    class Passed:
+        def getCurrentWatermarkInMs(self):
+            return START // 1000 + 1
+
+    calls.n = 0
+    out = pd.concat(p.handleExpiredTimer((0,), Passed(), None))
+    assert len(out) == n // 2 and (out["offset_at"] - out["onset_at"] == runs).all()
+    assert calls.n < 10
+
+
+def test_entries_of_a_state_are_bounded():
+    calls = Calls()
+    state = calls.getListState("waiting", "markers binary")
+    rows = pd.DataFrame({"run": ["=a", ""] * 1250, "at": range(2500), "trial_type": "x"})
+    pairing._add(state, rows)
+    assert len(calls.lists["waiting"]) == 3 and pairing._read(state, ["run", "at", "trial_type"]).equals(rows)
+    pairing._keep(state, rows[:0])
+    assert len(pairing._read(state, ["run", "at", "trial_type"])) == 0
+
+
+def test_runs_that_share_a_bucket_pair_apart(spark, tmp_path, rows):
+    """All in one bucket, over several parts with onsets left open between them."""
+    order = sorted((r for r in rows if r[2] is not None), key=lambda r: r[2] + random.Random(str(r)).randrange(0, 100_000_000))
+    for part in (order[:150], order[150:300], [*order[300:], END]):
+        batch(spark, part).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        pairing.append_available(pairing.pair_stream(stream, late="2 minutes", buckets=1), f"{tmp_path}/out", f"{tmp_path}/state")
+    out = spark.read.parquet(f"{tmp_path}/out").selectExpr("base", "unix_micros(onset_ts) as a", "unix_micros(offset_ts) as b", "duration_s", "onset_trial_type", "offset_trial_type")
+    assert sorted(map(tuple, out.collect()), key=str) == paired(spark, rows)
