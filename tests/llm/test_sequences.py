@@ -78,6 +78,36 @@ def test_remembered_chunks_are_bounded(monkeypatch):
     assert len(known) < 20
 
 
+def test_each_distinct_chunk_is_looked_up_once(monkeypatch):
+    """A chunk that stands often costs one look among those known; an odd chunk sends no other through the slow way."""
+    known, asked, alone = packing.ChunkIds(VOCABULARY), [], []
+    whole = known._whole
+    monkeypatch.setattr(known, "_whole", lambda chunks: alone.extend(chunks) or whole(chunks))
+    monkeypatch.setattr(packing.ChunkIds, "get", lambda self, *a: asked.append(a[0]) or dict.get(self, *a), raising=False)
+    text = "".join(f"{w}{chr(b)}" for b in (9, 10, 11, 12, 13, 32) for w in ("alpha", "Beta", "don't", " ", "g\xa0h", "ſ\x1cΣας", "日本語", "\x00", "e\u0301")) * 500
+    for _ in range(2):
+        ids, tokens = known.encode([text.encode(), b"", b" \t ", ODD.encode()], 1)
+        assert ids.tolist() == plain_ids(text) + [1, 1] + plain_ids(ODD) and tokens.tolist() == [len(plain_ids(text)), 1, 1, len(plain_ids(ODD))]
+    distinct = {b"", *(text + " " + ODD).encode().split()}
+    assert set(asked) == distinct and len(asked) == 3 * len(distinct) - 1  # when all but the empty one are new, and when none is
+    assert sorted(alone) == sorted(c for c in {*WORDS.findall(text + " " + ODD)} if re.search(r"[^\S ]|<\|endoftext\|>", c))
+
+
+def test_pieces_of_the_turn_before_stay(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_PIECES", 4)
+    known, made = packing.ChunkIds(VOCABULARY), []
+
+    class Model:
+        def tokenize(self, piece):
+            made.append(piece)
+            return PLAIN.model.tokenize(piece)
+
+    known.pieces.model = Model()
+    for text in ("red", "green", "blue", "Red Green Blue", "black, white green. grey"):
+        assert known.encode([text.encode()], 1)[0].tolist() == plain_ids(text)
+    assert made.count("red") == 1 and len(known.pieces) + len(known.pieces.last) <= 4
+
+
 @pytest.mark.parametrize("longest", [1, 2, 256])
 def test_other_lengths_and_buckets(spark, longest, tmp_path):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "doc_id int, text string")

@@ -7,10 +7,12 @@ import itertools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,15 +22,34 @@ from .common import materialise
 from .textkit import slices, utf8
 
 #: Bounds on the chunks between white space that a worker remembers with their ids, and on the pieces of chunks; beyond
-#: them the half of the chunks that served most stays.
+#: them the half of the chunks that served most stays, and the pieces of the last turn.
 CACHE_CHUNKS = 1 << 20
 CACHE_BYTES = 64 << 20
 CACHE_PIECES = 1 << 18
+#: Bytes of text that are encoded at once: a chunk is looked up once among them.
+ENCODED = 4 << 20
+
+
+class PieceIds(dict):
+    """The ids that the model gives to a piece, as 32-bit numbers in bytes: Python's garbage collector would look through
+    lists again and again."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.last = model, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.last.get(piece)
+        if len(self) >= CACHE_PIECES // 2:
+            self.last = dict(self)
+            self.clear()
+        self[piece] = found = array("i", [t.id for t in self.model.tokenize(piece)]).tobytes() if found is None else found
+        return found
 
 
 class ChunkIds(dict):
     """The ids of chunks between ASCII white space. No token of a tokenizer that drops white space crosses it, so the ids
-    of a text are those of its chunks, and every distinct chunk is tokenized once."""
+    of a text are those of its chunks, and every distinct chunk is tokenized once. The empty chunk, without ids, is 0."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -41,14 +62,16 @@ class ChunkIds(dict):
         self.tokenizer.no_padding()
         if [*self._whole(["a b c"])[0]] != [i for ids in self._whole(["a", "b", "c"]) for i in ids]:
             raise ValueError(f"{path} keeps white space")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.new: list[bytes] = []
-        self.pieces: dict[str, list[int]] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"[^\S ]", *map(re.escape, added)]))
+        self.pieces = PieceIds(self.tokenizer.model)
         self.bytes = 0
-        self.flat, self.begin, self.uses = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self[b""] = 0
+        self.flat, self.begin, self.uses = np.zeros(0, np.int32), np.zeros(2, np.int64), np.zeros(1, np.int64)
 
     def forget(self) -> None:
         """Keep at most half of the chunks, and half of the bytes: those of two or more uses, the most used first."""
+        self.uses[0] = np.iinfo(np.int64).max  # the empty chunk stays the first
         chunks, order = [*self], np.argsort(-self.uses, kind="stable")[: len(self) // 2]
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))[order]
         order = order[(self.uses[order] > 1) & (np.cumsum(size) <= CACHE_BYTES // 2)]
@@ -60,53 +83,66 @@ class ChunkIds(dict):
         self.flat = self.flat[np.repeat(self.begin[order] - (ends - size), size) + np.arange(int(size.sum()))]
         self.begin, self.uses = np.concatenate([[0], ends]), np.zeros(len(order), np.int64)
 
-    def __missing__(self, chunk: bytes) -> int:
-        self.new.append(chunk)
-        self[chunk] = at = len(self)
-        return at
-
     def _whole(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
-    def _tokenize(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _one_by_one(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = self._whole([c.decode() for c in chunks])
+        return np.fromiter(itertools.chain.from_iterable(made), np.int32), np.fromiter(map(len, made), np.int64, len(made))
+
+    def _together(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks and how many each has. They are normalised and cut in pieces as one text, and a piece goes
-        through the model once; chunks with added tokens, or with white space of other kinds in them, go one by one."""
-        text = b" ".join(chunks).decode()
-        if re.search(r"[^\S ]", text) or any(a in text for a in self.added):
-            made = self._whole([c.decode() for c in chunks])
-            return np.fromiter(itertools.chain.from_iterable(made), np.int32), np.fromiter(map(len, made), np.int64, len(made))
-        normal, model = self.tokenizer.normalizer, self.tokenizer.model
+        through the model once."""
+        from tokenizers import PreTokenizedString
+
+        text, normal = b" ".join(chunks).decode(), self.tokenizer.normalizer
         text = normal.normalize_str(text) if normal else text
-        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {}
-        for piece, _ in cut:
-            if piece not in self.pieces:
-                self.pieces[piece] = [t.id for t in model.tokenize(piece)]
-        made = [self.pieces[piece] for piece, _ in cut]
-        blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
-        of = np.searchsorted(blanks, np.fromiter((begin for _, (begin, _) in cut), np.int64, len(cut)))
-        size = np.bincount(of, np.fromiter(map(len, made), np.int64, len(made)), len(chunks)).astype(np.int64)
-        return np.fromiter(itertools.chain.from_iterable(made), np.int32), size
+        blanks = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+        if len(blanks) != len(chunks) - 1:  # the normaliser makes or drops blanks
+            return self._one_by_one(chunks)
+        # Not pre_tokenize_str(): it counts the characters before each piece.
+        cut = PreTokenizedString(text)
+        self.tokenizer.pre_tokenizer.pre_tokenize(cut)
+        pieces = cut.get_splits("original", "byte")
+        made = [*map(self.pieces.__getitem__, [piece for piece, _, _ in pieces])]
+        of = np.searchsorted(blanks, np.fromiter([at[0] for _, at, _ in pieces], np.int64, len(pieces)))
+        size = np.bincount(of, np.fromiter(map(len, made), np.int64, len(made)) // 4, len(chunks)).astype(np.int64)
+        return np.frombuffer(b"".join(made), np.int32), size
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Chunks with added tokens, or with white space of other kinds in them, are tokenized one by one."""
+        odd = []
+        if self.odd.search(b" ".join(chunks).decode()):
+            odd = [c for c in chunks if self.odd.search(c.decode())]
+            chunks = [c for c in chunks if not self.odd.search(c.decode())]
+        for some, tokenize in ((chunks, self._together), (odd, self._one_by_one)):
+            if some:
+                ids, size = tokenize(some)
+                self.update(zip(some, itertools.count(len(self))))
+                self.flat, self.begin = np.concatenate([self.flat, ids]), np.concatenate([self.begin, np.cumsum(size) + self.begin[-1]])
+                self.bytes += sum(map(len, some))
+                self.uses = np.concatenate([self.uses, np.zeros(len(some), np.int64)])
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, end_id after each, and how many each text has."""
         if len(self) > CACHE_CHUNKS or self.bytes > CACHE_BYTES:
             self.forget()
-        words = [t.split() for t in texts]
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
-        if self.new:
-            ids, size = self._tokenize(self.new)
-            self.flat, self.begin = np.concatenate([self.flat, ids]), np.concatenate([self.begin, np.cumsum(size) + self.begin[-1]])
-            self.bytes += sum(map(len, self.new))
-            self.uses = np.concatenate([self.uses, np.zeros(len(self.new), np.int64)])
-            self.new = []
-        self.uses += np.bincount(at, minlength=len(self))
-        size = self.begin[at + 1] - self.begin[at]
-        before = np.cumsum(size) - size
-        ids = self.flat[np.repeat(self.begin[at] - before, size) + np.arange(int(size.sum()))]
-        last = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n)]
+        # Arrow cuts the texts and finds the distinct chunks; these alone are looked up. Blanks at an end, and no text, make
+        # empty chunks.
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        found = words.values.dictionary_encode()
+        chunks = found.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(self.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn(chunks[new].tolist())
+            at[new] = np.fromiter(map(self.get, chunks[new]), np.int64, len(new))
+        of = found.indices.to_numpy()
+        self.uses[at] += np.bincount(of, minlength=len(at))
+        begin, size = self.begin[at][of], (self.begin[at + 1] - self.begin[at])[of]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(begin - ends[:-1], size) + np.arange(int(ends[-1]))]
+        last = ends[words.offsets.to_numpy()[1:]]
         return np.insert(ids, last, end_id), np.diff(last, prepend=0) + 1
 
 
@@ -138,7 +174,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
         count = np.zeros(longest.bit_length(), np.int64)
         for batch in batches:
             data, off = utf8(batch.column("text"))
-            for row, end, some, cuts in slices(data, off):
+            for row, end, some, cuts in slices(data, off, ENCODED):
                 raw = some.tobytes()
                 ids, tokens = known.encode([raw[a:b] for a, b in itertools.pairwise(cuts.tolist())], end_id)
                 lengths = [binary_lengths(t, longest) for t in tokens.tolist()]
